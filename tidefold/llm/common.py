@@ -52,24 +52,25 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER).split() if text else []
 
 
-def find(parent: dict[int, int], x: int) -> int:
-    root = x
-    while parent[root] != root:
-        root = parent[root]
-    while parent[x] != root:
-        parent[x], x = root, parent[x]
-    return root
+def root(parent: dict[int, int], x: int) -> int:
+    """The root of x in a union-find forest; x joins it if it's new."""
+    if parent.setdefault(x, x) == x:
+        return x
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
 
 
-def block_groups(batches: Iterator[pa.RecordBatch], payload: str, convert: Callable[[pa.Array], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, left, payload) of each (bucket, bi, bj) of sorted batches in which a left row can meet another id.
+def block_groups(batches: Iterator[pa.RecordBatch], payload: str, convert: Callable[[pa.Array], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, ids, left, payload) of each (bucket, bi, bj) of sorted batches in which a left row can meet another id.
 
     Groups without such a row are skipped by whole batches, without a Python step for each.
     """
     rest: pa.Table | None = None
 
-    def groups(table: pa.Table, n: int, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        ids, left = table.column("id").to_numpy()[:n], table.column("left").to_numpy()[:n]
+    def groups(table: pa.Table, n: int, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        bucket, ids, left = (table.column(c).to_numpy()[:n] for c in ("bucket", "id", "left"))
         if not n:
             return
         sizes = np.diff(np.append(starts, n))
@@ -78,7 +79,7 @@ def block_groups(batches: Iterator[pa.RecordBatch], payload: str, convert: Calla
             return
         values = convert(table.column(payload).combine_chunks())
         for a, size in zip(starts[wanted].tolist(), sizes[wanted].tolist(), strict=True):
-            yield ids[a : a + size], left[a : a + size], values[a : a + size]
+            yield int(bucket[a]), ids[a : a + size], left[a : a + size], values[a : a + size]
 
     for batch in batches:
         if not batch.num_rows:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, secrets, simhash, warc
+from . import chat, lattice, packing, secrets, simhash, warc
 from .common import new_path, written
 
 
@@ -35,6 +35,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(written(chat.format_conversations(turns), "conversations"))
 
 
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
 
@@ -56,6 +60,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_chat": op4_chat,
+    "op5_lattice": op5_lattice,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
     "op10_secrets": op10_secrets,

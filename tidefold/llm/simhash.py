@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER_TO_LOWER, block_groups, checkpointed, components, in_blocks
+from .common import UPPER_TO_LOWER, block_groups, checkpointed, components, in_blocks, root
 
 SEED = 42
 THRESHOLD = 3
@@ -117,7 +117,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block, links enough to connect what is linked in it: at most one fewer than it has ids."""
     a_out: list[int] = []
     b_out: list[int] = []
-    for ids, left, fps in block_groups(batches, "fp", lambda c: c.to_numpy().view(np.uint64)):
+    for _, ids, left, fps in block_groups(batches, "fp", lambda c: c.to_numpy().view(np.uint64)):
         li, ri = np.flatnonzero(left), np.flatnonzero(~left)
         if not len(li) or not len(ri):
             continue
@@ -128,9 +128,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = ids[own[i]], ids[ri[j]]
             keep = x != y
             for p, q in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
-                parent.setdefault(p, p)
-                parent.setdefault(q, q)
-                rp, rq = _root(parent, p), _root(parent, q)
+                rp, rq = root(parent, p), root(parent, q)
                 if rp != rq:
                     parent[max(rp, rq)] = min(rp, rq)
                     a_out.append(max(p, q))
@@ -141,12 +139,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
 
-def _root(parent: dict[int, int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
     """(id, fingerprint, component_id): groups of documents that links of at most 3 differing bits connect.
