@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lattice, packing, secrets, simhash, warc
+from . import chat, decontam, lattice, packing, secrets, simhash, toxicity, warc
 from .common import new_path, written
 
 
+#: Score from which a document counts as toxic.
+TOXIC_AT = 0.7
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,6 +47,20 @@ def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def remainder(n: int, id_col: str = "doc_id"):
+    """crc32 of the id as text, modulo n: how queries hold documents out."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    return toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(3, "_id") != 1)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
 
@@ -67,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_lattice": op5_lattice,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op10_secrets": op10_secrets,
 }
