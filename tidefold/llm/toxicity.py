@@ -220,10 +220,11 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every whole text: the higher, the likelier toxic. Null and wordless texts get the score of no evidence."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by that of the fitting sample
+    r = model.ratio  # plain arrays, of a size that is bounded by that of the fitting sample
+    shared = docs.sparkSession.sparkContext.broadcast((r.grams, r.values, r.contexts, r.defaults, model.centre, model.scale, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = Model(Ratio(*shared.value[:4]), *shared.value[4:])
         ratios = Ratios(own.ratio)
         for batch in batches:
             out = []
