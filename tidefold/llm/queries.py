@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lattice, packing, secrets, simhash, toxicity, warc
+from . import chat, decontam, lattice, lines, packing, secrets, simhash, toxicity, warc
 from .common import new_path, written
 
 
@@ -36,6 +36,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select(F.col("record_id").cast("long").alias("page_id"), F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, removed_col="lines_removed")
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -82,6 +87,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
     "op2_warc": op2_warc,
+    "op3_lines": op3_lines,
     "op4_chat": op4_chat,
     "op5_lattice": op5_lattice,
     "op6_simhash": op6_simhash,
