@@ -39,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by way of a Parquet table in the shared folder: for wide rows, smaller than a checkpoint."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

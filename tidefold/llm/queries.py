@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lattice, lines, packing, secrets, simhash, toxicity, warc
+from . import chat, decontam, hmm, lattice, lines, packing, secrets, simhash, toxicity, warc
 from .common import new_path, written
 
 
@@ -74,6 +74,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = hmm.score(table(spark, sf_dir, "documents"), remainder(7) != 2)
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
     count = lambda n: F.size(F.filter("spans", lambda s: s["kind_no"] == n)).cast("long")
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_hmm": op9_hmm,
     "op10_secrets": op10_secrets,
 }
 
