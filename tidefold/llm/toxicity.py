@@ -235,3 +235,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, score double")
+
+
+def keep_ordinary(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The documents with a score below ``threshold``, all columns as they are."""
+    r = model.ratio
+    shared = docs.sparkSession.sparkContext.broadcast((r.grams, r.values, r.contexts, r.defaults, model.centre, model.scale, model.weights))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(Ratio(*shared.value[:4]), *shared.value[4:])
+        ratios = Ratios(own.ratio)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                texts = [words_in(t.as_py()) for t in part.column(place)]
+                yield part.filter(pa.array(own.scores([features(r) for r in ratios.of(texts)]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
