@@ -56,32 +56,40 @@ def _bucket(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def read_view(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The current rows of a view: of each bucket its newest generation."""
+def _serial(spark: SparkSession, path: str) -> int:
+    """Number of the newest generation; -1 where there is none."""
     if not _exists(spark, f"{path}/pointers"):
+        return -1
+    last = spark.read.parquet(f"{path}/pointers").agg(F.max("serial")).first()[0]
+    return -1 if last is None else last
+
+
+def read_view(spark: SparkSession, path: str, schema, serial: int | None = None) -> DataFrame:
+    """The rows of a view as of a generation, by default the newest: of each bucket its newest one up to it.
+
+    The generation is pinned when this is called, so that later writes don't change what is read.
+    """
+    serial = _serial(spark, path) if serial is None else serial
+    if serial < 0:
         return spark.createDataFrame([], schema)
-    newest = spark.read.parquet(f"{path}/pointers").groupBy("bucket").agg(F.max_by("generation", "serial").alias("generation"))
+    newest = spark.read.parquet(f"{path}/pointers").where(F.col("serial") <= serial).groupBy("bucket").agg(F.max_by("generation", "serial").alias("generation"))
     rows = spark.read.parquet(f"{path}/rows")
     return rows.join(F.broadcast(newest), ["bucket", "generation"], "left_semi").select(*[f.name for f in schema])  # at most BUCKETS rows
 
 
 def _replace(rows: DataFrame, path: str, touched: DataFrame) -> None:
-    spark, generation = rows.sparkSession, uuid.uuid4().hex
+    generation, serial = uuid.uuid4().hex, _serial(rows.sparkSession, path) + 1
     rows.withColumn("generation", F.lit(generation)).write.mode("append").partitionBy("bucket", "generation").parquet(f"{path}/rows")
-    serial = 0
-    if _exists(spark, f"{path}/pointers"):
-        serial = (spark.read.parquet(f"{path}/pointers").agg(F.max("serial")).first()[0] or 0) + 1
     touched.select("bucket", F.lit(generation).alias("generation"), F.lit(serial).alias("serial")).coalesce(1).write.mode("append").parquet(f"{path}/pointers")
 
 
 def upsert_view(incoming: DataFrame, path: str, keys: list[str], version: str = "version") -> DataFrame:
     """Keep the highest version of each key; returns the incoming rows with ``accepted``."""
     spark = incoming.sparkSession
-    incoming = incoming.persist()
     held = read_view(spark, path, incoming.schema)
-    decided = version_gate(held, incoming, keys, version).persist()
-    accepted = decided.where("accepted").select(*incoming.columns).withColumn("bucket", _bucket(keys))
-    touched = accepted.select("bucket").distinct().persist()
+    decided = version_gate(held, incoming, keys, version)
+    accepted = decided.where("accepted").select(*incoming.columns).dropDuplicates(keys).withColumn("bucket", _bucket(keys))
+    touched = accepted.select("bucket").distinct()
     if touched.count():
         kept = held.withColumn("bucket", _bucket(keys)).join(F.broadcast(touched), "bucket", "left_semi").join(accepted.select(*keys), keys, "left_anti")
         _replace(kept.unionByName(accepted), path, touched)
