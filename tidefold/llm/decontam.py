@@ -100,5 +100,5 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """The documents in which no benchmark item is found."""
-    bad = overlaps(docs, benchmark, id_col, text_col, **columns).select(F.col("doc_key").alias("_bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.xxhash64(docs[id_col], docs[text_col]) == F.col("_bad"), "left_anti")
+    bad = overlaps(docs, benchmark, id_col, text_col, **columns).select(F.col("doc_key").alias("__tidefold_bad")).distinct()
+    return docs.join(bad.hint("shuffle_hash"), F.xxhash64(docs[id_col], docs[text_col]) == F.col("__tidefold_bad"), "left_anti")

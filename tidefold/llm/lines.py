@@ -85,16 +85,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are one document; different texts under one id leave each other's passages; null ids come last.
     ``removed_col`` adds the number of lines that went.
     """
-    runs = repeated_runs(docs, id_col, text_col).select(F.col("key").alias("_key"), F.col("runs").alias("_runs"))
-    joined = docs.join(runs.hint("shuffle_hash"), F.xxhash64(docs[id_col], docs[text_col]) == F.col("_key"), "left")
+    runs = repeated_runs(docs, id_col, text_col).select(F.col("key").alias("__tidefold_key"), F.col("runs").alias("__tidefold_runs"))
+    joined = docs.join(runs.hint("shuffle_hash"), F.xxhash64(docs[id_col], docs[text_col]) == F.col("__tidefold_key"), "left")
     lines = F.split(docs[text_col], "\n", -1)
-    ends = F.transform(F.col("_runs"), lambda r: r["end"])
-    starts = F.transform(F.col("_runs"), lambda r: r["start"])
+    ends = F.transform(F.col("__tidefold_runs"), lambda r: r["end"])
+    starts = F.transform(F.col("__tidefold_runs"), lambda r: r["start"])
     kept = F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(starts, F.array(F.size(lines))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    joined = joined.withColumn("_lines", F.when(F.col("_runs").isNotNull(), lines)).withColumn("_kept", F.when(F.col("_runs").isNotNull(), kept))
-    left = F.flatten(F.transform(F.col("_kept"), lambda k: F.slice(F.col("_lines"), k["a"] + 1, k["b"] - k["a"])))
-    text = F.when(F.col("_runs").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n")).alias(text_col)
+    joined = joined.withColumn("__tidefold_lines", F.when(F.col("__tidefold_runs").isNotNull(), lines)).withColumn("__tidefold_kept", F.when(F.col("__tidefold_runs").isNotNull(), kept))
+    left = F.flatten(F.transform(F.col("__tidefold_kept"), lambda k: F.slice(F.col("__tidefold_lines"), k["a"] + 1, k["b"] - k["a"])))
+    text = F.when(F.col("__tidefold_runs").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n")).alias(text_col)
     out = [text if c == text_col else docs[c] for c in docs.columns]
     if removed_col:
-        out.append(F.coalesce(F.aggregate("_runs", F.lit(0), lambda n, r: n + r["end"] - r["start"]), F.lit(0)).alias(removed_col))
+        out.append(F.coalesce(F.aggregate("__tidefold_runs", F.lit(0), lambda n, r: n + r["end"] - r["start"]), F.lit(0)).alias(removed_col))
     return joined.select(*out)

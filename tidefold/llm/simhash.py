@@ -160,5 +160,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, one of each group of near-duplicates: that with the smallest id. Null ids stay."""
     groups = near_duplicates(docs, id_col, text_col)
-    drop = groups.where("id is not null and component_id < id").select(F.col("id").alias("_drop")).distinct()
-    return docs.join(drop.hint("shuffle_hash"), docs[id_col] == F.col("_drop"), "left_anti")
+    drop = groups.where("id is not null and component_id < id").select(F.col("id").alias("__tidefold_drop")).distinct()
+    return docs.join(drop.hint("shuffle_hash"), docs[id_col] == F.col("__tidefold_drop"), "left_anti")
