@@ -1,6 +1,6 @@
 """Line dedup over content-defined chunks of lines.
 
-A rolling hash over the line hashes ends a chunk after a line where it hits one of a few values, so
+A rolling hash over the line hashes ends a chunk after most lines, but not where it hits some values, so
 chunk limits depend on the lines beside them and not on their place: a passage that was moved to
 another document is cut there as it was before. A line of LONG words or more is a chunk of its own.
 Chunks that come more than once anywhere are compared byte by byte (they are grouped by their bytes,
@@ -26,7 +26,7 @@ _LAST = (1 << 63) - 1
 
 
 def chunks_of(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(start, end) of the chunks: 3 of 4 values of the rolling hash end one."""
+    """(start, end) of the chunks: 7 of 8 values of the rolling hash end one."""
     hashes = [xxhash.xxh64_intdigest(x) for x in lines]
     long = [len(x.split()) >= LONG if len(x) >= 2 * LONG - 1 else False for x in lines]
     out, start, rolling = [], 0, 0
@@ -34,7 +34,7 @@ def chunks_of(lines: list[bytes]) -> list[tuple[int, int]]:
         rolling = (rolling * 0x9E3779B97F4A7C15 + h) & ((1 << 64) - 1)
         if i >= WINDOW:
             rolling = (rolling - hashes[i - WINDOW] * pow(0x9E3779B97F4A7C15, WINDOW, 1 << 64)) & ((1 << 64) - 1)
-        if i + 1 == len(lines) or long[i] or long[i + 1] or (rolling >> 32) & 3:
+        if i + 1 == len(lines) or long[i] or long[i + 1] or (rolling >> 32) & 7:
             out.append((start, i + 1))
             start = i + 1
     return out

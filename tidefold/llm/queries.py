@@ -102,4 +102,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+#: Where SQL can express an operator. Fingerprints, learned models and packing plans it can't; tests compare them with plain versions.
+ORACLES: dict[str, str] = {
+    "op2_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), d AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, sha1(t) AS h FROM p),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS top FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM f""",
+    "op4_chat": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, length('### ' || role || ': ' || text || '</turn>') + 1 + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '### ', ''))) // 4 + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id""",
+    "op5_lattice": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM p WHERE p.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id""",
+    "op10_secrets": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), rules AS (SELECT * FROM (VALUES
+  (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?', '[A-Za-z0-9+/_.=-]+', 6), (1, 'access', '', 'AKIA[A-Z0-9]+', 20), (2, 'hex', '', '[0-9a-f]+', 24)) AS x(no, kind, head, body, least)),
+m AS (SELECT doc_id, no, kind, least, unnest(CASE no WHEN 0 THEN regexp_extract_all(t, '(?s).*?(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') WHEN 1 THEN regexp_extract_all(t, '(?s).*?AKIA[A-Z0-9]+') ELSE regexp_extract_all(t, '(?s).*?[0-9a-f]+') END) AS s,
+  unnest(CASE no WHEN 0 THEN regexp_extract_all(t, '(?s).*?((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+)', 1) WHEN 1 THEN regexp_extract_all(t, '(?s).*?(AKIA[A-Z0-9]+)', 1) ELSE regexp_extract_all(t, '(?s).*?([0-9a-f]+)', 1) END) AS w,
+  unnest(CASE no WHEN 0 THEN regexp_extract_all(t, '(?s).*?(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) WHEN 1 THEN regexp_extract_all(t, '(?s).*?(AKIA[A-Z0-9]+)', 1) ELSE regexp_extract_all(t, '(?s).*?([0-9a-f]+)', 1) END) AS g,
+  unnest(range(len(CASE no WHEN 0 THEN regexp_extract_all(t, '(?s).*?(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') WHEN 1 THEN regexp_extract_all(t, '(?s).*?AKIA[A-Z0-9]+') ELSE regexp_extract_all(t, '(?s).*?[0-9a-f]+') END))) AS i FROM d, rules),
+e AS (SELECT *, CAST(sum(length(s)) OVER (PARTITION BY doc_id, no ORDER BY i) AS BIGINT) AS fin FROM m), k AS (SELECT *, fin - length(w) AS start FROM e WHERE length(g) >= least),
+a AS (SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex, string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, no) AS spans FROM k GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)""",
+}
