@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 LONG = 20
 RUN = 24
 WINDOW = 2
@@ -69,7 +71,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = chunks.groupBy("h", "text").agg(F.min("doc").alias("keeper"), F.count(F.lit(1)).alias("times"))
     # Different bytes under one hash are no repeats.
     known = texts.groupBy("h").agg(F.min("keeper").alias("keeper"), F.sum("times").alias("times"), F.count(F.lit(1)).alias("kinds"))
-    repeats = known.where("times > 1 and kinds = 1").select("h", "keeper")
+    # Written, so that the join below deals both of its sides itself and can split a very common line.
+    repeats = written(known.where("times > 1 and kinds = 1").select("h", "keeper"), "line-repeats")
     gone = chunks.drop("text").join(repeats, "h").where("doc > keeper or not first").select("key", "start", "n", "words").distinct()
     by_doc = Window.partitionBy("key").orderBy("start")
     runs = gone.withColumn("new", (F.lag(F.col("start") + F.col("n")).over(by_doc).eqNullSafe(F.col("start"))).cast("int"))
