@@ -18,7 +18,7 @@ from ..operators.decisions import version_gate
 BUCKETS = 64
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(path).schema  # noqa: B018
     except AnalysisException:
@@ -34,7 +34,7 @@ def append_events(df: DataFrame, path: str, contiguous: bool = True) -> int:
     """
     spark = df.sparkSession
     fresh = df.dropDuplicates(["stream", "idx"])
-    if _exists(spark, path):
+    if exists(spark, path):
         held = spark.read.parquet(path).select("stream", "idx")
         fresh = fresh.join(held, ["stream", "idx"], "left_anti")
         heads = held.groupBy("stream").agg((F.max("idx") + 1).alias("_next"))
@@ -58,7 +58,7 @@ def _bucket(keys: list[str]) -> Column:
 
 def _serial(spark: SparkSession, path: str) -> int:
     """Number of the newest generation; -1 where there is none."""
-    if not _exists(spark, f"{path}/pointers"):
+    if not exists(spark, f"{path}/pointers"):
         return -1
     last = spark.read.parquet(f"{path}/pointers").agg(F.max("serial")).first()[0]
     return -1 if last is None else last

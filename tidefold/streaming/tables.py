@@ -62,7 +62,7 @@ def ingest_job(stream: DataFrame, held_path: str, checkpoint: str, keys: list[st
 
     def handle(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        held = spark.read.parquet(held_path) if sinks._exists(spark, held_path) else spark.createDataFrame([], batch.schema)
+        held = spark.read.parquet(held_path) if sinks.exists(spark, held_path) else spark.createDataFrame([], batch.schema)
         decisions.append_new(held, batch, keys, order).write.mode("append").parquet(held_path)
 
     return run_batches(stream, handle, checkpoint)
