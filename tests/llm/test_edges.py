@@ -33,6 +33,8 @@ def test_simhash(spark, docs):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 1, 1, 2, 5, 7]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    shared = spark.createDataFrame([(3, "a b c d e"), (7, "a b c d e"), (7, "quite other words are in here")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one(shared).collect()) == [(3, "a b c d e"), (7, "quite other words are in here")]
 
 
 def test_toxicity(spark, docs):

@@ -67,14 +67,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long): fp holds the 64 bits in two's complement. A null or wordless text has fingerprint 0."""
+    """(id, key, fp long): key stands for id and text; fp holds the 64 bits in two's complement, 0 for a null or wordless text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
+            fp = np.array([fingerprint(x.as_py()) for x in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["id", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, key long, fp long")
 
 
 def _parity_syndrome(half: np.ndarray) -> np.ndarray:
@@ -140,6 +141,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
+    """(id, key, fp, component_id): as ``near_duplicates``, with the key that stands for id and text."""
+    fps = checkpointed(fingerprints(docs, id_col, text_col))
+    classes = fps.groupBy("fp").agg(F.min("id").alias("rep"))
+    copies = classes.where("rep is not null").select(F.col("rep").alias("id"), "fp").mapInArrow(_copies, "bucket long, home boolean, id long, fp long")
+    links = in_blocks(copies, block, _compare, "a long, b long")
+    found = components(links).withColumnRenamed("id", "rep")
+    classes = classes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(classes, "fp").select("id", "key", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
     """(id, fingerprint, component_id): groups of documents that links of at most 3 differing bits connect.
 
@@ -148,17 +160,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link like any other; rows that repeat an id come out as often as they go in; a null id keeps its
     fingerprint and takes the smallest non-null id of its class, if there is one; other columns are ignored.
     """
-    fps = checkpointed(fingerprints(docs, id_col, text_col))
-    classes = fps.groupBy("fp").agg(F.min("id").alias("rep"))
-    copies = classes.where("rep is not null").select(F.col("rep").alias("id"), "fp").mapInArrow(_copies, "bucket long, home boolean, id long, fp long")
-    links = in_blocks(copies, block, _compare, "a long, b long")
-    found = components(links).withColumnRenamed("id", "rep")
-    classes = classes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = groups(docs, id_col, text_col, block)
+    return found.select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each group of near-duplicates: that with the smallest id. Null ids stay."""
-    groups = near_duplicates(docs, id_col, text_col)
-    drop = groups.where("id is not null and component_id < id").select(F.col("id").alias("__tidefold_drop")).distinct()
-    return docs.join(drop.hint("shuffle_hash"), docs[id_col] == F.col("__tidefold_drop"), "left_anti")
+    """The documents, one of each group of near-duplicates: that with the smallest id.
+
+    Rows with a null id stay; rows that repeat an id and text are one document and stay or go together;
+    of different texts under one id only those go that a smaller id stands for.
+    """
+    drop = groups(docs, id_col, text_col).where("id is not null and component_id < id").select(F.col("key").alias("__tidefold_drop")).distinct()
+    return docs.join(drop.hint("shuffle_hash"), F.xxhash64(docs[id_col], docs[text_col]) == F.col("__tidefold_drop"), "left_anti")
