@@ -18,7 +18,7 @@ def fold_favorites(spark: SparkSession, sf: str) -> DataFrame:
     return folds.fold_favorites(rows, "k", "ts")
 
 
-TODO = f"""WITH {EV}, live AS (SELECT e.* FROM ev e LEFT JOIN (SELECT stream, max(idx) AS o FROM ev WHERE event_type = 'signup' GROUP BY 1) USING (stream) WHERE o IS NULL OR idx >= o),
+TODO_LISTS = f"""WITH {EV}, live AS (SELECT e.* FROM ev e LEFT JOIN (SELECT stream, max(idx) AS o FROM ev WHERE event_type = 'signup' GROUP BY 1) USING (stream) WHERE o IS NULL OR idx >= o),
 born AS (SELECT stream, idx, k, amount FROM live WHERE event_type = 'purchase'),
 alive AS (SELECT b.*, (SELECT arg_max(u.amount, u.idx) FROM live u WHERE u.stream = b.stream AND u.k = b.k AND u.event_type = 'view' AND u.idx > b.idx) AS upd FROM born b
   WHERE NOT EXISTS (SELECT 1 FROM live d WHERE d.stream = b.stream AND d.k = b.k AND d.event_type = 'error' AND d.idx > b.idx)),
@@ -31,13 +31,13 @@ def todo_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("stream", "idx", "event_type", F.col("k").alias("id"), F.col("amount").alias("value"), F.col("k").alias("next_id"))
 
 
-@query(f"{TODO} SELECT * FROM items")
+@query(f"{TODO_LISTS} SELECT * FROM items")
 def fold_todo(spark: SparkSession, sf: str) -> DataFrame:
     """purchase adds k, view updates it, error deletes it, signup clears."""
     return folds.fold_todo(todo_rows(spark, sf))[0]
 
 
-@query(f"{TODO} SELECT s.*, (SELECT count(*) FROM items i WHERE i.stream = s.stream) AS n FROM state s")
+@query(f"{TODO_LISTS} SELECT s.*, (SELECT count(*) FROM items i WHERE i.stream = s.stream) AS n FROM state s")
 def todo_state(spark: SparkSession, sf: str) -> DataFrame:
     """version, next id and size of each list."""
     return folds.fold_todo(todo_rows(spark, sf))[1]
@@ -329,7 +329,7 @@ def latency_by_category(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("event_type").alias("category"), "n", F.col("total").cast("decimal(28,2)").alias("total"), "longest", F.round("mean", 4).cast("decimal(18,4)").alias("mean"))
 
 
-@query(f"{TODO} SELECT count(DISTINCT stream) AS streams, count(*) AS entries FROM items")
+@query(f"{TODO_LISTS} SELECT count(DISTINCT stream) AS streams, count(*) AS entries FROM items")
 def view_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Of the to-do lists."""
     return stats.view_sizes(fold_todo(spark, sf))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import streams
 from ..operators import decisions, epochs, feed, folds, periods, process, stats
 from .base import EV, PLACED, ev, query, table
-from .fold_queries import STAYS, TODO, stay_rows, todo_rows
+from .fold_queries import STAYS, TODO_LISTS, stay_rows, todo_rows
 
 # Decisions
 
@@ -55,7 +55,7 @@ def check_in(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.check_in(held, e.where("idx < 2").select("stream", "idx", F.col("ts").alias("at"))).select("stream", "idx", "outcome")
 
 
-@query(f"""{TODO}, h AS (SELECT stream, id, arg_min(value, pos) AS held FROM items GROUP BY 1, 2), q AS (SELECT stream, k AS id, amount AS value, idx FROM ev WHERE event_type = 'click')
+@query(f"""{TODO_LISTS}, h AS (SELECT stream, id, arg_min(value, pos) AS held FROM items GROUP BY 1, 2), q AS (SELECT stream, k AS id, amount AS value, idx FROM ev WHERE event_type = 'click')
 SELECT q.stream, q.id, q.value, q.idx FROM q JOIN h ON h.stream = q.stream AND h.id = q.id WHERE q.value IS DISTINCT FROM h.held""")
 def todo_updates(spark: SparkSession, sf: str) -> DataFrame:
     """Clicks ask for updates; those of held items with another value are events."""
@@ -64,21 +64,21 @@ def todo_updates(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.todo_update(items, asked)
 
 
-@query(f"""{TODO}, q AS (SELECT DISTINCT stream, k AS id FROM ev WHERE event_type = 'click') SELECT q.* FROM q WHERE EXISTS (SELECT 1 FROM items i WHERE i.stream = q.stream AND i.id = q.id)""")
+@query(f"""{TODO_LISTS}, q AS (SELECT DISTINCT stream, k AS id FROM ev WHERE event_type = 'click') SELECT q.* FROM q WHERE EXISTS (SELECT 1 FROM items i WHERE i.stream = q.stream AND i.id = q.id)""")
 def todo_deletes(spark: SparkSession, sf: str) -> DataFrame:
     """Deletions of held items."""
     items, _ = folds.fold_todo(todo_rows(spark, sf))
     return decisions.todo_delete(items, ev(spark, sf).where("event_type = 'click'").select("stream", F.col("k").alias("id")).distinct())
 
 
-@query(f"""{TODO} SELECT e.stream, e.idx, s.next_id + row_number() OVER (PARTITION BY e.stream ORDER BY e.idx) - 1 AS id FROM ev e JOIN state s USING (stream) WHERE e.event_type = 'click'""")
+@query(f"""{TODO_LISTS} SELECT e.stream, e.idx, s.next_id + row_number() OVER (PARTITION BY e.stream ORDER BY e.idx) - 1 AS id FROM ev e JOIN state s USING (stream) WHERE e.event_type = 'click'""")
 def todo_adds(spark: SparkSession, sf: str) -> DataFrame:
     """A batch of additions takes ids from next_id on."""
     _, state = folds.fold_todo(todo_rows(spark, sf))
     return decisions.todo_add(state, ev(spark, sf).where("event_type = 'click'").select("stream", "idx"), ["idx"])
 
 
-@query(f"""{TODO} SELECT stream, next_id FROM state s WHERE EXISTS (SELECT 1 FROM items i WHERE i.stream = s.stream)""")
+@query(f"""{TODO_LISTS} SELECT stream, next_id FROM state s WHERE EXISTS (SELECT 1 FROM items i WHERE i.stream = s.stream)""")
 def todo_clears(spark: SparkSession, sf: str) -> DataFrame:
     """Clearings of lists that hold something."""
     _, state = folds.fold_todo(todo_rows(spark, sf))
