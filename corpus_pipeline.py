@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import decontam, lines, packing, queries, simhash, toxicity
+from tidefold.llm import decontam, lines, nearcopies, packing, queries, toxicity
 from tidefold.llm.common import written
 
 
@@ -25,8 +25,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest id."""
-    return simhash.keep_one(docs)
+    """Of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, that with the smallest id stays."""
+    return nearcopies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

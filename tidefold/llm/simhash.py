@@ -37,13 +37,11 @@ def _pieces(data: bytes) -> Iterator[bytes]:
         start = end
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Majority bits of the XXH64 of all ``width``-word shingles of a text, repeats included."""
-    if not text:
-        return 0
-    counts, total, tail, n_words = np.zeros(64, np.int64), 0, [], 0
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of all ``width``-word shingles of a text, by pieces; a text of fewer words is one shingle, a wordless one has none."""
+    tail, n_words, total = [], 0, 0
     digest = xxhash.xxh64_intdigest
-    for piece in _pieces(text.encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER)):
+    for piece in _pieces((text or "").encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER)):
         words = piece.split()
         n_words += len(words)
         words = tail + words
@@ -54,15 +52,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         joined = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n)
         total += n
-        for at in range(0, n, 65536):
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n)
+    if n_words and not total:
+        yield np.array([digest(b" ".join(tail), SEED)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Majority bits of the XXH64 of all ``width``-word shingles of a text, repeats included."""
+    counts, total = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, width):
+        total += len(h)
+        for at in range(0, len(h), 65536):
             part = h[at : at + 65536].astype("<u8")
             counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    if not n_words:
-        return 0
-    if not total:
-        return digest(b" ".join(tail), SEED)
     return int(sum(1 << i for i in np.flatnonzero(2 * counts > total).tolist()))
 
 
