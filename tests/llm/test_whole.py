@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from tidefold.llm import nearcopies
+from tidefold.llm import lines, nearcopies
 
 
 def jaccard(a, b):
@@ -31,3 +31,19 @@ def test_near_copies(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == want
     assert {r.component_id for r in nearcopies.groups(df, block=16).collect()} == want
+
+
+def test_passages_leave_whole(spark):
+    """Passages of 2 to 10 lines and over 50 words leave all later documents whole, whatever is beside them."""
+    rng = np.random.default_rng(12)
+    line = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    docs, want = [], {}
+    for p in range(54):
+        n = 2 + p % 9
+        passage = [line(1 + 51 // n) for _ in range(n)]
+        for copy in range(3):
+            before, after = [line(int(k)) for k in rng.integers(6, 19, 3)], [line(int(k)) for k in rng.integers(6, 19, 2)]
+            docs.append((10 * p + copy, "\n".join([*before, *passage, *after])))
+            want[10 * p + copy] = "\n".join([*before, *(passage if copy == 0 else []), *after])
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == want

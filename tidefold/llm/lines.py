@@ -1,10 +1,9 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup: runs of repeated lines.
 
-A rolling hash over the line hashes ends a chunk after most lines, but not where it hits some values, so
-chunk limits depend on the lines beside them and not on their place: a passage that was moved to
-another document is cut there as it was before. A line of LONG words or more is a chunk of its own.
-Chunks that come more than once anywhere are compared byte by byte (they are grouped by their bytes,
-not by their hash); the first document that holds one keeps it. Neighbouring repeated chunks form a
+Each line is a chunk of its own, so what is beside a passage has no say in where it is cut: a passage
+that was moved to another document meets its first copy line by line, from its first line to its last.
+Lines that come more than once anywhere are compared byte by byte (they are grouped by their bytes,
+not by their hash); the first document that holds one keeps it. Neighbouring repeated lines form a
 run, and runs of at least RUN words leave the other documents.
 """
 
@@ -20,26 +19,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LONG = 20
 RUN = 24
-WINDOW = 2
 CHUNKS = "key long, doc long, start int, n int, h long, words int, first boolean, text binary"
 _LAST = (1 << 63) - 1
 
 
 def chunks_of(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(start, end) of the chunks: 7 of 8 values of the rolling hash end one."""
-    hashes = [xxhash.xxh64_intdigest(x) for x in lines]
-    long = [len(x.split()) >= LONG if len(x) >= 2 * LONG - 1 else False for x in lines]
-    out, start, rolling = [], 0, 0
-    for i, h in enumerate(hashes):
-        rolling = (rolling * 0x9E3779B97F4A7C15 + h) & ((1 << 64) - 1)
-        if i >= WINDOW:
-            rolling = (rolling - hashes[i - WINDOW] * pow(0x9E3779B97F4A7C15, WINDOW, 1 << 64)) & ((1 << 64) - 1)
-        if i + 1 == len(lines) or long[i] or long[i + 1] or (rolling >> 32) & 7:
-            out.append((start, i + 1))
-            start = i + 1
-    return out
+    """(start, end) of the chunks: a line each."""
+    return [(i, i + 1) for i in range(len(lines))]
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
