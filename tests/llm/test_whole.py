@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from tidefold.llm import lines, nearcopies
+from tidefold.llm import decontam, lines, nearcopies
 
 
 def jaccard(a, b):
@@ -47,3 +47,27 @@ def test_passages_leave_whole(spark):
             want[10 * p + copy] = "\n".join([*before, *(passage if copy == 0 else []), *after])
     got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_short_items(spark):
+    """Items of 9 to 20 words are found with as many substitutions as the rule lets pass, wherever they are, and no more."""
+    rng = np.random.default_rng(13)
+    vocabulary = np.array([f"w{n}" for n in range(20000)])
+    items, docs, leaks = [], [], {}
+    for n in range(240):
+        size = 9 + n % 12
+        item = rng.choice(vocabulary, size, replace=False).tolist()
+        items.append((n, " ".join(item)))
+        most = min(size - 8, int(0.3 * size + 1e-9))
+        for kind, gone in enumerate((rng.choice(size, most, replace=False), np.arange(most) * 3 + 2, rng.choice(size, most + 1, replace=False))):
+            part = list(item)
+            for at in gone:
+                part[at] = "other"
+            docs.append((10 * n + kind, " ".join([*rng.choice(vocabulary, 30), *part, *rng.choice(vocabulary, 30)])))
+            if kind < 2:
+                leaks[10 * n + kind] = n
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.id: r.item_ids for r in decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), bench).where("contaminated").collect()}
+    assert all(n in got.get(d, []) for d, n in leaks.items())
+    # One more substitution is a leak only by a stretch of agreeing words.
+    assert sum(d not in leaks for d in got) < 24

@@ -4,6 +4,11 @@ A mask chooses some places of a window of words and ignores the others; its hash
 chosen words. Hashes of all windows of benchmark items and of documents are joined. Each hit gives a
 diagonal (place in the document less place in the item), and the words of both along the diagonal are
 then compared, so that an overlap with substituted words counts and a chance hit does not.
+
+The masks miss nothing that the comparison accepts. A stretch opens with three agreeing words, or its
+score would fall to 0 at the first substitution. Of an item of n words at most k = n - max(8, 70 % of n)
+disagree and leave n - k words in k + 1 runs; some run has three words unless n = 3 k + 2 and all runs
+have two, and then the second mask fits two of them and the substituted word between.
 """
 
 from __future__ import annotations
@@ -13,9 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Places of a window that a mask looks at; windows are 9 words long.
-MASKS = ((0, 1, 3, 5, 6, 8), (0, 2, 3, 4, 7, 8))
-SPAN = 1 + max(m[-1] for m in MASKS)
+#: Places of a window that a mask looks at.
+MASKS = ((0, 1, 2), (0, 1, 3, 4))
+SPAN = 1 + min(m[-1] for m in MASKS)
+#: Words of the shortest item that is looked for.
+SHORTEST = 9
 #: An item is found in a document if on one diagonal this share of its words agrees, or else a stretch of
 #: at least STRETCH agreeing words in which no more than one in three is substituted.
 SHARE, LEAST, STRETCH = 0.7, 8, 12
@@ -29,7 +36,10 @@ def word_hashes(text: Column) -> Column:
 
 
 def seeds(hashes: Column) -> Column:
-    """Mask hashes of all windows: those of the first mask by place, then those of the next."""
+    """Mask hashes of all windows: those of the first mask by place, then those of the next.
+
+    Where a longer mask reaches beyond the end, it looks at the words that are there.
+    """
     last = F.size(hashes) - SPAN
     places = F.sequence(F.lit(0), last)
 
@@ -61,7 +71,7 @@ def _overlap(a: Column, b: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_key, id, item_id, at, same, stretch, n_words): verified overlaps; doc_key stands for id and text."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col).cast("string")).alias("h")).where(F.size("h") >= SPAN)
+    items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col).cast("string")).alias("h")).where(F.size("h") >= SHORTEST)
     items = written(items.distinct(), "benchmark-items")
     item_seeds = written(_windows(items.withColumn("len", F.size("h")), "item_id", "len").withColumnRenamed("place", "item_place"), "benchmark-seeds")
     rows = docs.where(F.col(text_col).isNotNull()).select(key.alias("doc_key"), word_hashes(F.col(text_col).cast("string")).alias("h"))
