@@ -233,8 +233,7 @@ def test_packing_tokens(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    odd = ["<|endoftext|> as text", "tabs\t\tand   spaces \n\n x", "ünïcödé 🙂🙂 中文", "a" * 5000, "'s 'LL don't"]
+    odd = ["<|endoftext|> as text", "a <|endoftext|>  <|endoftext|><|endoftext|>\n<|endoftext", " <|endoftext|> ", "tabs\t\tand   spaces \n\n x", "ünïcödé 🙂🙂 中文", "a" * 5000, "'s 'LL don't"]
     docs = frame("documents")
     rows = [*zip(docs.doc_id.tolist(), docs.text, strict=True), *[(10_000 + n, t) for n, t in enumerate(odd)]]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.vocabulary()).toPandas().sort_values(["doc_id", "start"])

@@ -22,16 +22,30 @@ from .common import new_path
 PIECES = "doc_id long, start long, length int, ids binary, ids_crc32 long, doc_tokens long"
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter by which byte-level vocabularies write each byte: itself if it's visible, else the next one from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(0x100 + n): b for n, b in enumerate(hidden)}
+
+
 def load_encoder(path: str):
-    """texts -> ids of a byte-level BPE vocabulary (a .tiktoken rank file; no special tokens)."""
-    import base64
+    """text -> ids of a byte-level BPE file of ``tokenizers``, as its encode(text, add_special_tokens=False) gives them.
+
+    The ids of the file are its merge ranks, so tiktoken can take them, which needs a third of the time. The file's
+    added tokens, where a text spells them out, are found before anything else, as ``tokenizers`` does.
+    """
+    import json
 
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(path, encoding="utf-8") as f:
+        stored = json.load(f)
+    added = {t["content"]: t["id"] for t in stored["added_tokens"]}
+    letters = byte_letters()
+    ranks = {bytes(letters[c] for c in token): n for token, n in stored["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def cut(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, size: int) -> DataFrame:
@@ -45,7 +59,7 @@ def cut(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: in
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                ids = encoder.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+                ids = encoder.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
                 data, n = ids.astype("<u4").tobytes() + int(end_id).to_bytes(4, "little"), len(ids) + 1
                 for at in range(0, n, size):
                     part = data[4 * at : 4 * (at + size)]

@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json, as ranks
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
