@@ -57,6 +57,11 @@ def test_lines(spark, docs):
     assert out.where("doc_id = 2").first().text is None
     assert out.where("doc_id = 5").first().text == LONG
     assert lines.dedup_lines(docs.limit(0)).count() == 0
+    shared = " ".join(f"w{n}" for n in range(60))
+    same = spark.createDataFrame([(None, f"own one\n{shared}"), (None, f"{shared}\nown two"), (3, f"{shared}\nown three"), (3, f"own four\n{shared}"), (5, "\n" * 200), (6, "\n" * 200)], "doc_id long, text string")
+    got = [r.text for r in lines.dedup_lines(same).collect()]
+    assert sum(shared in t for t in got) == 1 and sum("own" in t for t in got) == 4 and got.count("\n" * 200) == 2
+    assert {r.doc_id for r in lines.dedup_lines(same).collect() if shared in r.text} == {3}
 
 
 def test_decontam(spark, docs):
