@@ -309,9 +309,46 @@ def test_hmm(spark):
         for s in text[1:]:
             a = np.log(np.exp(a - a.max()) @ move) + a.max() + np.log(emit[:, s])
         assert got == pytest.approx((a.max() + np.log(np.exp(a - a.max()).sum())) / np.log(10))
-    counts = hmm.expected_counts(texts, start, move, emit)
-    assert counts[:k].sum() == pytest.approx(len(texts), rel=1e-3)
-    assert counts[k + k * k :].sum() == pytest.approx(sum(map(len, texts)), rel=1e-3)
+
+
+def plain_counts(texts, start, move, emit):
+    """Baum-Welch over whole texts, one token after another."""
+    k = len(start)
+    starts, moves, by_symbol = np.zeros(k), np.zeros((k, k)), np.zeros((hmm.SYMBOLS, k))
+    for text in texts:
+        n = len(text)
+        alpha, beta = np.zeros((n, k)), np.ones((n, k))
+        for t in range(n):
+            alpha[t] = (start if t == 0 else alpha[t - 1] @ move) * emit[:, text[t]]
+            alpha[t] /= alpha[t].sum()
+        for t in range(n - 2, -1, -1):
+            beta[t] = move @ (emit[:, text[t + 1]] * beta[t + 1])
+            beta[t] /= beta[t].sum()
+        for t in range(n):
+            gamma = alpha[t] * beta[t]
+            by_symbol[text[t]] += gamma / gamma.sum()
+            if t == 0:
+                starts += gamma / gamma.sum()
+            else:
+                xi = alpha[t - 1][:, None] * move * (emit[:, text[t]] * beta[t])[None]
+                moves += xi / xi.sum()
+    return np.concatenate((starts, moves.reshape(-1), by_symbol.reshape(-1)))
+
+
+def test_baum_welch():
+    """Expected counts are those of whole texts, wherever they are cut into stretches, and a round raises the likelihood."""
+    rng = np.random.default_rng(19)
+    k, m = hmm.STATES, hmm.SYMBOLS
+    start, move, emit = rng.dirichlet(np.ones(k)), rng.dirichlet(np.full(k, 0.2), k), rng.dirichlet(np.full(m, 0.05), k)
+    move, emit = move + 1e-6, emit + 1e-9
+    texts = [rng.integers(0, 40, n) for n in (1, 2, 63, 64, 65, 128, 129, 700, 5, 1000)]
+    got, want = hmm.expected_counts(texts, start, move, emit), plain_counts(texts, start, move, emit)
+    assert np.allclose(got, want, rtol=2e-3, atol=5e-3)
+    assert got[:k].sum() == pytest.approx(len(texts), rel=1e-4) and got[k : k + k * k].sum() == pytest.approx(sum(len(t) - 1 for t in texts), rel=1e-4)
+    seen = np.bincount(np.concatenate(texts), minlength=m)
+    before, after = (hmm.log_likelihoods(texts, *x).sum() for x in ((start, move, emit), hmm.next_model(got, seen)))
+    assert after > before
+    assert not hmm.expected_counts([], start, move, emit).any()
 
 
 def test_hmm_scores(spark):

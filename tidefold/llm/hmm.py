@@ -29,7 +29,7 @@ SYMBOLS = 8192
 BUCKETS = 2048
 SUFFIX = 3
 ROUNDS = 3
-#: Training runs over stretches of this many tokens; scoring over whole texts.
+#: Training takes so many tokens of a text side by side; see expected_counts.
 STRETCH = 64
 ANCHORS = 64
 BLOCK_BYTES = 24 << 20
@@ -77,7 +77,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> tuple[
                 for doc, own, text in zip(batch.column(0)[s : s + 256].to_pylist(), batch.column(1)[s : s + 256].to_pylist(), batch.column(2)[s : s + 256], strict=True):
                     text = text.as_py()
                     words = words_of(text)
-                    size += len(text) if text else 0
+                    size += sum(map(len, words)) + len(words)
                     ids = np.fromiter([number.setdefault(w, len(number)) for w in words], np.int64, len(words))
                     if len(number) > len(counts):
                         counts = np.concatenate((counts, np.zeros(max(len(counts), len(number) - len(counts)), np.int64)))
@@ -87,11 +87,13 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> tuple[
                         else:
                             counts[: len(number)] += np.bincount(ids, minlength=len(number))
                     rows.append(((part << 20) + serial, doc, own, len(ids), *_planes(ids), None, None, None, None))
-                yield batch_of(list(zip(*rows, strict=True)))
-                if size > BLOCK_BYTES or len(number) > 1 << 22:
-                    yield from close()
-                    serial += 1
-                    number, counts, size = {}, np.zeros(1 << 16, np.int64), 0
+                    if size > BLOCK_BYTES or len(number) > 1 << 22:
+                        yield batch_of(list(zip(*rows, strict=True)))
+                        yield from close()
+                        rows, serial = [], serial + 1
+                        number, counts, size = {}, np.zeros(1 << 16, np.int64), 0
+                if rows:
+                    yield batch_of(list(zip(*rows, strict=True)))
         if number:
             yield from close()
 
@@ -142,7 +144,10 @@ def encode(docs: DataFrame, id_col: str, text_col: str, train: Column) -> tuple[
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
-    encoded = numbered.groupBy("block").cogroup(looked_up.groupBy("in_block")).applyInArrow(join_block, "id long, train boolean, n_tokens long, n_known long, base double, fixed double, symbols binary")
+    # Blocks are of bounded size, so a task's share stays as it is when there are more of them.
+    parts = max(shuffle_parts(spark), numbered.agg(F.count_distinct("block")).first()[0])
+    left, right = numbered.repartition(parts, "block"), looked_up.repartition(parts, "in_block")
+    encoded = left.groupBy("block").cogroup(right.groupBy("in_block")).applyInArrow(join_block, "id long, train boolean, n_tokens long, n_known long, base double, fixed double, symbols binary")
     return written(encoded, "hmm-encoded"), {"tokens": total, "types": types, "docs": n_docs}
 
 
@@ -211,36 +216,96 @@ def start_model(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=1, keepdims=True)
 
 
+def _stretches(texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(stretches of STRETCH tokens, the longest first; rank of a text's first stretch by text; the stretch after each, or -1)."""
+    cut = [t[i : i + STRETCH] for t in texts for i in range(0, len(t), STRETCH)]
+    counts = np.array([-(-len(t) // STRETCH) for t in texts], np.int64)
+    order = np.argsort([-len(c) for c in cut], kind="stable")
+    rank = np.empty(len(cut), np.int64)
+    rank[order] = np.arange(len(cut))
+    first = np.cumsum(counts) - counts
+    after = np.append(rank[1:], -1)
+    after[first + counts - 1] = -1
+    by_rank = np.empty(len(cut), np.int64)
+    by_rank[rank] = after
+    return [cut[i] for i in order], rank[first], by_rank
+
+
 def expected_counts(texts: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    """Expected start, transition and emission counts of whole texts, taken in stretches of STRETCH tokens."""
+    """Expected start, transition and emission counts of whole texts.
+
+    Long texts are taken in stretches side by side, and nothing is lost at their limits: the product of a
+    stretch's step matrices carries the forward and the backward vector over it, so every stretch starts
+    from the exact vectors of the whole text, and the step between two stretches is counted like any other.
+    """
     k = STATES
     by_symbol = np.zeros((SYMBOLS, k))
     starts, moves = np.zeros(k), np.zeros((k, k))
-    resume = np.linalg.matrix_power(move, 64).mean(axis=0)
-    pieces = [(t[i : i + STRETCH], i == 0) for t in texts for i in range(0, len(t), STRETCH)]
-    pieces.sort(key=lambda p: -len(p[0]))
+    texts = [t for t in texts if len(t)]
+    if not texts:
+        return np.concatenate((starts, moves.reshape(-1), by_symbol.reshape(-1)))
+    pieces, firsts, after = _stretches(texts)
     b_of, move32 = np.ascontiguousarray(emit.T, np.float32), move.astype(np.float32)
-    for at in range(0, len(pieces), 2048):
-        part = pieces[at : at + 2048]
-        n = np.array([len(p) for p, _ in part])
-        first = np.array([f for _, f in part])
-        length = int(n[0])
-        sym = np.zeros((length, len(part)), np.int64)
-        for j, (p, _) in enumerate(part):
+    n = np.array([len(p) for p in pieces])
+    before = np.full(len(pieces), -1)
+    before[after[after >= 0]] = np.flatnonzero(after >= 0)
+
+    def padded(at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols: step x stretch, how many stretches go on at each step)."""
+        sym = np.zeros((int(n[at]), end - at), np.int64)
+        for j, p in enumerate(pieces[at:end]):
             sym[: len(p), j] = p
-        live = (np.arange(length)[:, None] < n[None]).sum(axis=1)  # pieces are sorted: these many go on at each step
+        return sym, (np.arange(int(n[at]))[:, None] < n[None, at:end]).sum(axis=1)
+
+    # Products over all stretches that another one follows or precedes.
+    product = np.zeros((len(pieces), k, k), np.float32)
+    for at in range(0, len(pieces), 2048):
+        end = min(at + 2048, len(pieces))
+        if not ((after[at:end] >= 0) | (before[at:end] >= 0)).any():
+            continue
+        sym, live = padded(at, end)
+        held = np.broadcast_to(np.eye(k, dtype=np.float32), (end - at, k, k)).copy()
+        for t, m in enumerate(live):
+            b = b_of[sym[t, :m]]
+            if t == 0:  # a text's first token has no step before it
+                opening = before[at : at + m] < 0
+                stepped = move32[None] * b[:, None, :]
+                stepped[opening] = np.eye(k, dtype=np.float32)[None] * b[opening][:, None, :]
+            else:
+                stepped = (held[:m].reshape(-1, k) @ move32).reshape(-1, k, k) * b[:, None, :]
+            held[:m] = stepped / np.maximum(stepped.max(axis=(1, 2)), 1e-30)[:, None, None]
+        product[at:end] = held
+    # The forward vector before each stretch, and the backward vector at its end.
+    into, back = np.zeros((len(pieces), k), np.float32), np.ones((len(pieces), k), np.float32)
+    here = firsts
+    into[here] = start
+    last = firsts[after[firsts] < 0]
+    while len(here := here[after[here] >= 0]):
+        v = (into[here][:, None, :] @ product[here])[:, 0]
+        here = after[here]
+        into[here] = v / np.maximum(v.sum(axis=1), 1e-30)[:, None]
+        last = np.concatenate((last, here[after[here] < 0]))
+    here = last
+    while len(here := here[before[here] >= 0]):
+        v = (product[here] @ back[here][:, :, None])[:, :, 0]
+        here = before[here]
+        back[here] = v / np.maximum(v.sum(axis=1), 1e-30)[:, None]
+    for at in range(0, len(pieces), 2048):
+        end = min(at + 2048, len(pieces))
+        sym, live = padded(at, end)
+        length, first, own = len(sym), before[at:end] < 0, into[at:end]
         b = b_of[sym]
-        alpha = np.zeros((length, len(part), k), np.float32)
-        a = np.where(first[:, None], start, resume).astype(np.float32) * b[0]
-        scale = np.ones((length, len(part)), np.float32)
+        alpha = np.zeros((length, end - at, k), np.float32)
+        scale = np.ones((length, end - at), np.float32)
         for t in range(length):
             m = live[t]
-            if t:
-                a = (alpha[t - 1, :m] @ move32) * b[t, :m]
+            a = np.where(first[:, None], own, own @ move32) * b[0] if t == 0 else (alpha[t - 1, :m] @ move32) * b[t, :m]
             s = np.maximum(a.sum(axis=1), 1e-30)
             scale[t, :m] = s
             alpha[t, :m] = a / s[:, None]
-        beta = np.ones((len(part), k), np.float32)
+        beta = back[at:end].copy()
+        ends = alpha[n[at:end] - 1, np.arange(end - at)]
+        beta /= np.maximum((ends * beta).sum(axis=1), 1e-30)[:, None]
         for t in range(length - 1, -1, -1):
             m = live[t]
             if t + 1 < length:
@@ -249,8 +314,10 @@ def expected_counts(texts: list[np.ndarray], start: np.ndarray, move: np.ndarray
                 moves += (alpha[t, :more].T @ right).astype(np.float64)
                 beta[:more] = right @ move32.T
             alpha[t, :m] *= beta[:m]
+        right = (b[0] * beta / scale[0][:, None])[~first]
+        moves += (own[~first].T @ right).astype(np.float64)
         starts += alpha[0][first].sum(axis=0)
-        mask = np.arange(length)[:, None] < n[None]
+        mask = np.arange(length)[:, None] < n[None, at:end]
         flat, gamma = sym[mask], alpha[mask]
         for j in range(k):
             by_symbol[:, j] += np.bincount(flat, gamma[:, j], SYMBOLS)
@@ -294,6 +361,19 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), "<u2").astype(np.int64) for x in batch.column(column)]
 
 
+def _portions(texts: list[np.ndarray], tokens: int = 1 << 20) -> Iterator[list[np.ndarray]]:
+    """The texts in portions of about so many tokens, a longer text by itself."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > tokens:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def train_model(encoded: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch over the symbols of all training documents."""
     own = encoded.where("train").select("symbols")
@@ -312,8 +392,8 @@ def train_model(encoded: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, n
         def expect(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             total = np.zeros(STATES + STATES**2 + SYMBOLS * STATES)
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    total += expected_counts(_texts(batch.slice(at, 1024), 0), *model)
+                for texts in _portions(_texts(batch, 0)):
+                    total += expected_counts(texts, *model)
             yield slices(total)
 
         model = next_model(summed(own.mapInArrow(expect, "slice int, data binary"), STATES + STATES**2 + SYMBOLS * STATES), seen)
