@@ -102,10 +102,10 @@ def test_hmm(spark, docs):
 
 
 def test_secrets(spark, docs):
-    found, added = secrets.scan(docs, "doc_id", "text")
-    assert found.count() == len(TEXTS)
-    assert added.select("blob").distinct().count() == len({t or "" for _, t in TEXTS})
-    assert secrets.scan(docs.limit(0), "doc_id", "text")[0].count() == 0
+    ledger = new_path(spark, "ledger-test")
+    assert secrets.scan(docs.limit(0), "doc_id", "text", ledger).count() == 0
+    assert secrets.scan(docs, "doc_id", "text", ledger).count() == len(TEXTS)
+    assert spark.read.parquet(ledger).select("blob").distinct().count() == len({t or "" for _, t in TEXTS})
 
 
 def test_chat(spark):

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -35,72 +34,99 @@ RULES: tuple[Rule, ...] = (
 )
 
 SPANS = "array<struct<start:int,kind_no:int,end:int>>"
+LEDGER = f"blob binary, kind string, rule_version string, spans {SPANS}"
+
+
+def _search(rule: Rule) -> str:
+    """The pattern to search by: a run of one class is matched whole, so its least length can stand in the pattern."""
+    return rule.pattern if rule.body else rule.pattern.removesuffix("+") + f"{{{rule.least - (4 if rule.kind == 'access' else 0)},}}"
 
 
-def _spans(text: Column, rule: Rule, kind_no: int) -> Column:
-    """Code-point spans of the leftmost non-overlapping matches, without those whose body is too short.
+def _segments(text: Column, rule: Rule) -> Column:
+    """The text up to the last match, cut after each match; empty without one.
 
-    \\G ties each match to the end of the one before, so that the segments (what precedes a match,
-    and the match) cover the text from its start and their lengths add up to places.
+    \\G ties each match to the end of the one before, so the segments (what precedes a match, and the
+    match) cover the text from its start, and their lengths add up to places.
     """
-    # A run of one class is matched whole, so a minimum length can stand in the pattern itself.
-    pattern = rule.pattern if rule.body else rule.pattern.removesuffix("+") + f"{{{rule.least - (4 if rule.kind == 'access' else 0)},}}"
-    whole = rf"\G(?s:.*?)({pattern})"
-    segments = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
-    matches = F.regexp_extract_all(text, F.lit(whole), F.lit(1))
-    bodies = F.regexp_extract_all(text, F.lit(whole), F.lit(1 + rule.body)) if rule.body else matches
-    parts = F.zip_with(F.zip_with(segments, matches, lambda s, m: F.struct(F.length(s).alias("s"), F.length(m).alias("m"))), bodies, lambda p, b: F.struct(p["s"].alias("s"), p["m"].alias("m"), F.length(b).alias("b")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + p["s"]).alias("at"),
-        F.when(p["b"] >= rule.least, F.concat(acc["out"], F.array(F.struct((acc["at"] + p["s"] - p["m"]).alias("start"), F.lit(kind_no).alias("kind_no"), (acc["at"] + p["s"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
-    )
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
     # The plain search goes first: most texts hold none, and it keeps no strings.
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
+    found = F.regexp_extract_all(text, F.lit(rf"\G(?s:.*?)(?:{_search(rule)})"), F.lit(0))
+    return F.when(text.rlike(_search(rule)), found).otherwise(F.array().cast("array<string>"))
 
 
-def ledger_of(spark) -> DataFrame:
-    """A ledger that has seen nothing."""
-    return spark.createDataFrame([], f"blob binary, kind string, rule_version string, spans {SPANS}")
+def _spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, kind_no, spans) of (blob, text, kinds): code-point spans of the leftmost non-overlapping matches of each kind due.
 
+    A row for each blob and kind, with no spans where nothing is found. Segments become rows, so a text of
+    any number of matches costs no more for each of them.
+    """
+    due = [F.when(F.array_contains("kinds", r.kind), F.struct(F.lit(n).alias("kind_no"), _segments(F.col("text"), r).alias("segments"))) for n, r in enumerate(rules)]
+    rows = blobs.select("blob", F.explode(F.array_compact(F.array(*due))).alias("x")).select("blob", "x.kind_no", F.posexplode_outer("x.segments").alias("i", "segment"))
+    at = F.sum(F.length("segment")).over(Window.partitionBy("blob", "kind_no").orderBy("i"))
+    match = body = F.lit(None).cast("string")
+    for n, r in enumerate(rules):  # a segment's first match is the one that it ends with
+        match = F.when(F.col("kind_no") == n, F.regexp_extract("segment", _search(r), 0)).otherwise(match)
+        body = F.when(F.col("kind_no") == n, F.regexp_extract("segment", _search(r), r.body)).otherwise(body)
+    least = F.get(F.array(*[F.lit(r.least) for r in rules]), F.col("kind_no"))
+    placed = rows.select("blob", "kind_no", at.cast("int").alias("end"), F.length(match).alias("n"), (F.length(body) >= least).alias("good"))
+    span = F.when(F.col("good"), F.struct((F.col("end") - F.col("n")).alias("start"), "kind_no", "end"))
+    return placed.groupBy("blob", "kind_no").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+
+
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    """A ledger that has seen nothing."""
+    return spark.createDataFrame([], LEDGER)
 
-def scan(versions: DataFrame, path_col: str, text_col: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings, additions): per version its spans, and the ledger rows that this run adds.
 
-    findings: path, blob, spans (start, kind_no, end; ordered by start, then kind). Append additions
-    to the ledger, and the next run leaves these blobs out. Defined results: a null text counts as
-    empty; rows that repeat a path come out as often as they go in; a null path is kept; an empty table
-    gives an empty result; other columns are ignored.
-    """
+def _addressed(versions: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    """(path, text, blob): every version under its content's address."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     files = versions.select(F.col(path_col).alias("path"), text.alias("text"))
-    blob = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("blob")
-    paths = files.select("path", blob)
-    blobs = paths.groupBy("blob").agg(F.min("path").alias("at"))
+    return files.withColumn("blob", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+
+
+def additions(versions: DataFrame, path_col: str, text_col: str, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger rows that are due: the spans of every pair of a blob and a rule's version that the ledger lacks.
+
+    Each blob is scanned once, however many versions hold it, and for the rules that are due alone.
+    """
+    files = _addressed(versions, path_col, text_col)
     todo = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version")) for r in rules])
-    pairs = blobs.select("blob", "at", F.explode(todo).alias("r")).select("blob", "at", "r.*")
-    if ledger is not None:
-        pairs = pairs.join(ledger.select("blob", "kind", "rule_version").distinct(), ["blob", "kind", "rule_version"], "left_anti")
-    if ledger is None:
-        unseen = blobs.select("blob", "at", F.array(*[F.lit(r.kind) for r in rules]).alias("kinds"))
-    else:
-        unseen = pairs.groupBy("blob").agg(F.first("at").alias("at"), F.collect_set("kind").alias("kinds"))
+    pairs = files.groupBy("blob").agg(F.min("path").alias("at")).select("blob", "at", F.explode(todo).alias("r")).select("blob", "at", "r.*")
+    unseen = pairs.join(ledger.select("blob", "kind", "rule_version").distinct(), ["blob", "kind", "rule_version"], "left_anti")
     # One row of the versions stands for a blob: that with the smallest path and this content.
-    unseen = unseen.select("at", "kinds", F.col("blob").alias("b"))
-    source = files.select("path", "text", blob).join(unseen.hint("shuffle_hash"), (F.col("path").eqNullSafe(F.col("at"))) & (F.col("blob") == F.col("b")))
-    per_rule = [F.when(F.array_contains("kinds", r.kind), _spans(F.col("text"), r, n)) for n, r in enumerate(rules)]
-    scanned = written(source.select("blob", *[c.alias(r.kind) for c, r in zip(per_rule, rules, strict=True)]).dropDuplicates(["blob"]), "blob-findings")
-    stacked = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version"), F.col(r.kind).alias("spans")) for r in rules])
-    additions = scanned.select("blob", F.explode(stacked).alias("r")).select("blob", "r.*").where("spans is not null")
-    if ledger is None:
-        known = scanned.select("blob", F.array_sort(F.flatten(F.array(*[F.col(r.kind) for r in rules]))).alias("spans"))
-    else:
-        versions_now = F.array(*[F.concat_ws(":", F.lit(r.kind), F.lit(r.version)) for r in rules])
-        current = ledger.where(F.array_contains(versions_now, F.concat_ws(":", "kind", "rule_version"))).unionByName(additions)
-        known = current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    findings = paths.join(known.where(F.size("spans") > 0), "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
-    return findings, additions
+    unseen = unseen.groupBy("blob").agg(F.first("at").alias("at"), F.collect_set("kind").alias("kinds")).withColumnRenamed("blob", "b")
+    source = files.join(unseen.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("at")) & (F.col("blob") == F.col("b"))).select("blob", "text", "kinds").dropDuplicates(["blob"])
+    names, numbers = F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(r.version) for r in rules])
+    return _spans(source, rules).select("blob", F.get(names, F.col("kind_no")).alias("kind"), F.get(numbers, F.col("kind_no")).alias("rule_version"), "spans")
+
+
+def findings(versions: DataFrame, path_col: str, text_col: str, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(path, blob, spans): per version the spans that the ledger holds of its blob, ordered by start, then kind."""
+    versions_now = F.array(*[F.concat_ws(":", F.lit(r.kind), F.lit(r.version)) for r in rules])
+    current = ledger.where(F.array_contains(versions_now, F.concat_ws(":", "kind", "rule_version")) & (F.size("spans") > 0))
+    known = current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    paths = _addressed(versions, path_col, text_col).select("path", "blob")
+    return paths.join(known, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+def scan(versions: DataFrame, path_col: str, text_col: str, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Bring the ledger under ``ledger_path`` up to date and return (path, blob, spans) of every version.
+
+    Only pairs of a blob and a rule's version that the ledger lacks are scanned, and their rows are
+    appended. A run that fails before its append has ended leaves the ledger as it was; a run that is
+    repeated adds nothing. One run at a time may append. Defined results: a null text counts as empty; rows
+    that repeat a path come out as often as they go in; a null path is kept; an empty table gives an empty
+    result; other columns are ignored.
+    """
+    spark = versions.sparkSession
+    try:
+        ledger = spark.read.schema(LEDGER).parquet(ledger_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ledger = empty_ledger(spark)
+    additions(versions, path_col, text_col, ledger, rules).write.mode("append").parquet(ledger_path)
+    return findings(versions, path_col, text_col, spark.read.schema(LEDGER).parquet(ledger_path), rules)
 
 
 def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
