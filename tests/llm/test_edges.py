@@ -71,6 +71,8 @@ def test_decontam(spark, docs):
     assert [(r.id, r.item_ids) for r in got if r.contaminated] == [(5, [1, 5])]
     assert decontam.decontaminate(docs, bench).count() == len(TEXTS) - 1
     assert decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0
+    short = bench.union(spark.createDataFrame([(6, "Two, THREE four!"), (7, "...")], bench.schema))
+    assert sorted((r.id, r.item_ids) for r in decontam.report(docs, short).where("contaminated").collect()) == [(1, [6]), (1, [6]), (5, [1, 5]), (6, [6])]
     assert decontam.report(docs.limit(0), bench).count() == 0
 
 

@@ -71,3 +71,42 @@ def test_short_items(spark):
     assert all(n in got.get(d, []) for d, n in leaks.items())
     # One more substitution is a leak only by a stretch of agreeing words.
     assert sum(d not in leaks for d in got) < 24
+
+
+def plain_overlap(here, item):
+    """Is an item found on one diagonal? By the rule as the module states it, word by word."""
+    same = score = run = best = stretch = 0
+    for x, y in zip(here, item, strict=True):
+        same += x == y
+        if x == y:
+            score, run = score + 1, run + 1
+        else:
+            score, run = max(score - 2, 0), 0 if score <= 2 else run
+        if score > best:
+            best, stretch = score, run
+    return same >= max(decontam.SHARE * len(item), decontam.LEAST) or stretch >= decontam.STRETCH
+
+
+def test_all_diagonals(spark, monkeypatch):
+    """What is found is what a plain search over all diagonals finds, whatever words are substituted; also in many cuts of a document's hits."""
+    monkeypatch.setattr(decontam, "HITS_A_ROW", 2)
+    rng = np.random.default_rng(23)
+    vocabulary = np.array([f"w{n}" for n in range(300)])
+    items = {n: rng.choice(vocabulary, int(rng.integers(1, 31))).tolist() for n in range(160)}
+    docs = {}
+    for n, item in items.items():
+        for rate, doc in ((0.1, 10 * n), (0.2, 10 * n + 1), (0.3, 10 * n + 2)):
+            part = [w if rng.random() > rate else str(rng.choice(vocabulary)) for w in item]
+            docs[doc] = [*rng.choice(vocabulary, rng.integers(0, 20)), *part, *rng.choice(vocabulary, rng.integers(0, 20))]
+    want = set()
+    for d, words in docs.items():
+        for n, item in items.items():
+            if len(item) < decontam.SHORTEST:
+                found = any(words[a : a + len(item)] == item for a in range(len(words) - len(item) + 1))
+            else:
+                found = any(plain_overlap([words[a + k] if 0 <= a + k < len(words) else None for k in range(len(item))], item) for a in range(1 - len(item), len(words)))
+            if found:
+                want.add((d, n))
+    frames = (spark.createDataFrame([(k, " ".join(map(str, v))) for k, v in x.items()], f"{name} long, text string") for x, name in ((docs, "doc_id"), (items, "item_id")))
+    got = {(r.id, n) for r in decontam.report(*frames).collect() for n in r.item_ids}
+    assert len(want) > 200 and got == want
