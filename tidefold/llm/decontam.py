@@ -115,7 +115,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     many = counted.groupBy("doc_key").count().where(F.col("count") > HITS_A_ROW).select("doc_key", F.ceil(F.col("count") / HITS_A_ROW).cast("int").alias("cuts"))
     cut = F.pmod(F.xxhash64("item_id", "diagonal"), F.coalesce("cuts", F.lit(1))).alias("cut")
     wanted = counted.join(many, "doc_key", "left").groupBy("doc_key", cut).agg(F.collect_list(F.struct("item_id", "diagonal", "len")).alias("hits"))
-    in_docs = rows.join((F.broadcast(wanted) if counted.count() <= BROADCAST_ROWS // 4 else wanted).withColumnRenamed("doc_key", "k"), _same_key("doc_key", "k")).select("doc_key", "h", "hits")
+    # Hits grow with the documents, so they are never broadcast; texts are dealt once, and only those with hits are hashed again.
+    texts = docs.where(F.col(text_col).isNotNull()).select(_key(id_col, text_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
+    in_docs = texts.join(wanted.withColumnRenamed("doc_key", "k").hint("shuffle_hash"), _same_key("doc_key", "k")).select("doc_key", word_hashes(F.col("text")).alias("h"), "hits")
     beside = lambda x: F.struct(
         x["item_id"].alias("item_id"), x["diagonal"].alias("at"),
         F.slice("h", F.greatest(x["diagonal"], F.lit(0)) + 1, F.greatest(x["len"] + F.least(x["diagonal"], F.lit(0)), F.lit(0))).alias("here"),
