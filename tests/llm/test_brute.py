@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.test_oracles import TABLES, plain
-from tidefold.llm import chat, decontam, hmm, lattice, lines, packing, queries, secrets, simhash
+from tidefold.llm import chat, decontam, hmm, lattice, lines, packing, queries, secrets, simhash, toxicity
 from tidefold.llm.common import UPPER_TO_LOWER, components, new_path
 
 SF = "/root/testdata/sf0.001"
@@ -384,13 +384,85 @@ def test_hmm_scores(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
-def test_toxicity_accuracy(spark):
+def test_toxicity_held_out(spark):
+    """Of documents that no model learned from; labels are noisy here, so some toxic ones hold nothing toxic."""
     sf = "/root/testdata/sf0.01"
     got = queries.op7_toxicity(spark, sf).toPandas().merge(frame("labels", sf), on="doc_id")
     held = got[got.held_out]
-    assert len(got) and ((got.score >= 0) & (got.score <= 1)).all()
-    assert (held.predicted == held.toxic).mean() > 0.9
-    assert held[held.toxic == 0].predicted.mean() < 0.05
+    assert len(got) and ((got.score >= 0) & (got.score <= 1)).all() and (got.predicted == (got.score >= 0.7)).all()
+    assert held[held.toxic == 1].predicted.mean() >= 0.7
+    assert held[held.toxic == 0].predicted.mean() <= 0.01
+
+
+def plain_word_ratio(toxic, ordinary, word):
+    """log P(word | toxic) - log P(word | ordinary), by the definition of Kneser-Ney with shared backoff counts."""
+    n, d = toxicity.ORDER, toxicity.DISCOUNT
+    grams = lambda w: [("\x02" * (n - 1) + w + "\x03")[i : i + n] for i in range(len(w) + 1)]
+    own = [Counter(), Counter()]
+    for c, words in zip(own, (toxic, ordinary), strict=True):
+        for w, times in words.items():
+            for g in grams(w):
+                c[g] += times
+    known = {n: set(own[0]) | set(own[1])}
+    follows = {}
+    for k in range(n - 1, 0, -1):
+        follows[k] = Counter(g[1:] for g in known[k + 1])
+        known[k] = set(follows[k])
+
+    def shared(g):
+        if not g:
+            return 1 / max(len(known[1]), 256)
+        beside = [c for x, c in follows[len(g)].items() if x[:-1] == g[:-1]]
+        return (max(follows[len(g)][g] - d, 0) + d * len(beside) * shared(g[1:])) / sum(beside)
+
+    total = 0.0
+    for g in grams(word):
+        probs = []
+        for c in own:
+            beside = [v for x, v in c.items() if x[:-1] == g[:-1]]
+            left = d * len(beside) / sum(beside) if beside else 1.0
+            probs.append((left, (max(c[g] - d, 0) / sum(beside) if beside else 0.0) + left * (shared(g[1:]) if g in known[n] else 1.0)))
+        if g in known[n]:
+            total += np.log(probs[0][1] / probs[1][1])
+        elif any(x[:-1] == g[:-1] for x in known[n]):
+            total += np.log(probs[0][0] / probs[1][0])
+    return total
+
+
+def test_kneser_ney():
+    toxic, ordinary = Counter({"idiot": 5, "idiots": 2, "walk": 3, "the": 9, "an": 1}), Counter({"walk": 6, "walks": 1, "the": 12, "idea": 2, "thesis": 1, "and": 4})
+    ratio = toxicity.fit_ratio(toxic, ordinary)
+    words = ["idiot", "idiots", "idiotic", "walk", "walking", "the", "then", "zebra", "an", "and", "ideal", ""]
+    want = [plain_word_ratio(toxic, ordinary, w) for w in words if w]
+    assert ratio.of([w for w in words if w]) == pytest.approx(want, abs=1e-4)
+
+
+def test_expressions():
+    """Pairs of plain words that mark a class are learned: counts by the definition, and texts told apart by them alone."""
+    rng = np.random.default_rng(29)
+    parts = ["lo", "mi", "ta", "re", "su", "na", "ko", "pe", "vi", "da", "zu", "fe", "go", "bi"]
+    vocabulary = [a + b for a in parts for b in parts] + ["get", "lost"]
+    texts, labels = [], []
+    for n in range(600):
+        words = rng.choice(vocabulary, 60).tolist()
+        words = [w for k, w in enumerate(words) if not (w == "lost" and k and words[k - 1] == "get")]
+        if n % 3 == 0:
+            for at in rng.integers(0, 40, 4).tolist():
+                words[at:at] = ["get", "lost"]
+        else:
+            words[5:5], words[20:20] = ["lost"] * 4, ["get", "lona"] * 4
+        texts.append(" ".join(words))
+        labels.append(int(n % 3 == 0))
+    split = lambda y: [t.split() for t, z in zip(texts[:400], labels, strict=False) if z == y]
+    pairs = toxicity.fit_expressions(split(1), split(0))
+    seen = [{(u, v, w) for t in split(y) for u, v, w in zip(["", *t], t, t[1:], strict=False)} for y in (1, 0)]
+    own = [Counter((v, w) for _, v, w in s) for s in seen]
+    every = set(own[0]) | set(own[1])
+    log = lambda c, v, w: np.log((max(c[v, w] - 0.75, 0) + 0.75 * sum(x == v for x, _ in c) * sum(y == w for _, y in every) / len(every)) / sum(k for (x, _), k in c.items() if x == v))
+    assert pairs["get", "lost"] == pytest.approx(log(own[0], "get", "lost") - log(own[1], "get", "lost")) and pairs["get", "lost"] > 1
+    model = toxicity.fit(texts[:400], labels[:400])
+    score = model.scores(texts[400:], toxicity.Ratios(model.ratio, model.expressions))
+    assert ((score >= 0.5) == np.array(labels[400:])).mean() > 0.95
 
 
 def test_warc_digest(spark):

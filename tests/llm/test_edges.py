@@ -48,6 +48,10 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, nothing).count() == len(TEXTS)
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (6, None), (7, 0)], "doc_id long, toxic int")
     assert toxicity.learn(docs, labels, F.lit(True)) is not None
+    both = labels.union(spark.createDataFrame([(1, 0)], labels.schema))
+    assert toxicity.learn(docs, both, F.lit(True), most_toxic=1, most_ordinary=1) is not None
+    assert toxicity.score(docs, toxicity.learn(docs, labels.limit(0), F.lit(True))).count() == len(TEXTS)
+    assert toxicity.score(docs, toxicity.learn(docs.limit(0), labels, F.lit(True))).count() == len(TEXTS)
 
 
 def test_lines(spark, docs):

@@ -1,13 +1,20 @@
-"""Toxicity by class-conditional Kneser-Ney models of the characters of words.
+"""Toxicity by class-conditional Kneser-Ney models.
 
 One model for each class, toxic and ordinary. Only the counts of whole contexts are a class's own; the
-counts to which they back off are shared, those of both classes together. So a letter sequence that
-neither class knows says nothing, and a rare word is judged by the familiar parts that it is made of.
-A document's score compares the length-normalised log-likelihoods of its words under both models.
+counts to which they back off are shared, those of both classes together. A word is modelled by its
+characters, so a letter sequence that neither class knows says nothing, and a rare word is judged by the
+familiar parts that it is made of. A word in an expression, a common pair that the classes use unlike, is
+modelled by the word before it.
+
+A toxic document is a text of which a small share of words is drawn from the toxic model and the rest
+from the ordinary one. Its log-likelihood less that under the ordinary model alone, divided by the root
+of its length in words, is what decides: the score is the logistic function of this one number, with
+the threshold and slope that fit the training rows best.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,9 +28,12 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+")
 ORDER = 7
 DISCOUNT = 0.75
-#: Bounds of the sample that the models are fitted on: documents of each class, and characters of one.
-FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2_000, 4_000, 20_000
-#: Prior share of toxic words in a toxic document, for the mixture of both models.
+#: Bounds of the sample that the models are fitted on: documents of each class.
+FIT_TOXIC, FIT_ORDINARY = 2_000, 4_000
+#: Occurrences of a word, and different words before a pair of them, from which they are common enough to model
+#: expressions by, and the chi-square from which a pair's counts in the two classes differ by more than chance.
+EXPRESSION, APART = 8, 30.0
+#: Share of words of a toxic document that the toxic model draws.
 SHARE = 0.02
 FOLDS = 4
 CACHE = 300_000
@@ -117,11 +127,47 @@ def fit_ratio(toxic: Counter, ordinary: Counter) -> Ratio:
     return Ratio(grams[a], (logs[1] - logs[0])[a].astype(np.float32), contexts[b], (default[1] - default[0])[b].astype(np.float32))
 
 
+def fit_expressions(toxic: list[list[str]], ordinary: list[list[str]]) -> dict[tuple[str, str], float]:
+    """log P(word | word before, toxic) - log P(the same | ordinary) of common pairs.
+
+    A pair counts once for each word before it. A class's own counts of pairs back off to the shared continuation counts, the numbers of different
+    words before a word in both classes. Words that aren't common are one word here.
+    """
+    counts = Counter(w for text in (*toxic, *ordinary) for w in text)
+    number = {w: n + 1 for n, w in enumerate(sorted(w for w, c in counts.items() if c >= EXPRESSION))}
+    names, size = list(number), len(number) + 1
+    each = []
+    for texts in (toxic, ordinary):
+        seen = [np.empty((0, 2), np.int64)]
+        for text in texts:
+            n = np.fromiter((number.get(w, 0) for w in text), np.int64, len(text))
+            around = np.fromiter(map(hash, ("", *text[:-2])), np.int64, max(len(text) - 1, 0))
+            seen.append(np.stack((n[:-1] * size + n[1:], around), axis=1))
+        # One of equal pairs with equal words before them: what copies of a text repeat is no usage.
+        codes = np.concatenate(seen)
+        order = np.lexsort(codes.T)
+        codes = codes[order]
+        each.append(codes[np.append(True, (codes[1:] != codes[:-1]).any(axis=1)), 0] if len(codes) else codes[:, 0])
+    pairs, inverse = np.unique(np.concatenate(each), return_inverse=True)
+    own = [np.bincount(inverse[: len(each[0])], minlength=len(pairs)), np.bincount(inverse[len(each[0]) :], minlength=len(pairs))]
+    before, word = pairs // size, pairs % size
+    shared = np.bincount(word, minlength=size)[word] / max(len(pairs), 1)
+    logs = []
+    for n in own:
+        total, types = np.bincount(before, n, size)[before], np.bincount(before, n > 0, size)[before]
+        logs.append(np.log(np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * types * shared) / np.maximum(total, 1), shared)))
+    whole = np.array([n.sum() for n in own], np.float64)
+    expected = (own[0] + own[1])[None] * (whole / max(whole.sum(), 1))[:, None]
+    apart = ((np.stack(own) - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=0) >= APART
+    common = (before > 0) & (word > 0) & (own[0] + own[1] >= EXPRESSION) & apart
+    return {(names[a - 1], names[b - 1]): r for a, b, r in zip(before[common].tolist(), word[common].tolist(), (logs[0] - logs[1])[common].tolist(), strict=True)}
+
+
 class Ratios:
-    """Word ratios with a bounded cache."""
+    """Log-likelihood ratios of the words of texts, with a bounded cache."""
 
-    def __init__(self, ratio: Ratio) -> None:
-        self.ratio, self.known = ratio, {}
+    def __init__(self, ratio: Ratio, expressions: dict[tuple[str, str], float]) -> None:
+        self.ratio, self.expressions, self.known = ratio, expressions, {}
 
     def of(self, texts: list[list[str]]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
@@ -130,107 +176,118 @@ class Ratios:
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
             self.known.update(zip(part, self.ratio.of(part).tolist(), strict=True))
-        return [np.fromiter(map(self.known.__getitem__, t), np.float64, len(t)) for t in texts]
+        out = []
+        for t in texts:
+            r = np.fromiter(map(self.known.__getitem__, t), np.float64, len(t))
+            inside = np.fromiter(map(self.expressions.get, zip(t, t[1:], strict=False), itertools.repeat(np.nan)), np.float64, max(len(t) - 1, 0))
+            found = np.flatnonzero(~np.isnan(inside))
+            r[found + 1] = inside[found]
+            out.append(r)
+        return out
 
 
-def features(ratios: np.ndarray) -> list[float]:
-    """Length-normalised comparisons: of the whole text, and of a mixture in which a small share of words is toxic."""
-    n = len(ratios)
-    if not n:
-        return [0.0, 0.0, 0.0, 0.0]
-    mixed = np.log1p(SHARE * np.expm1(np.clip(ratios, -30, 12)))
-    k = min(n, max(2, n // 50))
-    peak = np.partition(ratios, n - k)[n - k :].mean() * min(1.0, n / 2)
-    total = mixed.sum()
-    return [float(np.clip(ratios, -4, 4).mean()), float(total / np.sqrt(n)), float(peak), float(total / n * 10)]
+def evidence(ratios: np.ndarray) -> float:
+    """Log-likelihood of a toxic document less that of an ordinary one, by the root of the length; 0 for a wordless text."""
+    return float(np.log1p(SHARE * np.expm1(np.clip(ratios, -30, 12))).sum() / np.sqrt(max(len(ratios), 1)))
 
 
 @dataclass
 class Model:
     ratio: Ratio
-    centre: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    expressions: dict[tuple[str, str], float]
+    threshold: float
+    slope: float
 
-    def scores(self, rows: list[list[float]]) -> np.ndarray:
-        x = (np.array(rows, np.float64).reshape(-1, 4) - self.centre) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+    def scores(self, texts: list[str | None], ratios: Ratios) -> np.ndarray:
+        x = np.array([evidence(r) for r in ratios.of([words_in(t) for t in texts])], np.float64)
+        return 1 / (1 + np.exp(-np.clip(self.slope * (x - self.threshold), -30, 30)))
 
 
 def words_in(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    x1, w = np.hstack((x, np.ones((len(x), 1)))), np.zeros(x.shape[1] + 1)
-    keep = ridge * np.r_[np.ones(x.shape[1]), 1e-3]
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(keep), x1.T @ (y - p) - keep * w)
-        w += step
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(threshold, slope) of the logistic function that fits best, the slope above 0."""
+    spread = x.std() + 1e-9
+    z, w = np.stack(((x - x.mean()) / spread, np.ones(len(x))), axis=1), np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag([0.1, 1e-3]), z.T @ (y - p) - np.array([0.1, 1e-3]) * w)
+        w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    slope = max(float(w[0]), 1e-3)
+    return float(x.mean() - spread * w[1] / slope), slope / spread
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
-    """Models on all texts; weights of the features from models that didn't see the text (FOLDS folds)."""
+    """Models on all texts; threshold and slope by models that didn't see the text (FOLDS folds)."""
     same: dict[str, str] = {}
     words = [[same.setdefault(w, w) for w in words_in(t)] for t in texts]
     y = np.array(labels, np.float64)
 
-    def counts(rows: list[int], label: int) -> Counter:
-        out: Counter = Counter()
-        for i in rows:
-            if y[i] == label:
-                out.update(words[i])
-        return out
-
-    def ratio_of(rows: list[int]) -> Ratio:
-        return fit_ratio(counts(rows, 1) or Counter({"\x04": 1}), counts(rows, 0) or Counter({"\x04": 1}))
+    def learned(rows: list[int]) -> tuple[Ratio, dict]:
+        toxic, ordinary = ([words[i] for i in rows if y[i] == label] for label in (1, 0))
+        counts = [Counter(w for t in part for w in t) or Counter({"\x04": 1}) for part in (toxic, ordinary)]
+        return fit_ratio(*counts), fit_expressions(toxic, ordinary)
 
-    x = np.zeros((len(texts), 4))
-    if len(texts) >= 2 * FOLDS and 0 < y.sum() < len(y):
+    threshold, slope = (0.0, 1.0) if not len(y) else (-3.0, 1.0) if y.all() else (3.0, 1.0)
+    if 0 < y.sum() < len(y) and len(y) >= 2 * FOLDS:
+        x = np.zeros(len(y))
         for fold in range(FOLDS):
-            other = Ratios(ratio_of([i for i in range(len(texts)) if i % FOLDS != fold]))
-            own = list(range(fold, len(texts), FOLDS))
+            other = Ratios(*learned([i for i in range(len(y)) if i % FOLDS != fold]))
+            own = list(range(fold, len(y), FOLDS))
             for at in range(0, len(own), 256):
                 part = own[at : at + 256]
-                x[part] = [features(r) for r in other.of([words[i] for i in part])]
-    centre, scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(texts) else (np.zeros(4), np.ones(4))
-    weights = _logistic((x - centre) / scale, y) if 0 < y.sum() < len(y) else np.array([0, 0, 0, 0, 3.0 if y.sum() else -3.0])
-    return Model(ratio_of(list(range(len(texts)))), centre, scale, weights)
+                x[part] = [evidence(r) for r in other.of([words[i] for i in part])]
+        threshold, slope = _logistic(x, y)
+    return Model(*learned(list(range(len(y)))), threshold, slope)
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on a bounded sample of the labelled rows for which ``train`` holds: per class those first by a hash of the id.
+def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = FIT_TOXIC, most_ordinary: int = FIT_ORDINARY) -> Model:
+    """Fit on a bounded sample of the labelled documents for which ``train`` (of ``_id``) holds.
 
-    ``docs`` needn't be the table that will be scored. Of rows that repeat an id, each counts.
+    Of each class, ``most_toxic`` and ``most_ordinary`` documents at most are taken, whole, the first by a
+    hash of the id; only their texts reach the driver. ``docs`` needn't be the table that will be scored.
+    Defined results: labels other than 0 and 1 and null ids are left out; an id labelled both ways counts
+    in both classes; rows that repeat an id count once, with the smallest of their texts; null texts are
+    left out; without any label of one class all texts score alike but for their own evidence.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    chosen = None
-    for y, most in ((1, FIT_TOXIC), (0, FIT_ORDINARY)):
-        some = known.where(train & (F.col("_y") == y)).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
-        chosen = some if chosen is None else chosen.union(some)
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).where(F.col("_doc").isNotNull() & (F.length("_text") <= FIT_CHARS))
-    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_y", "_text").limit(2 * (FIT_TOXIC + FIT_ORDINARY))
-    got = sorted((r["_id"], r["_y"], r["_text"]) for r in rows.collect())
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).where("_doc is not null and _text is not null")
+    known = known.where(train).distinct().join(texts.select("_doc"), F.col("_id") == F.col("_doc"), "left_semi")
+    by_hash = lambda y, most: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    chosen = by_hash(1, most_toxic).union(by_hash(0, most_ordinary))
+    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+    got = sorted((r["_id"], r["_y"], r["_text"]) for r in rows.collect())  # as many rows as the sample may have
     return fit([t for _, _, t in got], [y for _, y, _ in got])
 
 
+def _shared(docs: DataFrame, model: Model):
+    """The model as a broadcast of plain values, of a size that the fitting sample bounds, and how a task takes it."""
+    r = model.ratio
+    held = docs.sparkSession.sparkContext.broadcast((r.grams, r.values, r.contexts, r.defaults, model.expressions, model.threshold, model.slope))
+
+    def taken() -> tuple[Model, Ratios]:
+        own = Model(Ratio(*held.value[:4]), *held.value[4:])
+        return own, Ratios(own.ratio, own.expressions)
+
+    return taken
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every whole text: the higher, the likelier toxic. Null and wordless texts get the score of no evidence."""
-    r = model.ratio  # plain arrays, of a size that is bounded by that of the fitting sample
-    shared = docs.sparkSession.sparkContext.broadcast((r.grams, r.values, r.contexts, r.defaults, model.centre, model.scale, model.weights))
+    """(id, score) of every whole text: the higher, the likelier toxic.
+
+    Defined results: null, empty and wordless texts have the score of no evidence; rows that repeat an id
+    are scored each; a null id is kept; an empty table gives no rows; other columns are ignored.
+    """
+    taken = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(Ratio(*shared.value[:4]), *shared.value[4:])
-        ratios = Ratios(own.ratio)
+        own, ratios = taken()
         for batch in batches:
-            out = []
-            for at in range(0, batch.num_rows, 128):
-                texts = [words_in(t.as_py()) for t in batch.column(1)[at : at + 128]]
-                out.append(own.scores([features(r) for r in ratios.of(texts)]))
+            out = [own.scores(batch.column(1)[at : at + 128].to_pylist(), ratios) for at in range(0, batch.num_rows, 128)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -238,18 +295,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
-    """The documents with a score below ``threshold``, all columns as they are."""
-    r = model.ratio
-    shared = docs.sparkSession.sparkContext.broadcast((r.grams, r.values, r.contexts, r.defaults, model.centre, model.scale, model.weights))
+    """The documents with a score below ``threshold``, all columns and repeated rows as they are; defined results as of ``score``."""
+    taken = _shared(docs, model)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(Ratio(*shared.value[:4]), *shared.value[4:])
-        ratios = Ratios(own.ratio)
+        own, ratios = taken()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                texts = [words_in(t.as_py()) for t in part.column(place)]
-                yield part.filter(pa.array(own.scores([features(r) for r in ratios.of(texts)]) < threshold))
+                yield part.filter(pa.array(own.scores(part.column(place).to_pylist(), ratios) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
