@@ -105,26 +105,41 @@ def test_simhash_large_group(spark):
     assert got == want
 
 
-def test_lattice_finds_all(spark):
-    """Pairs right above the threshold, a large group of near copies, and none below."""
+@pytest.mark.parametrize("level", range(len(lattice.LEVELS)))
+def test_lattice_finds_all(spark, level):
+    """Pairs right above the threshold at every level, counted by themselves; a large group of near copies; and none below."""
     rng = np.random.default_rng(5)
-    base = rng.normal(size=(150, 64))
+    base = rng.normal(size=(600, 64))
     base /= np.linalg.norm(base, axis=1)[:, None]
-    side = rng.normal(size=(150, 64))
+    side = rng.normal(size=(600, 64))
     side -= (side * base).sum(axis=1)[:, None] * base
     side /= np.linalg.norm(side, axis=1)[:, None]
-    cosines = np.where(np.arange(150) % 3 == 0, 0.925, 0.935)[:, None]
+    cosines = np.where(np.arange(600) % 3 == 0, 0.925, 0.932)[:, None]
     x = np.vstack((base, cosines * base + np.sqrt(1 - cosines**2) * side, base[:1] + 0.02 * rng.normal(size=(400, 64)))).astype(np.float32)
     df = spark.createDataFrame([(n, v.tolist(), 1) for n, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     unit = x.astype(float)
     unit /= np.linalg.norm(unit, axis=1)[:, None]
     near = unit @ unit.T >= 0.93
     np.fill_diagonal(near, False)
-    got = lattice.near_duplicates(df, block=64).toPandas().set_index("id").sort_index()
-    want = near.sum(axis=1)
-    assert (got.n_links.to_numpy() <= want).all()
-    assert got.n_links.sum() >= 0.995 * want.sum()
-    assert (got.n_links.to_numpy()[300:] == want[300:]).all()
+    levels = tuple(lattice.Level(most if n >= level else 0, v.blocks, v.tables, v.width) for n, (v, most) in enumerate(zip(lattice.LEVELS, (1 << 40, 1 << 50, 1 << 62), strict=True)))
+    got = lattice.near_duplicates(df, levels=levels, block=64).toPandas().set_index("id").sort_index()
+    want, n_links = near.sum(axis=1), got.n_links.to_numpy()
+    assert (n_links <= want).all()
+    planted = np.arange(600)[(np.arange(600) % 3 > 0)]
+    assert n_links[600 + planted].sum() >= 0.99 * want[600 + planted].sum() >= 0.99 * 400
+    assert n_links[1200:].sum() >= 0.99 * want[1200:].sum()
+
+
+def test_lattice_share():
+    """Of random pairs, far fewer meet at the levels for larger labels."""
+    rng = np.random.default_rng(31)
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.normal(size=(2, 8000, 64)))
+    shares = []
+    for level in lattice.LEVELS:
+        cells, none = lattice.Lattice(64, level, lattice.PROBES, 11), np.zeros(len(x), np.int64)
+        (a, more_a), (b, more_b) = cells.cells(x, none), cells.cells(y, none)
+        shares.append(float(((a == b) | (a[:, :, None] == more_b).any(axis=2) | (b[:, :, None] == more_a).any(axis=2)).any(axis=1).mean()))
+    assert shares[0] < 0.15 and shares[1] < 0.005 and shares[2] < 0.001
 
 
 def test_decontam(spark):

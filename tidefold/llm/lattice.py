@@ -5,6 +5,11 @@ nearest point of the E8 lattice. A vector lives in its own cell and also probes
 those of the 240 shortest lattice vectors that its remainder points to most. Pairs that meet in a
 cell are verified by their cosine in double precision.
 
+How fine the cells are follows from the size of the label: with one lattice a table, some 2 % of random
+pairs meet in a table, with two lattices side by side 0.01 %, with three none to speak of, and the number of
+tables grows so that pairs at cosine 0.93 still meet. Only numbers of cells and vectors are dealt out at
+first; vectors are sent on to those cells alone in which something can meet.
+
 A pair can meet in several tables. Each task can tell from the two vectors alone in which table and
 direction they meet first, and counts the pair only there; so it reports counts for each vector and
 enough links to connect them, and pairs are never listed, however many a cell holds.
@@ -13,7 +18,9 @@ enough links to connect them, and pairs are never listed, however many a cell ho
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_groups, checkpointed, components, in_blocks, root
+from .common import block_groups, checkpointed, components, in_blocks, root, written
 
 
 def _shortest() -> np.ndarray:
@@ -50,14 +57,32 @@ def decode_e8(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(1) <= ((x - b) ** 2).sum(1))[:, None], a, b)
 
 
+@dataclass(frozen=True)
+class Level:
+    """Lattices side by side, tables, and width of a cell, for labels of up to ``most`` different vectors."""
+
+    most: int
+    blocks: int
+    tables: int
+    width: float
+
+
+#: Tables for a recall of 0.9998 and more at cosine 0.93, as measured in 16, 64 and 768 dimensions.
+LEVELS = (Level(100_000, 1, 4, 1.8), Level(10_000_000, 2, 14, 1.8), Level(1 << 62, 3, 28, 2.0))
+PROBES = 8
+#: Long integers before the components of a payload: label, copies, level.
+HEAD = 3
+
+
 class Lattice:
     """Cells and probes of unit vectors of one dimension."""
 
-    def __init__(self, dim: int, tables: int, probes: int, width: float, blocks: int, seed: int) -> None:
+    def __init__(self, dim: int, level: Level, probes: int, seed: int) -> None:
+        tables, blocks = level.tables, level.blocks
         self.tables, self.probes, self.blocks = tables, probes, blocks
-        self.planes = [np.random.default_rng([seed, t, dim]).normal(size=(dim, 8 * blocks)) / width for t in range(tables)]
+        self.planes = [np.random.default_rng([seed, t, dim, blocks]).normal(size=(dim, 8 * blocks)) / level.width for t in range(tables)]
         self.near = _shortest()
-        mix = np.random.default_rng([seed, dim, 1 << 20])
+        mix = np.random.default_rng([seed, dim, blocks, 1 << 20])
         self.factors = mix.integers(1, 1 << 62, size=(tables, 8 * blocks), dtype=np.int64) * 2 + 1
         self.salts = mix.integers(1, 1 << 62, size=tables, dtype=np.int64)
 
@@ -81,23 +106,23 @@ class Lattice:
         return np.stack(own, axis=1), np.stack(probed, axis=1)
 
 
-def _unpack(payloads: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(label, copies, unit vectors) of payloads of one length: two long integers, then the components."""
+def _unpack(payloads: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(label, copies, level, unit vectors) of payloads of one length: HEAD long integers, then the components."""
     raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), -1)
-    head = np.ascontiguousarray(raw[:, :16]).view("<i8")
-    x = np.ascontiguousarray(raw[:, 16:]).view(kind).astype(np.float64)
+    head = np.ascontiguousarray(raw[:, : 8 * HEAD]).view("<i8")
+    x = np.ascontiguousarray(raw[:, 8 * HEAD :]).view(kind).astype(np.float64)
     x /= np.abs(x).max(axis=1)[:, None]
-    return head[:, 0].copy(), head[:, 1].copy(), x / np.sqrt((x * x).sum(axis=1))[:, None]
+    return head[:, 0].copy(), head[:, 1].copy(), head[:, 2].copy(), x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.93, tables: int = 4, probes: int = 8, width: float = 1.8, blocks: int = 1, seed: int = 11, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.93, levels: tuple[Level, ...] = LEVELS, probes: int = PROBES, seed: int = 11, block: int = 2048) -> DataFrame:
     """(id, n_links, component_id, kept) of each vector.
 
-    Equal vectors of a label are one class, compared once. ``blocks`` lattices side by side make cells
-    finer for very large labels. Defined results: vectors that are null, zero, or hold null or
-    non-finite components, and those with a null label, link with nothing; vectors of different
-    lengths don't link; rows that repeat an id and a vector are linked with each other; different
-    vectors under one id count as one place in the graph; other columns are ignored.
+    Equal vectors of a label are one class, compared once; ``levels`` says how fine the cells are for labels
+    of what size. Defined results: vectors that are null, zero, or hold null or non-finite components,
+    and those with a null label, link with nothing; vectors of different lengths don't link; rows that
+    repeat an id and a vector are linked with each other; different vectors under one id count as one
+    place in the graph; an empty table gives no rows; other columns are ignored.
     """
     element = vectors.schema[vector_col].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
@@ -114,31 +139,43 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     packed = rows.where("good").select("id", "label", "v").mapInArrow(pack, "id long, label long, data binary")
     packed = checkpointed(packed)
     classes = packed.groupBy("label", "data").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    sizes = classes.groupBy("label").count()
+    level = F.lit(len(levels) - 1)
+    for n in reversed(range(len(levels) - 1)):
+        level = F.when(F.col("count") <= levels[n].most, n).otherwise(level)
+    packet = checkpointed(classes.join(sizes, "label").select("label", "data", "rep", "copies", level.cast("long").alias("level"), F.xxhash64("label", "data").alias("key")))
+
+    def lattices() -> Callable[[int, int], Lattice]:
+        return cache(lambda dim, n: Lattice(dim, levels[n], probes, seed))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, Lattice] = {}
+        """(bucket, home, id, key) of the cells of each vector."""
+        lattice_of = lattices()
         for batch in batches:
-            payload = [np.array([a, c], "<i8").tobytes() + d for a, c, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            sizes = np.fromiter(map(len, payload), np.int64, len(payload))
-            ids = batch.column(3).to_numpy()
-            for size in np.unique(sizes).tolist():
-                which = np.flatnonzero(sizes == size)
-                dim = (size - 16) // int(kind[-1])
-                lattice = made.setdefault(dim, Lattice(dim, tables, probes, width, blocks, seed))
+            label, ids, of, keys = (batch.column(k).to_numpy() for k in (0, 2, 3, 4))
+            data = batch.column(1).to_pylist()
+            kinds = np.array([(len(d), v) for d, v in zip(data, of.tolist(), strict=True)], np.int64).reshape(-1, 2)
+            for size, v in np.unique(kinds, axis=0).tolist():
+                which = np.flatnonzero((kinds == (size, v)).all(axis=1))
+                lattice = lattice_of(size // int(kind[-1]), v)
                 for at in range(0, len(which), 512):
                     some = which[at : at + 512]
-                    data = pa.array([payload[i] for i in some.tolist()], pa.binary())
-                    lab, _, unit = _unpack(data.to_pylist(), kind)
-                    own, probed = lattice.cells(unit, lab)
-                    bucket = np.concatenate((own[:, :, None], probed), axis=2).reshape(-1)
-                    n = own.shape[1] * (1 + probed.shape[2])
-                    home = np.tile(np.arange(n) % (1 + probed.shape[2]) == 0, len(some))
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(home), pa.array(np.repeat(ids[some], n)), data.take(pa.array(np.repeat(np.arange(len(some)), n)))], names=["bucket", "home", "id", "data"])
-
-    copies = classes.select("label", "copies", "data", "rep").mapInArrow(spread, "bucket long, home boolean, id long, data binary")
+                    _, _, _, unit = _unpack([bytes(8 * HEAD) + data[i] for i in some.tolist()], kind)
+                    own, probed = lattice.cells(unit, label[some])
+                    bucket = np.concatenate((own[:, :, None], probed.reshape(len(some), own.shape[1], -1)), axis=2)
+                    n = bucket.shape[1] * bucket.shape[2]
+                    home = np.tile(np.arange(n) % bucket.shape[2] == 0, len(some))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.reshape(-1)), pa.array(home), pa.array(np.repeat(ids[some], n)), pa.array(np.repeat(keys[some], n))], names=["bucket", "home", "id", "key"])
+
+    spots = written(packet.select("label", "data", "rep", "level", "key").mapInArrow(spread, "bucket long, home boolean, id long, key long"), "lattice-cells")
+    # A cell matters if a vector is at home in it and another one comes to it.
+    meeting = spots.groupBy("bucket").agg(F.count(F.when(F.col("home"), 1)).alias("n_home"), F.min("id").alias("low"), F.max("id").alias("high")).where("n_home > 0 and low < high")
+    head = lambda c: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(F.col(c)), 16, "0"), 15 - 2 * k, 2) for k in range(8)]))
+    payload = packet.select(F.col("rep").alias("id"), "key", F.concat(head("label"), head("copies"), head("level"), "data").alias("data"))
+    copies = spots.join(meeting.select("bucket"), "bucket").join(payload, ["id", "key"]).select("bucket", "home", "id", "data")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, Lattice] = {}
+        lattice_of = lattices()
         links: dict[int, int] = {}
         edges: set[tuple[int, int]] = set()
 
@@ -154,9 +191,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             length = len(data[0])
             if any(len(d) != length for d in data):
                 continue  # different labels or lengths under one bucket number
-            dim = (length - 16) // int(kind[-1])
-            lattice = made.setdefault(dim, Lattice(dim, tables, probes, width, blocks, seed))
-            lab, mult, unit = _unpack(data.tolist(), kind)
+            lab, mult, of, unit = _unpack(data.tolist(), kind)
+            if (of != of[0]).any():
+                continue  # as above
+            lattice = lattice_of((length - 8 * HEAD) // int(kind[-1]), int(of[0]))
             li, ri = np.flatnonzero(left), np.flatnonzero(~left)
             own = probed = None
             parent: dict[int, int] = {}
