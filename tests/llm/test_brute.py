@@ -488,18 +488,52 @@ def test_warc_digest(spark):
 
 
 def test_pipeline(spark):
-    """What each stage keeps is what its operator says of its own input."""
+    """Each stage does to the rows of the stage before what a plain reading of its rule does."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = docs.count()
-    kept = []
-    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = stage(spark, docs, SF)
-        if n < len(corpus_pipeline.STAGES) - 1:
-            docs = spark.createDataFrame(docs.collect(), docs.schema)
-            kept.append(docs.count())
-            if n == 1:
-                assert docs.where("n_chars <> length(text)").count() == 0
-            if n == 2:
-                assert simhash.near_duplicates(docs).where("id <> component_id").count() == 0
-    assert before > kept[0] == kept[1] > kept[2] >= kept[3] > 0.5 * before
-    assert docs.select("doc_id").distinct().count() == kept[-1]
+    steps = dict(corpus_pipeline.STAGES)
+
+    def after(name, rows):
+        out = steps[name](spark, rows, SF)
+        return spark.createDataFrame(out.collect(), out.schema)
+
+    kept = after("toxicity", docs)
+    scores = {r.id: r.score for r in toxicity.score(docs, queries.toxicity_model(spark, SF)).collect()}
+    assert {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s < queries.TOXIC_AT}
+    lined = after("line_dedup", kept)
+    assert lined.count() == kept.count() and lined.where("n_chars <> length(text)").count() == 0
+    assert {r.doc_id: r.text for r in lined.collect()} == {r.doc_id: r.text for r in lines.dedup_lines(kept).collect()}
+    texts = {r.doc_id: r.text for r in lined.collect()}
+    sets = {}
+    for i, t in texts.items():
+        words = t.encode().translate(UPPER_TO_LOWER).split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else set()
+    alike = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    near = after("simhash_near_dedup", lined)
+    assert alike and {r.doc_id for r in near.collect()} == {i for i, low in reach(sets, alike).items() if i == low}
+    clean = after("benchmark_decontamination", near)
+    found = decontam.report(near, queries.table(spark, SF, "benchmark")).where("contaminated")
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in near.collect()} - {r.id for r in found.collect()}
+    assert 0.5 * docs.count() < clean.count() < near.count()
+    packed = steps["packing"](spark, clean, SF).toPandas()
+    assert set(packed.doc_id) == {r.doc_id for r in clean.collect()} and packed.groupby("sequence_id").length.sum().max() <= 1024
+    rows = corpus_pipeline.run(spark, SF).toPandas()
+    assert sorted(zip(rows.doc_id, rows.start, rows.ids_crc32)) == sorted(zip(packed.doc_id, packed.start, packed.ids_crc32))
+
+
+def test_stage_drops_toxic(spark, tmp_path):
+    """Planted toxic documents go, ordinary ones stay, whatever their length."""
+    rng = np.random.default_rng(37)
+    vocabulary = ["".join(rng.choice(list("abcdeghijkmnoprstuv"), 5)) for _ in range(2000)]
+    docs, labels = [], []
+    for n in range(900):
+        words = rng.choice(vocabulary, int(rng.integers(10, 400))).tolist()
+        if n % 3 == 0:
+            for word in ("zlorf", "qwaxx", "zlorfing")[: 1 + n % 2 + len(words) // 150]:
+                words.insert(int(rng.integers(0, len(words))), word)
+        docs.append((n, " ".join(words)))
+        labels.append((n, int(n % 3 == 0)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).collect()}
+    toxic = {n for n, y in labels if y}
+    assert len(toxic & kept) <= 0.03 * len(toxic) and len(kept - toxic) >= 0.99 * (len(docs) - len(toxic))

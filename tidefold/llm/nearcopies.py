@@ -1,9 +1,11 @@
-"""Near copies by the similarity of whole texts: Jaccard of five-word shingle sets, 0.8 or more.
-
-A SimHash distance that covers similarity 0.8 is about 17 of 64 bits, too wide for a covering of
-buckets. Candidates are found by min-hashes instead: BANDS bands of ROWS each, of which a pair at
-similarity 0.8 shares one with probability 1 - (1 - 0.8 ** 6) ** 40 > 0.99999, a closer pair more surely.
-Texts that share a band are brought together and the shingle sets themselves are compared.
+"""SimHash near-dedup down to a similarity of whole texts: Jaccard of five-word shingle sets, 0.8 or more.
+
+Candidates are the pairs that SimHash brings together: fingerprints of five-word shingles, copied to the
+anchors of the covering code (see simhash), so all pairs within 3 bits. But texts at similarity 0.8 differ
+in 10 of 64 bits on average and in up to 17, and a covering of that radius would bring all texts together.
+Min-hashes find what is beyond: BANDS bands of ROWS each, of which a pair at similarity 0.8 shares one with
+probability 1 - (1 - 0.8 ** 6) ** 40 > 0.99999, a closer pair more surely. Texts that meet at an anchor or
+in a band are brought together, and the shingle sets themselves are compared.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, root, shuffle_parts
-from .simhash import shingle_hashes
+from .simhash import anchors, majority, shingle_hashes
 
 WIDTH = 5
 BANDS, ROWS = 40, 6
@@ -28,9 +30,13 @@ _MIX = _RNG.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_NO = _RNG.integers(0, 1 << 63, BANDS, np.uint64)
 
 
+def distinct(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The sorted set of hashes of five-word shingles; a shorter text is one shingle, a wordless one has none."""
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, WIDTH)]))
+    return distinct(list(shingle_hashes(text, WIDTH)))
 
 
 def bands(h: np.ndarray) -> np.ndarray:
@@ -45,13 +51,21 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key, sig, buckets): sig stands for the shingle set, buckets for its bands and its fingerprint's anchors."""
     for batch in batches:
-        sigs, out = [], []
+        sigs, fps, out = [], [], []
         for text in batch.column(2):
-            h = shingles(text.as_py())
+            hashes = list(shingle_hashes(text.as_py(), WIDTH))
+            h = distinct(hashes)
             sigs.append(xxhash.xxh64_intdigest(h.tobytes()))
-            out.append(bands(h).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(out, pa.list_(pa.int64()))], names=["id", "key", "sig", "bands"])
+            fps.append(majority(hashes))
+            out.append([bands(h).view(np.int64)])
+        for half_no in (0, 1):
+            rows, bucket, _ = anchors(np.array(fps, np.uint64), half_no)
+            order = np.argsort(rows, kind="stable")
+            for n, part in enumerate(np.split(bucket[order], np.cumsum(np.bincount(rows, minlength=len(fps)))[:-1])):
+                out[n].append(part)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array([np.concatenate(x) for x in out], pa.list_(pa.int64()))], names=["id", "key", "sig", "buckets"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +129,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    signed = checkpointed(rows.mapInArrow(_signatures, "id long, key long, sig long, bands array<long>"))
-    classes = signed.groupBy("sig").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.first("bands").alias("bands")).where("rep is not null")
-    members = checkpointed(classes.select("sig", "key", F.explode("bands").alias("bucket")))
+    signed = checkpointed(rows.mapInArrow(_signatures, "id long, key long, sig long, buckets array<long>"))
+    classes = signed.groupBy("sig").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.first("buckets").alias("buckets")).where("rep is not null")
+    members = checkpointed(classes.select("sig", "key", F.explode("buckets").alias("bucket")))
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("who")).where("n > 1")
     buckets = buckets.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("cuts"))
     met = checkpointed(members.join(buckets, "bucket").select("bucket", "sig", "key", "cuts"))
@@ -143,5 +157,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows with a null id stay; rows that repeat an id and text are one document and stay or go together;
     of different texts under one id only those go that a smaller id stands for; wordless texts are copies of each other.
     """
-    drop = groups(docs, id_col, text_col).where("id is not null and component_id < id").select(F.col("key").alias("__tidefold_drop")).distinct()
-    return docs.join(drop.hint("shuffle_hash"), F.xxhash64(docs[id_col], docs[text_col]) == F.col("__tidefold_drop"), "left_anti")
+    drop = groups(docs, id_col, text_col).where("id is not null and component_id < id").select(F.col("id").alias("__tidefold_id"), F.col("key").alias("__tidefold_key")).distinct()
+    same = (docs[id_col].cast("long") == F.col("__tidefold_id")) & (F.xxhash64(docs[id_col], docs[text_col]) == F.col("__tidefold_key"))
+    return docs.join(drop.hint("shuffle_hash"), same, "left_anti")

@@ -9,7 +9,7 @@ are within 1 bit in a half, y has a copy at the home of x, so each link is found
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +58,10 @@ def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(tail), SEED)], np.uint64)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Majority bits of the XXH64 of all ``width``-word shingles of a text, repeats included."""
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of all hashes."""
     counts, total = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, width):
+    for h in hashes:
         total += len(h)
         for at in range(0, len(h), 65536):
             part = h[at : at + 65536].astype("<u8")
@@ -69,6 +69,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * counts > total).tolist()))
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Majority bits of the XXH64 of all ``width``-word shingles of a text, repeats included."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, fp long): key stands for id and text; fp holds the 64 bits in two's complement, 0 for a null or wordless text."""
 
@@ -173,5 +178,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows with a null id stay; rows that repeat an id and text are one document and stay or go together;
     of different texts under one id only those go that a smaller id stands for.
     """
-    drop = groups(docs, id_col, text_col).where("id is not null and component_id < id").select(F.col("key").alias("__tidefold_drop")).distinct()
-    return docs.join(drop.hint("shuffle_hash"), F.xxhash64(docs[id_col], docs[text_col]) == F.col("__tidefold_drop"), "left_anti")
+    drop = groups(docs, id_col, text_col).where("id is not null and component_id < id").select(F.col("id").alias("__tidefold_id"), F.col("key").alias("__tidefold_key")).distinct()
+    same = (docs[id_col].cast("long") == F.col("__tidefold_id")) & (F.xxhash64(docs[id_col], docs[text_col]) == F.col("__tidefold_key"))
+    return docs.join(drop.hint("shuffle_hash"), same, "left_anti")
