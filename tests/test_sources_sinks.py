@@ -101,13 +101,43 @@ def _until(df, out, checkpoint, n):
         q.stop()
 
 
-def test_stuck_and_idle(spark, tmp_path):
-    src = str(tmp_path / "src")
-    e = events(spark, 4, 2)
-    _parts(e, src, ["true"])
-    out = str(tmp_path / "o1")
-    _until(stateful.watch(spark.readStream.schema(schema.EVENT_LOG).parquet(src), 1000), out, str(tmp_path / "c1"), 4)
-    assert rows(spark.read.parquet(out).distinct()) == [("User-0", "Active"), ("User-0", "Stuck"), ("User-1", "Active"), ("User-1", "Stuck")]
+def test_stuck_from_the_first_event(spark, tmp_path):
+    """Events that go on coming don't put the end off, and what is stuck can still complete."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "o1")
+    e = events(spark, 40, 2).withColumn("event_type", F.lit("Begun"))
+    e.where("idx < 1").coalesce(1).write.mode("append").parquet(src)
+    q = stateful.watch(spark.readStream.schema(schema.EVENT_LOG).parquet(src), 4000).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c1")).trigger(processingTime="200 milliseconds").start()
+    seen = lambda: rows(spark.read.schema("stream string, status string").parquet(out).distinct()) if glob.glob(f"{out}/part-*") else []
+    try:
+        for n in range(1, 60):
+            time.sleep(0.5)
+            e.where(f"idx = {n % 20} and stream = 'User-0'").coalesce(1).write.mode("append").parquet(src)
+            if ("User-0", "Stuck") in seen():
+                break
+        assert seen() == [("User-0", "Active"), ("User-0", "Stuck"), ("User-1", "Active"), ("User-1", "Stuck")]
+        e.where("idx = 19 and stream = 'User-1'").withColumn("event_type", F.lit("Completed")).coalesce(1).write.mode("append").parquet(src)
+        for _ in range(60):
+            time.sleep(0.5)
+            if ("User-1", "Complete") in seen():
+                break
+        assert ("User-1", "Complete") in seen()
+    finally:
+        q.stop()
+
+
+def test_idle_fold(spark, tmp_path):
+    """State that was let go isn't made up anew: a stream that goes on later is reported, one that begins later is folded."""
+    src, out, c = (str(tmp_path / x) for x in ("src", "out", "c"))
+    e = events(spark, 20, 3)
+    stream = lambda: stateful.fold_stream(spark.readStream.schema(schema.EVENT_LOG).parquet(src), 0, lambda s, x: s + 1, ["data"], idle_ms=200)
+    run = lambda: stateful.run_until_drained(stream().writeStream.format("parquet").option("path", out).option("checkpointLocation", c))
+    _parts(e.where("stream != 'User-2'"), src, ["idx < 3"])
+    run()
+    assert sorted((r.stream, r.version, r.state) for r in spark.read.parquet(out).collect()) == [("User-0", 3, "3"), ("User-1", 3, "3")]
+    _parts(e.where("stream != 'User-1'"), src, ["idx >= 3 or stream = 'User-2'"])
+    run()
+    n = e.where("stream = 'User-2'").count()
+    assert sorted((r.stream, r.version, r.state) for r in spark.read.parquet(out).collect() if r.version != 3) == [("User-0", None, None), ("User-2", n, str(n))]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -132,6 +162,29 @@ def test_handler_positions(spark, tmp_path):
     assert spark.read.parquet(out).agg(F.sum("outcome")).first()[0] == 40
 
 
+@pytest.mark.parametrize("lost", ["before positions move", "after positions move"])
+def test_handler_lost_midway(spark, tmp_path, monkeypatch, lost):
+    """A job that is lost between its two writes, or after both, handles nothing twice and loses nothing."""
+    src, out, c = (str(tmp_path / x) for x in ("src", "out", "c"))
+    e = events(spark)
+    handler = lambda df: df.groupBy("stream").agg(F.count(F.lit(1)).alias("outcome"), (F.max("idx") + 1).alias("next_idx"))
+    job = lambda: tables.handler_job(log.tail_log(spark, src, max_files=1), handler, str(tmp_path / "pos"), out, c).awaitTermination()
+    _parts(e, src, ["idx < 4", "idx < 8"])
+    whole = sinks.upsert_view
+
+    def fails(*args):
+        if lost.startswith("after"):
+            whole(*args)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(sinks, "upsert_view", fails)
+    with pytest.raises(Exception, match="lost"):
+        job()
+    monkeypatch.setattr(sinks, "upsert_view", whole)
+    job()
+    assert spark.read.parquet(out).agg(F.sum("outcome")).first()[0] == 40
+
+
 def test_stateful_fold_and_restart(spark, tmp_path):
     src, out, c = (str(tmp_path / x) for x in ("src", "out", "c"))
     e = events(spark)
@@ -164,14 +217,15 @@ def test_sequence_and_chunks(spark, tmp_path):
     _parts(e, src, ["idx < 4"])
     numbered = lambda: stateful.sequence(spark.readStream.schema(schema.EVENT_LOG).parquet(src), "stream", ["ts"])
     chunks = lambda: stateful.take_chunks(spark.readStream.schema(schema.EVENT_LOG).parquet(src), "event_type", 3)
+    drained = lambda: stateful.run_until_drained(chunks().writeStream.format("parquet").option("path", str(tmp_path / "o2")).option("checkpointLocation", str(tmp_path / "c2")))
     _drain(numbered(), str(tmp_path / "o1"), str(tmp_path / "c1"))
-    _drain(chunks(), str(tmp_path / "o2"), str(tmp_path / "c2"))
-    assert spark.read.parquet(str(tmp_path / "o2")).count() == 6
+    drained()
+    assert sorted((r.idx, r.next_idx) for r in spark.read.parquet(str(tmp_path / "o2")).where("stream = 'User-0'").collect()) == [(0, 3), (1, 3), (2, 3), (3, 4)]
     _parts(e, src, ["idx >= 4"])
     _drain(numbered(), str(tmp_path / "o1"), str(tmp_path / "c1"))
-    _drain(chunks(), str(tmp_path / "o2"), str(tmp_path / "c2"))
+    drained()
     assert rows(spark.read.parquet(str(tmp_path / "o1")).groupBy("stream").agg(F.max("idx"), F.count_distinct("idx"))) == [("User-0", 9, 10), ("User-1", 9, 10)]
-    assert sorted(r.idx for r in spark.read.parquet(str(tmp_path / "o2")).where("stream = 'User-0'").collect()) == [0, 1, 2, 3, 4, 5]
+    assert sorted(r.idx for r in spark.read.parquet(str(tmp_path / "o2")).where("stream = 'User-0'").collect()) == list(range(10))
 
 
 def test_watch(spark, tmp_path):

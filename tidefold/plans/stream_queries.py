@@ -94,11 +94,13 @@ def stream_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return numbered.groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("last_idx"), F.countDistinct("idx").alias("distinct_idx"))
 
 
-@query(f"WITH {EV} SELECT stream, least(count(*), 15) AS n FROM ev GROUP BY 1")
+@query(f"WITH {EV}, n AS (SELECT stream, max(idx) + 1 AS n FROM ev GROUP BY 1) SELECT stream, idx, event_type AS item, least((idx // 15 + 1) * 15, n) AS next_idx FROM ev JOIN n USING (stream)")
 def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Of what one trigger brings, fifteen of a stream are taken."""
-    taken = _drained(stateful.take_chunks(log.tail_log(spark, _written(spark, sf, "true")), "event_type", 15))
-    return taken.groupBy("stream").agg(F.count(F.lit(1)).alias("n"))
+    """Fifteen events of a stream are taken at each trigger, until all have come; each tells the position after its chunk."""
+    out = work_path(spark, "chunks")
+    chunks = stateful.take_chunks(log.tail_log(spark, _written(spark, sf, "true")), "event_type", 15)
+    stateful.run_until_drained(chunks.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_path(spark, "chunk-state")))
+    return spark.read.schema(chunks.schema).parquet(out)
 
 
 @query(f"WITH {EV} SELECT stream, count(*) AS handled, max(idx) + 1 AS version FROM ev GROUP BY 1")

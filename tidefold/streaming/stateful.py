@@ -1,62 +1,95 @@
 """Stateful streaming operators: state per stream, kept in the query's checkpoint.
 
 All are grouped by key and hold only what a key needs: a state, a next index, or the events that wait.
-State of a key that has been idle for ``idle_ms`` of processing time is dropped (M8). Timers need a
-trigger that goes on; a query that is to end at the tail (availableNow) is run without them.
+What waits is never dropped, and state is let go only where nothing is lost by it (M8): a fold says which
+events came too late for its state, a chunked stream has nothing left, a transaction's time is up. Timers
+need a trigger that goes on (``run_until_drained``); a query that is to end at the tail (availableNow) is
+run without them.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "state string"
 
 
-def _stateful(df: DataFrame, key: str, step: Callable, schema: str, idle_ms: int | None) -> DataFrame:
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+def run_until_drained(writer: DataStreamWriter, every: str = "100 milliseconds", quiet: int = 50) -> None:
+    """Start a stream with timers and stop it once a trigger brings nothing and no state waits for another one.
+
+    The first batch may be one that an earlier run left half done, and says nothing of what is new; a stream
+    that has never had anything makes no batches, and is stopped after so many quiet looks at it.
+    """
+    query, first, looks = writer.trigger(processingTime=every).start(), None, 0
+    try:
+        while not query.awaitTermination(0.1):
+            last = query.lastProgress
+            looks += 1
+            if last:
+                first = last["batchId"] if first is None else first
+                empty = last["numInputRows"] == 0 and not any(o["numRowsTotal"] for o in last["stateOperators"])
+                looks = looks if empty else 0
+                if empty and (last["batchId"] > first or looks > quiet):
+                    return
+    finally:
+        query.stop()
+
+
+def _stateful(df: DataFrame, key: str, step: Callable, schema: str) -> DataFrame:
+    """State that is kept as long as the query is."""
 
     def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = json.loads(state.get[0]) if state.exists else None
-        rows = list(frames)
-        out, held = step(name[0], pd.concat(rows) if rows else pd.DataFrame(), held)
+        out, held = step(name[0], pd.concat(list(frames)), json.loads(state.get[0]) if state.exists else None)
         state.update((json.dumps(held),))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
         yield out
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, STATE, "append", timeout)
+    return df.groupBy(key).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def fold_stream(df: DataFrame, initial: object, evolve: Callable[[object, dict], object], columns: list[str], idle_ms: int | None = None) -> DataFrame:
     """(stream, version, state as JSON) after each span, one span of a stream at a time (M1).
 
-    Events below the version are taken as delivered again and left out (M2). State must be JSON-like.
+    Events below the version are taken as delivered again and left out (M2). State must be JSON-like. With
+    ``idle_ms`` the state of a stream that gets nothing for so long is let go (M8); if events come after
+    all, and not from the first one on, a row with a null version and state tells that the stream is to be
+    folded from its log.
     """
     names = ["idx", "event_type", *columns]
 
-    def step(stream: str, rows: pd.DataFrame, held: list | None) -> tuple[pd.DataFrame, list]:
-        version, state = held or [0, initial]
-        for e in rows.sort_values("idx").to_dict("records"):
+    def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values("idx")
+        if idle_ms and not state.exists and rows["idx"].iloc[0] > 0:
+            yield pd.DataFrame({"stream": [name[0]], "version": pd.array([None], "Int64"), "state": [None]})
+            return
+        version, held = json.loads(state.get[0]) if state.exists else (0, initial)
+        for e in rows.to_dict("records"):
             if e["idx"] >= version:
-                state, version = evolve(state, e), int(e["idx"]) + 1
-        return pd.DataFrame({"stream": [stream], "version": [version], "state": [json.dumps(state)]}), [version, state]
+                held, version = evolve(held, e), int(e["idx"]) + 1
+        state.update((json.dumps([version, held]),))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"stream": [name[0]], "version": pd.array([version], "Int64"), "state": [json.dumps(held)]})
 
-    return _stateful(df.select("stream", *names), "stream", step, "stream string, version long, state string", idle_ms)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return df.select("stream", *names).groupBy("stream").applyInPandasWithState(run, "stream string, version long, state string", STATE, "append", timeout)
 
 
-def in_sequence(df: DataFrame, columns: list[str], idle_ms: int | None = None) -> DataFrame:
+def in_sequence(df: DataFrame, columns: list[str]) -> DataFrame:
     """Events of each stream without gaps: later ones wait until what they follow has come (M3).
 
     Rows: stream, idx, the columns (as strings), parked: how many wait after this one was released. A
-    span that releases nothing gives one row with a null idx and the number that waits.
+    span that releases nothing gives one row with a null idx and the number that waits. The next index of a
+    stream and what waits are kept for good: without them, later events couldn't be told from a gap.
     """
     schema = f"stream string, idx long, {', '.join(f'{c} string' for c in columns)}, parked long"
 
@@ -75,10 +108,10 @@ def in_sequence(df: DataFrame, columns: list[str], idle_ms: int | None = None) -
         frame["parked"] = len(parked)
         return frame, [next_idx, parked]
 
-    return _stateful(df.select("stream", "idx", *columns), "stream", step, schema, idle_ms)
+    return _stateful(df.select("stream", "idx", *columns), "stream", step, schema)
 
 
-def sequence(df: DataFrame, key: str, order: list[str], idle_ms: int | None = None) -> DataFrame:
+def sequence(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Messages with an index within their key that goes on across batches and restarts."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema if f.name in (key, *order)}
     schema = ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", idx long"
@@ -89,35 +122,54 @@ def sequence(df: DataFrame, key: str, order: list[str], idle_ms: int | None = No
         rows["idx"] = range(start, start + len(rows))
         return rows, start + len(rows)
 
-    return _stateful(df.select(*kinds), key, step, schema, idle_ms)
+    return _stateful(df.select(*kinds), key, step, schema)
 
 
 def watch(df: DataFrame, timeout_ms: int, terminal: str = "Completed") -> DataFrame:
-    """(stream, status) of transactions: Active at first, Complete at a terminal event, Stuck when the timer runs out before (M5)."""
+    """(stream, status) of transactions: Active at first, Complete at a terminal event, Stuck when time is up before (M5).
+
+    Time counts from the first event that comes, whatever comes after it. What is Stuck can still become
+    Complete; a Complete transaction's state is let go when its time is up (M8).
+    """
 
     def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else None
+        now = state.getCurrentProcessingTimeMs()
+        held, until = json.loads(state.get[0]) if state.exists else (None, now + timeout_ms)
         if state.hasTimedOut:
-            state.remove()
-            if held != "Complete":
-                yield pd.DataFrame({"stream": [name[0]], "status": ["Stuck"]})
-            return
-        done = held == "Complete" or any((f["event_type"] == terminal).any() for f in frames)
-        status = "Complete" if done else "Active"
+            done, status = held == "Complete", "Complete" if held == "Complete" else "Stuck"
+        else:
+            done = held == "Complete" or any((f["event_type"] == terminal).any() for f in frames)
+            status = "Complete" if done else held or "Active"
         if status != held:
             yield pd.DataFrame({"stream": [name[0]], "status": [status]})
-        state.update((status,))
-        state.setTimeoutDuration(timeout_ms)
+        if done and now >= until:
+            state.remove()
+        else:
+            state.update((json.dumps([status, until]),))
+            if status != "Stuck":
+                state.setTimeoutDuration(max(until - now, 1))
 
     return df.select("stream", "event_type").groupBy("stream").applyInPandasWithState(run, "stream string, status string", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def take_chunks(df: DataFrame, item: str, most: int = 1000, idle_ms: int | None = None) -> DataFrame:
-    """(stream, idx, item): at most so many of a stream for each trigger; the rest waits for the next one."""
+def take_chunks(df: DataFrame, item: str, most: int = 1000) -> DataFrame:
+    """(stream, idx, item, next_idx): at most so many of a stream for each trigger; the rest comes with the next ones.
 
-    def step(stream: str, rows: pd.DataFrame, held: list | None) -> tuple[pd.DataFrame, list]:
-        waiting = (held or []) + [[int(i), str(v)] for i, v in sorted(zip(rows["idx"], rows[item], strict=True))]
+    next_idx is the position after what was taken. A stream in which something waits is called again at the
+    next trigger, with or without new events; when nothing waits, its state is let go.
+    """
+
+    def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = json.loads(state.get[0]) if state.exists else []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames))
+            waiting += [[int(i), str(v)] for i, v in sorted(zip(rows["idx"], rows[item], strict=True))]
         out, rest = waiting[:most], waiting[most:]
-        return pd.DataFrame({"stream": [stream] * len(out), "idx": [i for i, _ in out], "item": [v for _, v in out]}), rest
+        if rest:
+            state.update((json.dumps(rest),))
+            state.setTimeoutDuration(1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"stream": [name[0]] * len(out), "idx": [i for i, _ in out], "item": [v for _, v in out], "next_idx": [out[-1][0] + 1] * len(out)})
 
-    return _stateful(df.select("stream", "idx", item), "stream", step, "stream string, idx long, item string", idle_ms)
+    return df.select("stream", "idx", item).groupBy("stream").applyInPandasWithState(run, "stream string, idx long, item string, next_idx long", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -6,6 +6,7 @@ a batch that is replayed changes nothing.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -43,16 +44,21 @@ def index_job(stream: DataFrame, log_path: str, view_path: str, fold: Callable[[
 
 
 def handler_job(stream: DataFrame, handler: Callable[[DataFrame], DataFrame], positions_path: str, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Spans to a handler that gives (stream, outcome, next_idx); events before a stream's position are left out."""
-
-    def handle(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        held = sinks.read_view(spark, positions_path, batch.select("stream", F.lit(0).cast("long").alias("version")).schema)
-        fresh = batch.join(held, "stream", "left").where(F.col("idx") >= F.coalesce("version", F.lit(0))).drop("version")
-        done = handler(fresh).persist()
-        done.write.mode("append").parquet(out_path)
+    """Spans to a handler that gives (stream, outcome, next_idx); events before a stream's position are left out.
+
+    A batch's outcomes are written under the job's and the batch's number before positions move. A batch
+    that comes again after they were written isn't handled again: positions move on from what is there.
+    """
+    job = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark, out = batch.sparkSession, f"{out_path}/job={job}/batch={number}"
+        if not sinks.exists(spark, out):
+            held = sinks.read_view(spark, positions_path, batch.select("stream", F.lit(0).cast("long").alias("version")).schema)
+            fresh = batch.join(held, "stream", "left").where(F.col("idx") >= F.coalesce("version", F.lit(0))).drop("version")
+            handler(fresh).write.mode("overwrite").parquet(out)
+        done = spark.read.parquet(out)
         sinks.upsert_view(done.select("stream", F.col("next_idx").cast("long").alias("version")), positions_path, ["stream"])
-        done.unpersist()
 
     return run_batches(stream, handle, checkpoint)
 
