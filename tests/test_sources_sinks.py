@@ -67,6 +67,12 @@ def test_filters(spark):
     assert rows(filters.stream_filter(df, ["Tod."], include_indexes=True, deny_streams=["2$"]), "stream") == [("$Todo-1",), ("Todo-1",)]
     assert rows(filters.guard_payload(df), "stream") == [("Todo-1",), ("x_checkpoint",)]
     assert rows(filters.sync_filter(df), "stream") == [("$Todo-1",), ("Todo-1",), ("Todos-2",)]
+    more = spark.createDataFrame([(n, n.split("-")[0]) for n in ("PurchaseOrder-5791", "PurchaseOrder-5792", "Inventory-1", "InventoryLog5", "#serial1")], "stream string, category string")
+    assert rows(filters.sync_filter(more), "stream") == [("PurchaseOrder-5792",)]
+    assert rows(filters.sync_filter(more, exclude_long=False), "stream") == [("Inventory-1",), ("InventoryLog5",), ("PurchaseOrder-5792",)]
+    assert rows(filters.sync_filter(more, long_only=True), "stream") == [("Inventory-1",), ("InventoryLog5",)]
+    assert rows(filters.sync_filter(more, allow=["PurchaseOrder"], long_only=True), "stream") == [("PurchaseOrder-5791",), ("PurchaseOrder-5792",)]
+    assert rows(filters.sync_filter(more, deny=["PurchaseOrder"]), "stream") == [("#serial1",), ("Inventory-1",), ("InventoryLog5",)]
     with pytest.raises(ValueError, match="exclude"):
         filters.sync_filter(df, deny=["a"], allow=["b"])
 

@@ -52,12 +52,14 @@ def ingest_exactly_once(held: DataFrame, requests: DataFrame, cap: int, active:
 def ingest_in_order(held: DataFrame, requests: DataFrame, cap: int) -> DataFrame:
     """The same, a request at a time within each series, for origins that run ahead of the open epoch.
 
-    The epochs that a request can touch, and its items, are what a task holds.
+    A task holds the requests of a series and what the series' epochs from their lowest origin on hold.
     """
+    low = requests.groupBy("series").agg(F.min("origin_epoch").alias("_low"))
+    held = held.join(low, "series").where(F.col("epoch") >= F.col("_low")).select(F.col("series").alias("_series"), F.col("epoch").alias("_epoch"), F.col("item_id").alias("_item"))
 
     def run(key: tuple, have: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         epochs: dict[int, set] = {}
-        for e, i in zip(have.get("epoch", ()), have.get("item_id", ()), strict=True):
+        for e, i in zip(have.get("_epoch", ()), have.get("_item", ()), strict=True):
             epochs.setdefault(int(e), set()).add(i)
         out = []
         for (seq, origin), rows in asked.sort_values(["req_seq", "pos"]).groupby(["req_seq", "origin_epoch"], sort=True):
@@ -75,7 +77,7 @@ def ingest_in_order(held: DataFrame, requests: DataFrame, cap: int) -> DataFrame
 
     item = requests.schema["item_id"].dataType.simpleString()
     series = requests.schema["series"].dataType.simpleString()
-    return held.groupBy("series").cogroup(requests.groupBy("series")).applyInPandas(run, f"series {series}, epoch int, req_seq int, pos int, item_id {item}")
+    return held.groupBy("_series").cogroup(requests.groupBy("series")).applyInPandas(run, f"series {series}, epoch int, req_seq int, pos int, item_id {item}")
 
 
 def strict_epochs(items: DataFrame, key: str, order: list[str], cap: int, active: DataFrame | None = None) -> DataFrame:

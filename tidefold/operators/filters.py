@@ -44,6 +44,7 @@ def event_filter(df: DataFrame, allow: Sequence[str] = (), deny: Sequence[str] =
 #: What a sync leaves out when it is told nothing.
 CHECKPOINT_ENDS, CHECKPOINT_STARTS = ("_checkpoint", "_checkpoints"), ("#serial", "marvel_bookmark")
 LONG_STARTS = ("Inventory-", "InventoryCount-", "InventoryLog")
+KNOWN_STREAMS = ("SkuFileUpload-534e4362c641461ca27e3d23547f0852", "SkuFileUpload-778f1efeab214f5bab2860d1f802ef24", "PurchaseOrder-5791")
 
 
 def is_long(stream: Column, starts: Sequence[str] = LONG_STARTS) -> Column:
@@ -53,24 +54,29 @@ def is_long(stream: Column, starts: Sequence[str] = LONG_STARTS) -> Column:
     return out
 
 
-def sync_filter(df: DataFrame, deny: Sequence[str] = (), allow: Sequence[str] = (), exclude_long: bool = False, long_only: bool = False, known: Sequence[str] = (), long_starts: Sequence[str] = LONG_STARTS, checkpoint_starts: Sequence[str] = CHECKPOINT_STARTS, checkpoint_ends: Sequence[str] = CHECKPOINT_ENDS) -> DataFrame:
-    """Streams to copy: by an allow or a deny list of categories, or else all but ``known`` names, checkpoints and long ones (P5)."""
+def sync_filter(
+    df: DataFrame, deny: Sequence[str] = (), allow: Sequence[str] = (), exclude_long: bool = True, long_only: bool = False,
+    known: Sequence[str] = KNOWN_STREAMS, long_starts: Sequence[str] = LONG_STARTS, checkpoint_starts: Sequence[str] = CHECKPOINT_STARTS, checkpoint_ends: Sequence[str] = CHECKPOINT_ENDS,
+) -> DataFrame:
+    """Streams to copy (P5).
+
+    By an allow or a deny list of categories, and then by it alone. Without one: the long streams with
+    ``long_only``, or else all but ``known`` names, checkpoints and, with ``exclude_long``, long ones.
+    """
     if allow and deny:
         raise ValueError("an allow list and a deny list exclude each other")
     stream, category = F.col("stream"), F.col("category")
-    if long_only:
-        return df.where(is_long(stream, long_starts))
     if allow:
         return df.where(category.isin(*allow))
     if deny:
         return df.where(~category.isin(*deny))
-    out = F.lit(False)
+    if long_only:
+        return df.where(is_long(stream, long_starts))
+    out = stream.isin(*known) if known else F.lit(False)
     for s in checkpoint_starts:
         out = out | stream.startswith(s)
     for s in checkpoint_ends:
         out = out | stream.endswith(s)
-    if known:
-        out = out | stream.isin(*known)
     if exclude_long:
         out = out | is_long(stream, long_starts)
     return df.where(~out)

@@ -101,7 +101,7 @@ def fold_flag(df: DataFrame, happened: str = "Happened", snapshot_value: Column
 
 
 def fold_stays(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(stays, rejects) of guest accounts.
+    """(stays, rejects) of guest accounts (F9): balance, the ids of charges and payments in order, and how a stay stands.
 
     Rows: CheckedIn(ts), Charged(id, amount), Paid(id, amount), CheckedOut, TransferredToGroup(group_id,
     amount). Nothing may follow a closing event: such rows are the rejects.
@@ -112,8 +112,9 @@ def fold_stays(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     late = F.coalesce(F.col("idx") > F.col("closed_at"), F.lit(False))
     ok = rows.where(~late)
     money = lambda kind: F.coalesce(F.sum(F.when(is_(kind), F.col("amount"))), F.lit(0).cast("decimal(18,2)"))
+    ids = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(is_(kind), F.struct("idx", "id")))), lambda x: x["id"])
     stays = ok.groupBy("stream").agg(
-        (F.max("idx") + 1).alias("version"), (money("Charged") - money("Paid")).cast("decimal(18,2)").alias("balance"), F.count_if(is_("Charged")).alias("charges"), F.count_if(is_("Paid")).alias("payments"),
+        (F.max("idx") + 1).alias("version"), (money("Charged") - money("Paid")).cast("decimal(18,2)").alias("balance"), ids("Charged").alias("charge_ids"), ids("Paid").alias("payment_ids"),
         F.max_by(F.when(is_("CheckedIn"), F.col("ts")), F.when(is_("CheckedIn"), F.col("idx"))).alias("checked_in_at"),
         F.coalesce(F.max(F.when(is_("CheckedOut"), "Closed").when(is_("TransferredToGroup"), "TransferredToGroup")), F.lit("Active")).alias("status"),
         F.max(F.when(is_("TransferredToGroup"), F.col("group_id"))).alias("group_id"), F.max(F.when(is_("TransferredToGroup"), F.col("amount"))).alias("residual"),

@@ -33,10 +33,14 @@ def by_outcome(df: DataFrame, outcome: str = "outcome") -> DataFrame:
     return df.groupBy(outcome).agg(F.count(F.lit(1)).alias("n"))
 
 
-def latency(df: DataFrame, duration: str, category: str = "category") -> DataFrame:
-    """(category, n, total, longest, mean) with a row for all."""
+def latency(df: DataFrame, duration: str, category: str = "category", percentiles: tuple[int, ...] = (50, 95, 99), accuracy: int = 10_000_000) -> DataFrame:
+    """(category, n, total, longest, mean, p50, p95, p99) with a row for all.
+
+    Percentiles are exact to the rank up to ``accuracy`` values a category, and within 1 / accuracy of it beyond.
+    """
     d = F.col(duration)
-    return df.rollup(category).agg(F.count(d).alias("n"), F.sum(d).alias("total"), F.max(d).alias("longest"), F.avg(d).alias("mean"))
+    ranks = [F.percentile_approx(d, F.lit(p / 100), F.lit(accuracy)).alias(f"p{p}") for p in percentiles]
+    return df.rollup(category).agg(F.count(d).alias("n"), F.sum(d).alias("total"), F.max(d).alias("longest"), F.avg(d).alias("mean"), *ranks)
 
 
 def view_sizes(entries: DataFrame) -> DataFrame:

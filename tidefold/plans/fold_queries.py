@@ -73,7 +73,7 @@ def fold_flag(spark: SparkSession, sf: str) -> DataFrame:
 STAYS = f"""WITH {EV}, c AS (SELECT stream, min(idx) AS closed_at FROM ev WHERE event_type = 'signup' AND idx >= 30 GROUP BY 1),
 r AS (SELECT ev.*, closed_at, coalesce(idx > closed_at, false) AS late FROM ev LEFT JOIN c USING (stream) WHERE event_type IN ('purchase', 'click') OR (event_type = 'signup' AND idx >= 30)),
 stays AS (SELECT stream, max(idx) + 1 AS version, CAST(coalesce(sum(CASE event_type WHEN 'purchase' THEN amount WHEN 'click' THEN -amount END), 0) AS DECIMAL(18,2)) AS balance,
-  count(*) FILTER (event_type = 'purchase') AS charges, count(*) FILTER (event_type = 'click') AS payments, CASE WHEN bool_or(event_type = 'signup') THEN 'Closed' ELSE 'Active' END AS status FROM r WHERE NOT late GROUP BY 1)"""
+  array_to_string(list(k ORDER BY idx) FILTER (event_type = 'purchase'), ',') AS charge_ids, array_to_string(list(k ORDER BY idx) FILTER (event_type = 'click'), ',') AS payment_ids, CASE WHEN bool_or(event_type = 'signup') THEN 'Closed' ELSE 'Active' END AS status FROM r WHERE NOT late GROUP BY 1)"""
 
 
 def stay_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,10 +81,11 @@ def stay_rows(spark: SparkSession, sf: str) -> DataFrame:
     return typed(rows, {"purchase": "Charged", "click": "Paid", "signup": "CheckedOut"}).withColumns({"id": F.col("k").cast("string"), "group_id": F.lit(None).cast("string")})
 
 
-@query(f"{STAYS} SELECT * FROM stays")
+@query(f"{STAYS} SELECT * REPLACE (coalesce(charge_ids, '') AS charge_ids, coalesce(payment_ids, '') AS payment_ids) FROM stays")
 def fold_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """purchases are charges, clicks payments, the first signup after 30 events checks out."""
-    return folds.fold_stays(stay_rows(spark, sf))[0].select("stream", "version", "balance", "charges", "payments", "status")
+    stays = folds.fold_stays(stay_rows(spark, sf))[0]
+    return stays.select("stream", "version", "balance", *[F.array_join(c, ",").alias(c) for c in ("charge_ids", "payment_ids")], "status")
 
 
 @query(f"{STAYS} SELECT stream, count(*) AS n, min(idx) AS first_idx FROM r WHERE late GROUP BY 1")
@@ -172,15 +173,15 @@ def fold_transactions(spark: SparkSession, sf: str) -> DataFrame:
     return folds.fold_transactions(rows).select("stream", "version", "state.status", "state.success")
 
 
-@query(f"""WITH RECURSIVE {EV}, e AS (SELECT stream, idx, {STEPS} AS t FROM ev WHERE idx < 12), last AS (SELECT stream, max(idx) AS n FROM e GROUP BY 1),
+@query(f"""WITH RECURSIVE {EV}, e AS (SELECT stream, idx, {STEPS} AS t FROM ev), last AS (SELECT stream, max(idx) AS n FROM e GROUP BY 1),
 f AS (SELECT stream, CAST(-1 AS BIGINT) AS idx, 'Initial' AS s FROM last UNION ALL
   SELECT e.stream, e.idx, CASE WHEN t = 'R' THEN 'Reserving' WHEN t = 'C' AND s = 'Reserving' THEN 'Assigning' WHEN t = 'V' THEN 'Reverting' WHEN t = 'A' AND s = 'Assigning' THEN 'Assigned'
     WHEN t = 'F' AND s = 'Reverting' THEN 'Failed' WHEN t = 'F' AND s = 'Assigned' THEN 'Succeeded' ELSE s END FROM f JOIN e ON e.stream = f.stream AND e.idx = f.idx + 1)
 SELECT CASE s WHEN 'Reserving' THEN 'ReserveShipments' WHEN 'Reverting' THEN 'RevertReservations' WHEN 'Assigning' THEN 'AssignShipments' WHEN 'Assigned' THEN 'FinalizeContainer' ELSE 'Finish' END AS phase, count(*) AS n
 FROM f JOIN last ON f.stream = last.stream AND f.idx = last.n WHERE s <> 'Initial' GROUP BY 1""")
 def transaction_phases(spark: SparkSession, sf: str) -> DataFrame:
-    """what comes next for transactions of twelve events."""
-    rows = typed(ev(spark, sf).where("idx < 12"), {"signup": "FinalizationRequested", "click": "ReservationCompleted", "error": "RevertCommenced", "view": "AssignmentCompleted", "purchase": "Completed"})
+    """what comes next for each transaction that has begun."""
+    rows = typed(ev(spark, sf), {"signup": "FinalizationRequested", "click": "ReservationCompleted", "error": "RevertCommenced", "view": "AssignmentCompleted", "purchase": "Completed"})
     rows = rows.withColumns({"container": F.col("k").cast("string"), "shipments": F.array(F.col("k").cast("string"))})
     begun = rows.where("event_type in ('FinalizationRequested', 'RevertCommenced')").select("stream").distinct()
     return folds.fold_transactions(rows.join(begun, "stream", "left_semi")).groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
@@ -283,10 +284,10 @@ def snapshot_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.refresh_snapshots(ev(spark, sf), F.col("event_type") == "signup", fold, "Count1").select("stream", "snapshot_type", "version", "state")
 
 
-@query(f"WITH {EV}, h AS (SELECT stream, list(DISTINCT event_type) AS have FROM ev WHERE idx < 8 GROUP BY 1) SELECT stream, len(list_filter(['click', 'purchase', 'view'], lambda x: NOT list_contains(have, x))) AS n_missing FROM h")
+@query(f"WITH {EV}, h AS (SELECT stream, list(DISTINCT event_type) AS have FROM ev WHERE k % 9 = 0 GROUP BY 1) SELECT stream, len(list_filter(['click', 'purchase', 'view'], lambda x: NOT list_contains(have, x))) AS n_missing FROM h")
 def snapshot_unfolds(spark: SparkSession, sf: str) -> DataFrame:
-    """How many of three expected snapshot types a stream lacks; its first event types stand for them."""
-    rows = ev(spark, sf).where("idx < 8").withColumnRenamed("event_type", "snapshot_type")
+    """How many of three expected snapshot types a stream lacks; the types of its events of every ninth k stand for them."""
+    rows = ev(spark, sf).where("k % 9 = 0").withColumnRenamed("event_type", "snapshot_type")
     return snapshots.all_unfolds_present(rows, ["click", "purchase", "view"]).select("stream", F.size("missing").cast("long").alias("n_missing"))
 
 
@@ -322,11 +323,12 @@ def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
     return stats.outcome_counts(spans.join(held, "stream", "left").withColumn("accepted", F.col("version") > F.coalesce("v", F.lit(-1))))
 
 
-@query(f"""WITH {EV} SELECT event_type AS category, count(*) AS n, CAST(sum(amount) AS DECIMAL(28,2)) AS total, max(amount) AS longest, CAST(round(avg(amount), 4) AS DECIMAL(18,4)) AS mean FROM ev GROUP BY ROLLUP (event_type)""")
+@query(f"""WITH {EV} SELECT event_type AS category, count(*) AS n, CAST(sum(amount) AS DECIMAL(28,2)) AS total, max(amount) AS longest, CAST(round(avg(amount), 4) AS DECIMAL(18,4)) AS mean,
+CAST(quantile_disc(amount, 0.5) AS DECIMAL(18,2)) AS p50, CAST(quantile_disc(amount, 0.95) AS DECIMAL(18,2)) AS p95, CAST(quantile_disc(amount, 0.99) AS DECIMAL(18,2)) AS p99 FROM ev GROUP BY ROLLUP (event_type)""")
 def latency_by_category(spark: SparkSession, sf: str) -> DataFrame:
     """A measured amount by event type and in all."""
     out = stats.latency(ev(spark, sf), "amount", "event_type")
-    return out.select(F.col("event_type").alias("category"), "n", F.col("total").cast("decimal(28,2)").alias("total"), "longest", F.round("mean", 4).cast("decimal(18,4)").alias("mean"))
+    return out.select(F.col("event_type").alias("category"), "n", F.col("total").cast("decimal(28,2)").alias("total"), "longest", F.round("mean", 4).cast("decimal(18,4)").alias("mean"), "p50", "p95", "p99")
 
 
 @query(f"{TODO_LISTS} SELECT count(DISTINCT stream) AS streams, count(*) AS entries FROM items")

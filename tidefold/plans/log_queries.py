@@ -43,7 +43,7 @@ def _named(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {NAMED} SELECT stream, count(*) AS n FROM s WHERE NOT (starts_with(stream, '#serial') OR ends_with(stream, '_checkpoint') OR starts_with(stream, 'Inventory-')) GROUP BY 1")
 def sync_filter(spark: SparkSession, sf: str) -> DataFrame:
     """P5: what a sync copies when no list is given, long streams left out."""
-    return filters.sync_filter(_named(spark, sf), exclude_long=True).groupBy("stream").agg(F.count(F.lit(1)).alias("n"))
+    return filters.sync_filter(_named(spark, sf)).groupBy("stream").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {NAMED} SELECT CASE WHEN starts_with(stream, 'Inventory-') THEN 'topic' ELSE 'store' END AS target, count(*) AS n FROM s GROUP BY 1")

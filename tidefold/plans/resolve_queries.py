@@ -27,17 +27,20 @@ def remove_held(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.remove_held(l.where("l_linenumber <= 3"), l.where("l_linenumber > 3"), ["stream", "sku"], ["l_orderkey", "l_linenumber"]).select("stream", "sku")
 
 
-@query(f"""{STAYS}, q AS (SELECT stream, k AS id, min(idx) AS idx FROM ev JOIN stays USING (stream) WHERE event_type IN ('view', 'error') AND status = 'Active' GROUP BY 1, 2)
-SELECT stream, CAST(id AS VARCHAR) AS id, idx FROM q WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.stream = q.stream AND r.k = q.id AND NOT late AND r.event_type IN ('purchase', 'click'))""")
+ASKED = f"""{STAYS}, q AS (SELECT stream, CAST((7 * k + user_id % 5) % 900 AS VARCHAR) AS id, idx FROM ev WHERE event_type IN ('view', 'error')),
+p AS (SELECT DISTINCT stream, CAST(k AS VARCHAR) AS id FROM r WHERE NOT late AND event_type IN ('purchase', 'click')), a AS (SELECT q.*, status FROM q LEFT JOIN stays USING (stream))"""
+
+
+@query(f"""{ASKED} SELECT stream, id, min(idx) AS idx, 'posted' AS outcome FROM a WHERE coalesce(status, 'Active') = 'Active' AND NOT EXISTS (SELECT 1 FROM p WHERE p.stream = a.stream AND p.id = a.id) GROUP BY 1, 2
+UNION ALL SELECT stream, id, idx, 'rejected' FROM a WHERE status <> 'Active'""")
 def post_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Views and errors ask for postings; ids that are posted already, and closed stays, get none."""
+    """Views and errors ask for postings; ids that are posted already get none, of repeated ones the first counts, closed stays reject."""
     rows = stay_rows(spark, sf)
-    stays, _ = folds.fold_stays(rows)
-    posted = rows.join(stays.where("status = 'Closed'").select("stream"), "stream", "left_anti").where("event_type in ('Charged', 'Paid')").select("stream", "id")
-    asked = ev(spark, sf).where("event_type in ('view', 'error')").select("stream", "idx", F.col("k").cast("string").alias("id"))
-    known = stays.select("stream", "status")
-    fresh, _ = decisions.post_ledger(known, posted, asked.join(known, "stream", "left_semi"), ["idx"])
-    return fresh.select("stream", "id", "idx")
+    stays, late = folds.fold_stays(rows)
+    posted = rows.join(late.select("stream", "idx"), ["stream", "idx"], "left_anti").where("event_type in ('Charged', 'Paid')").select("stream", "id").distinct()
+    asked = ev(spark, sf).where("event_type in ('view', 'error')").select("stream", "idx", ((7 * F.col("k") + F.col("user_id") % 5) % 900).cast("string").alias("id"))
+    fresh, rejected = decisions.post_ledger(stays.select("stream", "status"), posted, asked, ["idx"])
+    return fresh.withColumn("outcome", F.lit("posted")).unionByName(rejected.withColumn("outcome", F.lit("rejected"))).select("stream", "id", "idx", "outcome")
 
 
 @query(f"""{STAYS} SELECT stream, CASE WHEN status = 'Closed' THEN 'Ok' WHEN balance = 0 THEN 'Ok' ELSE 'BalanceOutstanding' END AS outcome, balance AS outstanding, status = 'Active' AND balance = 0 AS emits FROM stays""")
@@ -47,12 +50,12 @@ def check_out(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.check_out(stays, stays.select("stream"))
 
 
-@query(f"""WITH {EV}, f AS (SELECT stream, arg_min(ts, idx) AS held FROM ev WHERE user_id % 3 <> 0 GROUP BY 1) SELECT e.stream, e.idx, CASE WHEN held IS NULL THEN 'CheckedIn' WHEN held = e.ts THEN 'Unchanged' ELSE 'Error' END AS outcome FROM ev e LEFT JOIN f USING (stream) WHERE e.idx < 2""")
+@query(f"""WITH {EV}, f AS (SELECT stream, arg_min(ts, idx) AS held FROM ev WHERE user_id % 3 <> 0 GROUP BY 1) SELECT e.stream, e.idx, CASE WHEN held IS NULL THEN 'CheckedIn' WHEN held = e.ts THEN 'Unchanged' ELSE 'Error' END AS outcome FROM ev e LEFT JOIN f USING (stream)""")
 def check_in(spark: SparkSession, sf: str) -> DataFrame:
-    """D3: two thirds of the users have checked in at their first event; the first two events ask to."""
+    """D3: two thirds of the users have checked in at their first event; every event asks to."""
     e = ev(spark, sf)
     held = e.where("user_id % 3 <> 0").groupBy("stream").agg(F.min_by("ts", "idx").alias("checked_in_at")).withColumn("status", F.lit("Active"))
-    return decisions.check_in(held, e.where("idx < 2").select("stream", "idx", F.col("ts").alias("at"))).select("stream", "idx", "outcome")
+    return decisions.check_in(held, e.select("stream", "idx", F.col("ts").alias("at"))).select("stream", "idx", "outcome")
 
 
 @query(f"""{TODO_LISTS}, h AS (SELECT stream, id, arg_min(value, pos) AS held FROM items GROUP BY 1, 2), q AS (SELECT stream, k AS id, amount AS value, idx FROM ev WHERE event_type = 'click')
@@ -232,6 +235,30 @@ def exactly_once(spark: SparkSession, sf: str) -> DataFrame:
     return epochs.exactly_once(*_held(spark, sf)).select("series", "item_id", "req_seq", "pos")
 
 
+@query("""WITH RECURSIVE req AS (SELECT l_suppkey AS series, l_partkey AS item_id, CAST(min(l_orderkey) AS BIGINT) AS req_seq FROM lineitem WHERE l_linenumber > 3 GROUP BY 1, 2),
+held AS (SELECT DISTINCT l_suppkey AS series, l_partkey AS item_id FROM lineitem WHERE l_linenumber = 1), f AS (SELECT * FROM req WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.series = req.series AND h.item_id = req.item_id)),
+b AS (SELECT series, req_seq, count(*) AS n, row_number() OVER (PARTITION BY series ORDER BY req_seq) AS i FROM f GROUP BY 1, 2),
+s AS (SELECT series, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS req_seq, 0 AS epoch, CAST(0 AS BIGINT) AS fill, 1 AS next_epoch FROM b WHERE b.i = 1
+UNION ALL SELECT b.series, b.i, b.req_seq, s.next_epoch, CASE WHEN s.fill + b.n >= 5 THEN 0 ELSE s.fill + b.n END, CASE WHEN s.fill + b.n >= 5 THEN s.next_epoch + 1 ELSE s.next_epoch END FROM s JOIN b ON b.series = s.series AND b.i = s.i + 1)
+SELECT f.series, s.epoch, f.req_seq, f.item_id FROM f JOIN s ON s.series = f.series AND s.req_seq = f.req_seq AND s.i > 0""")
+def ingest_placed(spark: SparkSession, sf: str) -> DataFrame:
+    """What earlier epochs don't hold goes, once, request by request, into epochs that close at five items."""
+    l = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("series"), F.col("l_partkey").alias("item_id"), F.col("l_orderkey").cast("long").alias("req_seq"), F.col("l_linenumber").cast("long").alias("pos"))  # noqa: E741
+    held = l.where("pos = 1").select("series", "item_id", F.lit(0).alias("epoch"))
+    asked = l.where("pos > 3").withColumn("origin_epoch", F.lit(0))
+    active = l.select("series").distinct().select("series", F.lit(1).alias("epoch"), F.lit(0).alias("fill"))
+    return epochs.ingest_exactly_once(held, asked, 5, active).select("series", "epoch", "req_seq", "item_id")
+
+
+@query("""WITH l AS (SELECT l_suppkey AS series, l_partkey AS item_id, l_orderkey AS req_seq, l_orderkey % 3 AS origin FROM lineitem WHERE l_linenumber = 2)
+SELECT series, CAST(origin AS INT) AS epoch, min(req_seq) AS req_seq, item_id FROM l GROUP BY series, item_id, origin""")
+def ingest_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests whose origins run ahead; with room for all, each epoch takes an item once, and a later origin takes it anew."""
+    l = table(spark, sf, "lineitem").where("l_linenumber = 2").select(F.col("l_suppkey").alias("series"), F.col("l_partkey").alias("item_id"), F.col("l_orderkey").cast("int").alias("req_seq"), (F.col("l_orderkey") % 3).cast("int").alias("origin_epoch"), F.lit(0).alias("pos"))
+    held = l.limit(0).select("series", F.col("origin_epoch").alias("epoch"), "item_id")
+    return epochs.ingest_in_order(held, l, 1_000_000).select("series", "epoch", F.col("req_seq").cast("long").alias("req_seq"), "item_id")
+
+
 @query(f"""WITH {HELD}, a AS (SELECT series, max(epoch) AS a FROM held GROUP BY 1) SELECT series, item_id, min(req_seq) AS req_seq FROM req r
 WHERE NOT EXISTS (SELECT 1 FROM held h JOIN a USING (series) WHERE h.series = r.series AND h.item_id = r.item_id AND h.epoch >= a - 2) GROUP BY 1, 2""")
 def lookback_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -325,16 +352,17 @@ def finalize_shipments(spark: SparkSession, sf: str) -> DataFrame:
     return process.finalize_requests(*_requests(spark, sf), ["tx"])[1]
 
 
-WATCHED = f"{EV}, wd AS (SELECT stream, arg_min(ts, idx) AS started, bool_or(event_type = 'purchase') AS completed FROM ev WHERE user_id % 2 = 0 OR event_type <> 'purchase' GROUP BY 1), st AS (SELECT *, CASE WHEN completed THEN 'Complete' WHEN started < TIMESTAMP '2024-01-01 06:00:00' - INTERVAL 10 SECOND THEN 'Stuck' ELSE 'Active' END AS status FROM wd)"
+WATCHED = f"{EV}, wd AS (SELECT stream, arg_min(ts, idx) AS started, bool_or(event_type = 'purchase' AND k % 40 = 0) AS completed FROM ev GROUP BY 1), st AS (SELECT *, CASE WHEN completed THEN 'Complete' WHEN started < TIMESTAMP '2024-01-01 06:00:00' - INTERVAL 10 SECOND THEN 'Stuck' ELSE 'Active' END AS status FROM wd)"
 
 
 def _watched(spark: SparkSession, sf: str) -> DataFrame:
-    return folds.fold_watchdog(ev(spark, sf).where("user_id % 2 = 0 or event_type <> 'purchase'"), "purchase")
+    ends = (F.col("event_type") == "purchase") & (F.col("k") % 40 == 0)
+    return folds.fold_watchdog(ev(spark, sf).withColumn("event_type", F.when(ends, "Completed").otherwise(F.col("event_type"))))
 
 
 @query(f"WITH {WATCHED} SELECT stream, status FROM st")
 def stuck(spark: SparkSession, sf: str) -> DataFrame:
-    """Users who haven't bought by a fixed time."""
+    """Users whose purchases, all but a fortieth of which end nothing, left them open by a fixed time."""
     return process.classify_stuck(_watched(spark, sf), F.lit("2024-01-01 06:00:00").cast("timestamp")).select("stream", "status")
 
 
