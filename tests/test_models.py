@@ -6,6 +6,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidefold.sources import sinks
 from tidefold.operators import decisions, epochs, folds, periods, process, snapshots
 
 from .conftest import rows
@@ -24,8 +25,32 @@ def test_periods_golden(spark):
     assert by_period == {0: ["a", "b"], 1: ["c", "d", "e", "f"], 2: ["g"], 3: ["h"]}
     closed = periods.close_through(placed.withColumn("one", F.lit(1)), "series", "period", "one")
     assert rows(closed, "period", "closing", "closed") == [(0, 2, True), (1, 6, True), (2, 7, True), (3, 8, False)]
-    carried = {r.period: r.carried for r in periods.carry_items(placed, "series", "period", "item", ["req_seq", "pos"]).collect()}
-    assert carried[3] == list("abcdefgh")
+    items = periods.carry_items(placed, "series", "period", "item", ["req_seq", "pos"])
+    asked = spark.createDataFrame([("s", 1), ("s", 3)], "series string, period int")
+    carried = periods.carried_by(items, asked, "series", "period").orderBy("period", "pos").collect()
+    assert {p: [r.item for r in carried if r.period == p] for p in (1, 3)} == {1: list("abcdef"), 3: list("abcdefgh")}
+
+
+def test_placed_in_order(spark):
+    """One long list and many short ones, each row placed by what came before it of its key alone."""
+    rng = random.Random(5)
+    sizes = [("hot", n, rng.randrange(0, 9)) for n in range(20_000)] + [(f"k{n % 50}", n, rng.randrange(0, 9)) for n in range(500)]
+    want, state = [], {"k7": (3, 4)}
+    for k, n, size in sizes:
+        epoch, fill = state.get(k, (0, 0))
+        want.append((k, n, epoch))
+        state[k] = (epoch + 1, 0) if size and fill + size >= 5 else (epoch, fill + size)
+    batches = spark.createDataFrame(sizes, "series string, req_seq int, n int").repartition(7)
+    active = spark.createDataFrame([("k7", 3, 4), ("none", 1, 1)], "series string, epoch int, fill int")
+    assert rows(epochs.soft_epochs(batches, 5, active), "series", "req_seq", "epoch") == sorted(want, key=str)
+    events = batches.select(F.col("series").alias("stream"), F.col("req_seq").cast("long").alias("idx"), F.col("n").cast("long").alias("size"))
+    want, state = [], {}
+    for k, n, size in sizes:
+        page, count, held = state.get(k, (0, 0, 0))
+        page, count, held = (page, count, held) if not count or (count < 3 and held + size <= 12) else (page + 1, 0, 0)
+        want.append((k, n, page))
+        state[k] = (page, count + 1, held + size)
+    assert rows(sinks.pages(events, 3, 12), "stream", "idx", "page") == sorted(want, key=str)
 
 
 def test_spill_over_model(spark):

@@ -60,6 +60,25 @@ def test_view_keeps_the_highest_version(spark, tmp_path):
     assert rows(sinks.read_view(spark, path, first.schema)) == [("a", 2, "z"), ("b", 6, "new"), ("c", 0, "c")]
 
 
+def test_view_conflict_and_compaction(spark, tmp_path, monkeypatch):
+    """Of two writers that take one serial, the second fails and changes nothing; a compacted view has the same rows and one generation."""
+    path, to = str(tmp_path / "view"), str(tmp_path / "compact")
+    view = lambda *r: spark.createDataFrame(r, "stream string, version long")
+    sinks.upsert_view(view(("a", 1), ("b", 1)), path, ["stream"])
+    sinks.upsert_view(view(("a", 2), ("c", 1)), path, ["stream"])
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_serial", lambda *_: 0)  # what the slower writer saw
+        with pytest.raises(Exception, match="(?i)exists"):
+            sinks.upsert_view(view(("b", 9)), path, ["stream"])
+    want = [("a", 2), ("b", 1), ("c", 1)]
+    assert rows(sinks.read_view(spark, path, view(("a", 1)).schema)) == want
+    sinks.compact(spark, path, to, view(("a", 1)).schema, ["stream"])
+    assert rows(sinks.read_view(spark, to, view(("a", 1)).schema)) == want
+    assert spark.read.parquet(f"{to}/rows").select("generation").distinct().count() == 1
+    sinks.upsert_view(view(("d", 1)), to, ["stream"])
+    assert sinks.read_view(spark, to, view(("a", 1)).schema).count() == 4
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("$Todo-1", "$Todo", "{}"), ("Todo-1", "Todo", "{}"), ("Todos-2", "Todos", "no"), ("x_checkpoint", "x_checkpoint", "{}")], "stream string, category string, data string")
     assert rows(filters.stream_filter(df, ["Todo"]), "stream") == [("Todo-1",)]

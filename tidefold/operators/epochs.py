@@ -3,31 +3,27 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decisions import first_of
+from .running import placed_in_order
 
 
 def soft_epochs(batches: DataFrame, cap: int, active: DataFrame | None = None) -> DataFrame:
     """(series, req_seq, n, epoch): each batch goes whole into the open epoch, which closes at ``cap`` items.
 
-    A running sum that starts anew, as an aggregation over the sizes of a series' batches (never over
-    items). ``active`` (series, epoch, fill) says where a series stands.
+    A running sum over the sizes of batches (never over items), that starts anew when an epoch closes.
+    ``active`` (series, epoch, fill) says where a series stands.
     """
-    lists = batches.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("req_seq", F.col("n").cast("int").alias("n")))).alias("b"))
+    rows = batches.select("series", "req_seq", F.col("n").cast("int").alias("n"))
     if active is not None:
-        lists = lists.join(active.select("series", F.col("epoch").alias("_e"), F.col("fill").alias("_f")), "series", "left")
-    else:
-        lists = lists.withColumns({"_e": F.lit(0), "_f": F.lit(0)})
-    start = F.struct(F.coalesce("_e", F.lit(0)).cast("int").alias("epoch"), F.coalesce("_f", F.lit(0)).cast("int").alias("fill"), F.array().cast("array<int>").alias("out"))
+        rows = rows.join(active.select("series", F.struct(F.col("epoch").alias("place"), "fill").alias("_start")), "series", "left")
 
-    def step(a: Column, b: Column) -> Column:
-        full = (b["n"] > 0) & (a["fill"] + b["n"] >= cap)
-        return F.struct(F.when(full, a["epoch"] + 1).otherwise(a["epoch"]).alias("epoch"), F.when(full, 0).otherwise(a["fill"] + b["n"]).alias("fill"), F.concat(a["out"], F.array(a["epoch"])).alias("out"))
+    def place(epoch: int, fill: int, n: int) -> tuple[int, int, int]:
+        return (epoch, epoch + 1, 0) if n > 0 and fill + n >= cap else (epoch, epoch, fill + n)
 
-    placed = lists.withColumn("e", F.aggregate("b", start, step, lambda a: a["out"]))
-    return placed.select("series", F.explode(F.arrays_zip("b", "e")).alias("z")).select("series", "z.b.req_seq", "z.b.n", F.col("z.e").alias("epoch"))
+    return placed_in_order(rows, "series", "req_seq", "n", "_start" if active is not None else None, place, "epoch")
 
 
 def exactly_once(held: DataFrame, requests: DataFrame) -> DataFrame:

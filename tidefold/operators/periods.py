@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +18,58 @@ def carry_forward(activity: DataFrame, key: str, period: str, amount: str) -> Da
     return added.withColumn("closing", F.sum("added").over(to_here)).withColumn("opening", F.col("closing") - F.col("added"))
 
 
+@dataclass(frozen=True)
+class Rules:
+    """How balances roll from period to period (U4): functions of plain numbers.
+
+    ``opening`` makes a period's opening balance of what the one before carried forward (None for the
+    first), ``take`` its closing balance of the opening one and what is added, ``carry`` what it carries forward.
+    """
+
+    opening: Callable = lambda carried: carried or 0
+    take: Callable = lambda opening, added: opening + added
+    carry: Callable = lambda closing: closing
+
+
+def roll_forward(activity: DataFrame, key: str, period: str, amount: str, rules: Rules) -> DataFrame:
+    """(key, period, opening, added, closing, carried) under any rules.
+
+    Sums of each period are dealt by key and stream past one balance at a time.
+    """
+    money = "decimal(28,2)"
+    added = activity.groupBy(key, period).agg(F.sum(amount).cast(money).alias("added"))
+    kinds = {f.name: f.dataType.simpleString() for f in added.schema}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, carried = object(), None
+        for frame in frames:
+            rows = []
+            for k, plus in zip(frame[key], frame["added"], strict=True):
+                current, carried = k, carried if k == current else None
+                opening = rules.opening(carried)
+                closing = rules.take(opening, plus)
+                carried = rules.carry(closing)
+                rows.append([Decimal(x) for x in (opening, closing, carried)])
+            yield frame.assign(**{c: [r[n] for r in rows] for n, c in enumerate(("opening", "closing", "carried"))})
+
+    schema = f"{key} {kinds[key]}, {period} {kinds[period]}, added {money}, opening {money}, closing {money}, carried {money}"
+    return added.repartition(F.col(key)).sortWithinPartitions(key, period).mapInPandas(run, schema)
+
+
 def carry_items(activity: DataFrame, key: str, period: str, item: str, order: list[str]) -> DataFrame:
-    """(key, period, carried array, n): the items of a period and of all before it, in order.
+    """(key, period, item, pos): each item once, in the period that adds it.
 
-    Each balance lists all items so far, as in the numeric form's item twin; use it where lists are short.
+    What a period carries forward, all items so far, are the rows of it and of all before it, in the order of
+    pos; lists that repeat them for every later period aren't made.
     """
-    added = activity.groupBy(key, period).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("_i")))), lambda x: x["_i"]).alias("added"))
-    to_here = Window.partitionBy(key).orderBy(period).rowsBetween(Window.unboundedPreceding, 0)
-    return added.withColumn("carried", F.flatten(F.collect_list("added").over(to_here))).withColumn("n", F.size("carried"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(period, *order)) - 1
+    return activity.select(key, period, F.col(item).alias("item"), place.cast("long").alias("pos"))
+
+
+def carried_by(items: DataFrame, periods: DataFrame, key: str, period: str) -> DataFrame:
+    """(key, period, item, pos) of what the given (key, period) carry forward."""
+    asked = periods.select(key, F.col(period).alias("_until"))
+    return items.join(asked, key).where(F.col(period) <= F.col("_until")).select(key, F.col("_until").alias(period), "item", "pos")
 
 
 def close_through(activity: DataFrame, key: str, period: str, amount: str, opened: DataFrame | None = None) -> DataFrame:

@@ -251,6 +251,70 @@ def fold_by_category(spark: SparkSession, sf: str) -> DataFrame:
     return folds.fold_by_category(rows, {"even": favorites, "odd": folds.versions})
 
 
+# Folds that begin at what a snapshot holds
+
+LIVE = f"""WITH {EV}, live AS (SELECT e.* FROM ev e LEFT JOIN (SELECT stream, max(idx) AS o FROM ev WHERE event_type = 'signup' GROUP BY 1) USING (stream) WHERE o IS NULL OR idx >= o)"""
+
+
+@query(f"""{LIVE}, m AS (SELECT *, row_number() OVER (PARTITION BY stream, k ORDER BY idx DESC) AS rn FROM live WHERE event_type IN ('click', 'error', 'signup'))
+SELECT stream, k AS sku, ts AS date FROM m WHERE rn = 1 AND event_type <> 'error'""")
+def favorites_from_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """a snapshot's own favourites, here its k, are where the fold begins."""
+    rows = typed(ev(spark, sf), {"click": "Favorited", "error": "Unfavorited", "signup": "Snapshotted"})
+    return folds.fold_favorites(rows.withColumn("net", F.when(F.col("event_type") == "Snapshotted", F.array(F.struct("k", "ts")))), "k", "ts")
+
+
+@query(f"{LIVE} SELECT stream, max(idx) + 1 AS version, bool_or(event_type = 'purchase' OR k % 2 = 0) AS flag FROM live WHERE event_type IN ('purchase', 'signup') GROUP BY stream")
+def flag_from_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """F8: snapshots of an even k hold a set flag."""
+    return folds.fold_flag(typed(ev(spark, sf), {"purchase": "Happened", "signup": "Snapshotted"}), snapshot_value=F.col("k") % 2 == 0)
+
+
+@query(f"""WITH RECURSIVE {EV}, e AS (SELECT stream, idx, k, {STEPS} AS t FROM ev), last AS (SELECT stream, max(idx) AS n FROM e GROUP BY 1),
+f AS (SELECT stream, CAST(-1 AS BIGINT) AS idx, 'Initial' AS s FROM last UNION ALL
+  SELECT e.stream, e.idx, CASE WHEN t = 'R' THEN CASE k % 3 WHEN 0 THEN 'Reserving' WHEN 1 THEN 'Assigning' ELSE 'Assigned' END WHEN t = 'C' AND s = 'Reserving' THEN 'Assigning' WHEN t = 'V' THEN 'Reverting' WHEN t = 'A' AND s = 'Assigning' THEN 'Assigned'
+    WHEN t = 'F' AND s = 'Reverting' THEN 'Failed' WHEN t = 'F' AND s = 'Assigned' THEN 'Succeeded' ELSE s END FROM f JOIN e ON e.stream = f.stream AND e.idx = f.idx + 1)
+SELECT f.stream, f.idx + 1 AS version, CASE WHEN s IN ('Failed', 'Succeeded') THEN 'Completed' ELSE s END AS status, CASE s WHEN 'Succeeded' THEN true WHEN 'Failed' THEN false END AS success
+FROM f JOIN last ON f.stream = last.stream AND f.idx = last.n""")
+def transactions_from_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """signups are snapshots that hold one of three states."""
+    rows = typed(ev(spark, sf), {"signup": "Snapshotted", "click": "ReservationCompleted", "error": "RevertCommenced", "view": "AssignmentCompleted", "purchase": "Completed"})
+    status = F.element_at(F.array(F.lit("Reserving"), F.lit("Assigning"), F.lit("Assigned")), F.col("k") % 3 + 1)
+    state = F.struct(status.alias("status"), F.col("k").cast("string").alias("container"), F.array(F.col("k").cast("string")).alias("shipments"), F.lit(None).cast("boolean").alias("success"))
+    rows = rows.withColumns({"container": F.col("k").cast("string"), "shipments": F.array(F.col("k").cast("string")), "state": F.when(F.col("event_type") == "Snapshotted", state)})
+    return folds.fold_transactions(rows).select("stream", "version", "state.status", "state.success")
+
+
+@query(f"""WITH {EV}, p AS (SELECT max(position) AS p FROM ev WHERE event_type = 'signup' AND position < (SELECT max(position) / 2 FROM ev))
+SELECT category AS stream, k % 7 AS key, arg_max(user_id, position) AS epoch FROM ev, p WHERE (event_type = 'click' AND position >= p) OR position = p GROUP BY 1, 2""")
+def series_from_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """as fold_series_map, where a snapshot holds the epoch of its own key."""
+    rows = table(spark, sf, "events").select(F.lit("User").alias("stream"), F.col("event_id").alias("idx"), "event_type", (F.get_json_object("props", "$.k").cast("int") % 7).alias("fc"), F.col("user_id").alias("epoch"))
+    half = rows.agg((F.max("idx") / 2).alias("h"))
+    rows = rows.join(F.broadcast(half), F.lit(True)).where("event_type = 'click' or (event_type = 'signup' and idx < h)")
+    held = F.when(F.col("event_type") == "Snapshotted", F.create_map("fc", "epoch"))
+    return folds.fold_series_map(typed(rows, {"click": "Started", "signup": "Snapshotted"}).withColumn("active", held)).select("stream", "key", "epoch")
+
+
+@query(f"{LIVE} SELECT stream, max(idx) + 1 AS version, bool_or(event_type = 'purchase' OR (event_type = 'signup' AND k % 2 = 0)) AS closed FROM live WHERE event_type <> 'error' GROUP BY 1")
+def epoch_from_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """snapshots of an even k were taken of closed epochs."""
+    return folds.fold_epoch_items(_epoch_rows(spark, sf).withColumn("closed", F.col("k") % 2 == 0))[1]
+
+
+@query("""SELECT concat('GroupCheckout-', o_custkey) AS stream, count(*) AS version, CAST(coalesce(sum(CASE o_orderstatus WHEN 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) WHEN 'P' THEN -CAST(o_totalprice AS DECIMAL(18,2)) END), 0) AS DECIMAL(18,2)) AS balance,
+count(*) FILTER (o_orderstatus = 'F') AS checked_out, bool_or(o_orderpriority = '1-URGENT' AND o_orderstatus = 'O') AS completed, CASE WHEN bool_or(o_orderpriority = '1-URGENT' AND o_orderstatus = 'O') THEN 'Finished' ELSE 'Ready' END AS next_action FROM orders GROUP BY o_custkey""")
+def group_payments(spark: SparkSession, sf: str) -> DataFrame:
+    """orders with status F are merged stays, those with P payments, open urgent ones confirm the group."""
+    from pyspark.sql import Window
+
+    stay, amount, status = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderstatus")
+    o = table(spark, sf, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1)
+    kind = F.when(status == "F", "StaysMerged").when(status == "P", "Paid").when(F.col("o_orderpriority") == "1-URGENT", "Confirmed").otherwise("Seen")
+    rows = o.select(F.concat(F.lit("GroupCheckout-"), F.col("o_custkey").cast("string")).alias("stream"), F.col("n").cast("long").alias("idx"), kind.alias("event_type"), F.array(stay).alias("stays"), F.when(status == "F", F.array(F.struct(stay.alias("stay"), amount.alias("residual")))).alias("residuals"), amount.alias("amount"))
+    return folds.fold_group_checkout(rows).select("stream", "version", "balance", F.size("checked_out").cast("long").alias("checked_out"), "completed", "next_action")
+
+
 # Snapshots
 
 
@@ -284,6 +348,19 @@ def snapshot_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.refresh_snapshots(ev(spark, sf), F.col("event_type") == "signup", fold, "Count1").select("stream", "snapshot_type", "version", "state")
 
 
+@query(f"""WITH {EV}, l AS (SELECT stream, user_id, arg_max(event_type, idx) AS t, max(idx) + 1 AS version, CAST(count(*) AS VARCHAR) AS state FROM ev GROUP BY 1, 2)
+SELECT stream, 'Count1' AS snapshot_type, version, CASE WHEN user_id % 3 = 0 THEN 'held' ELSE state END AS state FROM l WHERE t <> 'signup' OR user_id % 3 = 0
+UNION ALL SELECT stream, 'Count1', version - 1, 'stale' FROM l WHERE t = 'signup' AND user_id % 3 = 1""")
+def snapshot_renewal(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the streams has a snapshot that still holds, a third one that is behind."""
+    e = ev(spark, sf)
+    fold = lambda df: df.groupBy("stream", "category").agg((F.max("idx") + 1).alias("version"), F.count(F.lit(1)).cast("string").alias("state"))
+    third = F.col("user_id") % 3
+    made = e.where(third < 2).groupBy("stream", "category", third.alias("third")).agg((F.max("idx") + 1).alias("version"))
+    held = made.select("stream", "category", F.lit("Count1").alias("snapshot_type"), (F.col("version") - F.col("third")).alias("version"), F.when(F.col("third") == 0, "held").otherwise("stale").alias("state"))
+    return snapshots.refresh_snapshots(e, F.col("event_type") == "signup", fold, "Count1", held).select("stream", "snapshot_type", "version", "state")
+
+
 @query(f"WITH {EV}, h AS (SELECT stream, list(DISTINCT event_type) AS have FROM ev WHERE k % 9 = 0 GROUP BY 1) SELECT stream, len(list_filter(['click', 'purchase', 'view'], lambda x: NOT list_contains(have, x))) AS n_missing FROM h")
 def snapshot_unfolds(spark: SparkSession, sf: str) -> DataFrame:
     """How many of three expected snapshot types a stream lacks; the types of its events of every ninth k stand for them."""

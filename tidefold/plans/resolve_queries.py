@@ -284,10 +284,28 @@ def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("o_custkey", "period", *[F.col(c).cast("decimal(28,2)").alias(c) for c in ("opening", "added", "closing")], "n")
 
 
-@query(f"""WITH {MONTHS}, s AS (SELECT o_custkey, period, count(*) AS n FROM m GROUP BY 1, 2) SELECT o_custkey, period, CAST(sum(n) OVER (PARTITION BY o_custkey ORDER BY period) AS INT) AS n FROM s""")
+@query(f"""WITH RECURSIVE {MONTHS}, a AS (SELECT o_custkey, period, CAST(sum(amount) AS DECIMAL(28,2)) AS added, row_number() OVER (PARTITION BY o_custkey ORDER BY period) AS i FROM m GROUP BY 1, 2),
+s AS (SELECT o_custkey, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS period, CAST(0 AS DECIMAL(28,2)) AS opening, CAST(0 AS DECIMAL(28,2)) AS added, CAST(0 AS DECIMAL(28,2)) AS closing, CAST(0 AS DECIMAL(28,2)) AS carried FROM a WHERE i = 1
+UNION ALL SELECT a.o_custkey, a.i, a.period, s.carried, a.added, CAST(s.carried + a.added AS DECIMAL(28,2)), CAST(least(s.carried + a.added, 250000) AS DECIMAL(28,2)) FROM s JOIN a ON a.o_custkey = s.o_custkey AND a.i = s.i + 1)
+SELECT o_custkey, period, opening, added, closing, carried FROM s WHERE i > 0""")
+def roll_forward(spark: SparkSession, sf: str) -> DataFrame:
+    """Balances under rules of the caller's own; no month carries more than 250,000 forward."""
+    return periods.roll_forward(_months(spark, sf), "o_custkey", "period", "amount", periods.Rules(carry=lambda closing: min(closing, 250_000)))
+
+
+@query(f"""WITH {MONTHS.replace(" FROM orders", ", o_orderkey FROM orders")} SELECT o_custkey, period, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY period, o_orderkey) - 1 AS pos FROM m""")
 def carry_items(spark: SparkSession, sf: str) -> DataFrame:
-    """How many orders a month carries forward."""
-    return periods.carry_items(_months(spark, sf), "o_custkey", "period", "o_orderkey", ["o_orderkey"]).select("o_custkey", "period", "n")
+    """The orders that months carry forward, each in the month that adds it."""
+    return periods.carry_items(_months(spark, sf), "o_custkey", "period", "o_orderkey", ["o_orderkey"])
+
+
+@query(f"""WITH {MONTHS.replace(" FROM orders", ", o_orderkey FROM orders")}, l AS (SELECT o_custkey, max(period) AS last FROM m GROUP BY 1) SELECT o_custkey, last AS period, count(*) AS n, sum(o_orderkey)::BIGINT AS items FROM m JOIN l USING (o_custkey) GROUP BY 1, 2""")
+def carried_last(spark: SparkSession, sf: str) -> DataFrame:
+    """What each customer's last month carries forward."""
+    months = _months(spark, sf)
+    last = months.groupBy("o_custkey").agg(F.max("period").alias("period"))
+    carried = periods.carried_by(periods.carry_items(months, "o_custkey", "period", "o_orderkey", ["o_orderkey"]), last, "o_custkey", "period")
+    return carried.groupBy("o_custkey", "period").agg(F.count(F.lit(1)).alias("n"), F.sum("item").alias("items"))
 
 
 @query(f"""WITH {MONTHS}, b AS (SELECT o_custkey, min(period) AS f, max(period) AS l FROM m GROUP BY 1), spine AS (SELECT o_custkey, l, unnest(range(f, l + 1)) AS period FROM b), s AS (SELECT o_custkey, period, sum(amount) AS added FROM m GROUP BY 1, 2)

@@ -1,8 +1,10 @@
 """Sinks: idempotent appends, version-gated views, envelopes, deletions, bounded writes.
 
-Plain Parquet has no transactions. Appends add files and are idempotent by key; views and deletions
-rewrite only the buckets that a batch touches, into a new generation beside the old one, and then move
-a one-row pointer. So a writer that is lost midway leaves the generation in use as it was.
+Plain Parquet has no transactions. Appends add files and are idempotent by key; views rewrite only the
+buckets that a batch touches, into a new generation beside the old one, and then add a pointer under the
+next serial number. So a writer that is lost midway leaves the generation in use as it was, and of two
+writers at a time one fails, as its serial is taken; its batch comes again. ``compact`` writes a view's
+rows in use as a view of their own.
 """
 
 from __future__ import annotations
@@ -14,8 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.decisions import version_gate
+from ..operators.running import placed_in_order
 
 BUCKETS = 64
+POINTERS = "bucket int, generation string, serial int"
+#: A page's fill is one number: its bytes, and in the low 24 bits its events.
+COUNT = (1 << 24) - 1
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -26,6 +32,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def touched(log: DataFrame, batch: DataFrame) -> DataFrame:
+    """The rows of a log, partitioned by category, that belong to streams of a batch: only their categories' files are read."""
+    categories = [r[0] for r in batch.select("category").distinct().collect()]  # as many as there are kinds of streams
+    own = log.where(F.col("category").isin([c for c in categories if c is not None]) | (F.col("category").isNull() if None in categories else F.lit(False)))
+    return own.join(batch.select("stream").distinct(), "stream", "left_semi")
+
+
 def append_events(df: DataFrame, path: str, contiguous: bool = True) -> int:
     """Append the events whose (stream, idx) the log lacks; returns how many (K1).
 
@@ -35,7 +48,7 @@ def append_events(df: DataFrame, path: str, contiguous: bool = True) -> int:
     spark = df.sparkSession
     fresh = df.dropDuplicates(["stream", "idx"])
     if exists(spark, path):
-        held = spark.read.parquet(path).select("stream", "idx")
+        held = touched(spark.read.parquet(path), fresh).select("stream", "idx")
         fresh = fresh.join(held, ["stream", "idx"], "left_anti")
         heads = held.groupBy("stream").agg((F.max("idx") + 1).alias("_next"))
         fresh = fresh.join(heads, "stream", "left").withColumn("_next", F.coalesce("_next", F.lit(0)))
@@ -58,9 +71,10 @@ def _bucket(keys: list[str]) -> Column:
 
 def _serial(spark: SparkSession, path: str) -> int:
     """Number of the newest generation; -1 where there is none."""
-    if not exists(spark, f"{path}/pointers"):
+    try:
+        last = spark.read.schema(POINTERS).parquet(f"{path}/pointers").agg(F.max("serial")).first()[0]
+    except AnalysisException:
         return -1
-    last = spark.read.parquet(f"{path}/pointers").agg(F.max("serial")).first()[0]
     return -1 if last is None else last
 
 
@@ -72,15 +86,23 @@ def read_view(spark: SparkSession, path: str, schema, serial: int | None = None)
     serial = _serial(spark, path) if serial is None else serial
     if serial < 0:
         return spark.createDataFrame([], schema)
-    newest = spark.read.parquet(f"{path}/pointers").where(F.col("serial") <= serial).groupBy("bucket").agg(F.max_by("generation", "serial").alias("generation"))
+    newest = spark.read.schema(POINTERS).parquet(f"{path}/pointers").where(F.col("serial") <= serial).groupBy("bucket").agg(F.max_by("generation", "serial").alias("generation"))
     rows = spark.read.parquet(f"{path}/rows")
     return rows.join(F.broadcast(newest), ["bucket", "generation"], "left_semi").select(*[f.name for f in schema])  # at most BUCKETS rows
 
 
-def _replace(rows: DataFrame, path: str, touched: DataFrame) -> None:
+def _replace(rows: DataFrame, path: str, buckets: DataFrame) -> None:
     generation, serial = uuid.uuid4().hex, _serial(rows.sparkSession, path) + 1
     rows.withColumn("generation", F.lit(generation)).write.mode("append").partitionBy("bucket", "generation").parquet(f"{path}/rows")
-    touched.select("bucket", F.lit(generation).alias("generation"), F.lit(serial).alias("serial")).coalesce(1).write.mode("append").parquet(f"{path}/pointers")
+    buckets.select("bucket", F.lit(generation).alias("generation")).coalesce(1).write.mode("errorifexists").parquet(f"{path}/pointers/serial={serial}")
+
+
+def compact(spark: SparkSession, path: str, to: str, schema, keys: list[str]) -> None:
+    """Write the rows of a view that are in use to a new view, without its old generations and pointers."""
+    if exists(spark, f"{to}/pointers/serial=0"):
+        raise ValueError(f"there is a view at {to}")
+    rows = read_view(spark, path, schema).withColumn("bucket", _bucket(keys))
+    _replace(rows, to, rows.select("bucket").distinct())
 
 
 def upsert_view(incoming: DataFrame, path: str, keys: list[str], version: str = "version") -> DataFrame:
@@ -89,10 +111,10 @@ def upsert_view(incoming: DataFrame, path: str, keys: list[str], version: str =
     held = read_view(spark, path, incoming.schema)
     decided = version_gate(held, incoming, keys, version)
     accepted = decided.where("accepted").select(*incoming.columns).dropDuplicates(keys).withColumn("bucket", _bucket(keys))
-    touched = accepted.select("bucket").distinct()
-    if touched.count():
-        kept = held.withColumn("bucket", _bucket(keys)).join(F.broadcast(touched), "bucket", "left_semi").join(accepted.select(*keys), keys, "left_anti")
-        _replace(kept.unionByName(accepted), path, touched)
+    buckets = accepted.select("bucket").distinct()
+    if buckets.count():
+        kept = held.withColumn("bucket", _bucket(keys)).join(F.broadcast(buckets), "bucket", "left_semi").join(accepted.select(*keys), keys, "left_anti")
+        _replace(kept.unionByName(accepted), path, buckets)
     return decided
 
 
@@ -131,17 +153,14 @@ def bounded_prefix(df: DataFrame, max_events: int, max_bytes: int, size: str = "
 def pages(df: DataFrame, max_events: int, max_bytes: int, size: str = "size") -> DataFrame:
     """Number all writes of each stream under the same bounds, as ``page``.
 
-    A page takes what fits after the one before it: a running sum that starts anew, as an aggregation
-    over the sizes of a stream.
+    A page takes what fits after the one before it: a running sum over the sizes of a stream that starts anew.
     """
-    start = F.struct(F.lit(0).alias("page"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fits = (acc["n"] == 0) | ((acc["n"] < max_events) & (acc["bytes"] + s <= max_bytes))
-        page = F.when(fits, acc["page"]).otherwise(acc["page"] + 1)
-        return F.struct(page.alias("page"), F.when(fits, acc["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"), F.when(fits, acc["bytes"] + s).otherwise(s).alias("bytes"), F.concat(acc["out"], F.array(page)).alias("out"))
+    def place(page: int, fill: int, n: int) -> tuple[int, int, int]:
+        events, held = fill & COUNT, fill >> 24
+        if events and (events >= max_events or held + n > max_bytes):
+            page, events, held = page + 1, 0, 0
+        return page, page, (held + n) << 24 | min(events + 1, COUNT)
 
-    of = df.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("idx", F.col(size).cast("long").alias("s")))).alias("x"))
-    numbered = of.select("stream", "x.idx", F.aggregate(F.transform("x", lambda e: e["s"]), start, step, lambda a: a["out"]).alias("page"))
-    rows = numbered.select("stream", F.explode(F.arrays_zip("idx", "page")).alias("z")).select("stream", "z.idx", "z.page")
-    return df.join(rows, ["stream", "idx"])
+    sizes = df.select("stream", "idx", F.col(size).cast("long").alias("_size"))
+    return df.join(placed_in_order(sizes, "stream", "idx", "_size", None, place, "page").drop("_size"), ["stream", "idx"])

@@ -36,9 +36,8 @@ def index_job(stream: DataFrame, log_path: str, view_path: str, fold: Callable[[
     """Views kept up to date (L6): streams that a batch changes are folded over their log and version-gated into the view."""
 
     def handle(batch: DataFrame, _: int) -> None:
-        touched = filters.implies_state_change(batch, known=known).where("change").select("stream")
-        log = batch.sparkSession.read.parquet(log_path)
-        sinks.upsert_view(fold(log.join(touched, "stream", "left_semi")), view_path, ["stream"])
+        changed = filters.implies_state_change(batch, keys=("stream", "category"), known=known).where("change")
+        sinks.upsert_view(fold(sinks.touched(batch.sparkSession.read.parquet(log_path), changed)), view_path, ["stream"])
 
     return run_batches(stream, handle, checkpoint)
 
@@ -68,7 +67,7 @@ def ingest_job(stream: DataFrame, held_path: str, checkpoint: str, keys: list[st
 
     def handle(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        held = spark.read.parquet(held_path) if sinks.exists(spark, held_path) else spark.createDataFrame([], batch.schema)
+        held = spark.read.parquet(held_path).select(*keys) if sinks.exists(spark, held_path) else spark.createDataFrame([], batch.select(*keys).schema)
         decisions.append_new(held, batch, keys, order).write.mode("append").parquet(held_path)
 
     return run_batches(stream, handle, checkpoint)
