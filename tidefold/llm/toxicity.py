@@ -17,7 +17,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,54 +37,64 @@ EXPRESSION, APART = 8, 30.0
 SHARE = 0.02
 FOLDS = 4
 CACHE = 300_000
-_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
+#: Bits of a character in a gram, ORDER of which make one number. 0 stands for what is before a word, 1 for its end, the
+#: last code for all characters but the commonest.
+BITS = 9
+_MASKS = [np.uint64((1 << BITS * n) - 1) for n in range(ORDER + 1)]
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes: characters x ORDER, word number) of all characters of words, each with the ORDER - 1 before it."""
-    pad = "\x02" * (ORDER - 1)
-    text = "".join([f"{pad}{w}\x03" for w in words])
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(lengths + ORDER - 1)
-    number = np.repeat(np.arange(len(words)), lengths)
-    first = np.repeat(ends - lengths, lengths)
-    at = first + (np.arange(len(number)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
-    return np.stack([codes[at - ORDER + 1 + k] for k in range(ORDER)], axis=1), number
+def alphabet_of(words: list[str], counts: np.ndarray) -> np.ndarray:
+    """Code points of the commonest characters, as many as there are codes for."""
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.bincount(chars, np.repeat(counts, np.fromiter(map(len, words), np.int64, len(words))))
+    common = np.argsort(-seen, kind="stable")[: (1 << BITS) - 3]
+    return common[seen[common] > 0]
 
 
-def _hash(codes: np.ndarray) -> np.ndarray:
-    """64-bit keys of rows of codes."""
-    with np.errstate(over="ignore"):
-        out = np.zeros(len(codes), np.uint64)
-        for k in range(codes.shape[1]):
-            out = (out ^ (codes[:, k].astype(np.uint64) * _MIX[k])) * np.uint64(0xFF51AFD7ED558CCD)
-            out ^= out >> np.uint64(32)
-    return out
+def _lookup(alphabet: np.ndarray) -> np.ndarray:
+    codes = np.full(0x110000, (1 << BITS) - 1, np.uint16)
+    codes[alphabet] = np.arange(2, len(alphabet) + 2)
+    codes[3] = 1
+    return codes
 
 
-def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct rows, number of each row among them, how often each comes)."""
-    _, index, inverse, counts = np.unique(_hash(codes), return_index=True, return_inverse=True, return_counts=True)
-    return codes[index], inverse, counts
+def _grams(words: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, word number) of all characters of words, each with the ORDER - 1 before it; the last character in the lowest bits."""
+    text = "".join([w + "\x03" for w in words])
+    chars = codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    number = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    ends = np.cumsum(lengths)
+    place = np.arange(len(number), dtype=np.int32)
+    place -= np.repeat((ends - lengths).astype(np.int32), lengths)
+    grams = chars.copy()
+    for k in range(1, ORDER):
+        earlier = chars[:-k] << np.uint64(BITS * k)
+        earlier[place[k:] < k] = 0
+        grams[k:] |= earlier
+    return grams, number
 
 
 @dataclass
 class Ratio:
     """log P(character | toxic) - log P(character | ordinary), by gram or else by context; zero for unknown contexts."""
 
+    alphabet: np.ndarray
     grams: np.ndarray
     values: np.ndarray
     contexts: np.ndarray
     defaults: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.codes = _lookup(self.alphabet)
+
     def of(self, words: list[str]) -> np.ndarray:
         """The log-likelihood ratio of each word."""
         if not words:
             return np.zeros(0)
-        codes, number = _grams(words)
-        out = np.zeros(len(codes))
-        for keys, table, values in ((_hash(codes[:, :-1]), self.contexts, self.defaults), (_hash(codes), self.grams, self.values)):
+        grams, number = _grams(words, self.codes)
+        out = np.zeros(len(grams))
+        for keys, table, values in ((grams >> np.uint64(BITS), self.contexts, self.defaults), (grams, self.grams, self.values)):
             at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
             hit = table[at] == keys
             out[hit] = values[at[hit]]
@@ -94,60 +104,75 @@ class Ratio:
 def fit_ratio(toxic: Counter, ordinary: Counter) -> Ratio:
     """Both models from word counts of the two classes."""
     words = list(toxic.keys() | ordinary.keys())
-    codes, number = _grams(words)
-    weights = [np.array([c.get(w, 0) for w in words], np.float64)[number] for c in (ordinary, toxic)]
-    top, inverse, _ = _distinct(codes)
+    return _fit_words(words, [np.fromiter((c.get(w, 0) for w in words), np.float32, len(words)) for c in (ordinary, toxic)])
+
+
+def _fit_words(words: list[str], weights: list[np.ndarray]) -> Ratio:
+    """Both models from the counts of each word in the ordinary and the toxic class."""
+    alphabet = alphabet_of(words, weights[0] + weights[1])
+    grams, number = _grams(words, _lookup(alphabet))
+    top, inverse = np.unique(grams, return_inverse=True)
+    del grams
+    own = [np.bincount(inverse, w[number], len(top)) for w in weights]
+    del number, inverse
     # Shared backoff: continuation counts, from the shortest contexts up.
     levels, rows = [], top
-    for _ in range(ORDER - 1):
-        rows, into, counts = _distinct(rows[:, 1:])
+    for n in range(ORDER - 1, 0, -1):
+        rows, into, counts = np.unique(rows & _MASKS[n], return_inverse=True, return_counts=True)
         levels.append((rows, into, counts.astype(np.float64)))
-    prob = None
-    for rows, _, counts in reversed(levels):
-        if rows.shape[1] == 1:
+    base = None
+    while levels:
+        rows, into, counts = levels.pop()
+        if base is None:
             lower, context = np.full(len(rows), 1 / max(len(rows), 256)), np.zeros(len(rows), np.int64)
         else:
-            lower, context = prob[below], _distinct(rows[:, :-1])[1]
+            lower, context = base, np.unique(rows >> np.uint64(BITS), return_inverse=True)[1]
         total, types = np.bincount(context, counts), np.bincount(context)
-        prob = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * types[context] * lower) / total[context]
-        below = next((into for r, into, _ in levels if r is rows))
-    base = prob[below]
+        base = ((np.maximum(counts - DISCOUNT, 0) + DISCOUNT * types[context] * lower) / total[context])[into]
     # Each class: own counts of whole contexts over the shared distribution.
-    context_rows, context, _ = _distinct(top[:, :-1])
+    contexts, context = np.unique(top >> np.uint64(BITS), return_inverse=True)
     logs, default = [], []
-    for w in weights:
-        n = np.bincount(inverse, w, len(top))
-        total, types = np.bincount(context, n, len(context_rows)), np.bincount(context, n > 0, len(context_rows))
+    for n in own:
+        total, types = np.bincount(context, n, len(contexts)), np.bincount(context, n > 0, len(contexts))
         left = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1e-9), 1.0)
         share = np.where(total[context] > 0, np.maximum(n - DISCOUNT, 0) / np.maximum(total[context], 1e-9), 0.0)
         logs.append(np.log(share + left[context] * base))
         default.append(np.log(left))
-    grams, contexts = _hash(top), _hash(context_rows)
-    a, b = np.argsort(grams), np.argsort(contexts)
-    return Ratio(grams[a], (logs[1] - logs[0])[a].astype(np.float32), contexts[b], (default[1] - default[0])[b].astype(np.float32))
+    return Ratio(alphabet, top, (logs[1] - logs[0]).astype(np.float32), contexts, (default[1] - default[0]).astype(np.float32))
 
 
 def fit_expressions(toxic: list[list[str]], ordinary: list[list[str]]) -> dict[tuple[str, str], float]:
-    """log P(word | word before, toxic) - log P(the same | ordinary) of common pairs.
+    """log P(word | word before, toxic) - log P(the same | ordinary) of common pairs."""
+    number: dict[str, int] = {}
+    ids = [[np.fromiter((number.setdefault(w, len(number)) for w in t), np.int64, len(t)) for t in part] for part in (toxic, ordinary)]
+    return _fit_pairs(list(number), *ids)
+
 
-    A pair counts once for each word before it. A class's own counts of pairs back off to the shared continuation counts, the numbers of different
-    words before a word in both classes. Words that aren't common are one word here.
+def _fit_pairs(vocabulary: list[str], toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> dict[tuple[str, str], float]:
+    """As ``fit_expressions``, of texts as numbers of words.
+
+    A pair counts once for each word before it: what copies of a text repeat is no usage. A class's own
+    counts of pairs back off to the shared continuation counts, the numbers of different words before a
+    word in both classes. Words that aren't common are one word here.
     """
-    counts = Counter(w for text in (*toxic, *ordinary) for w in text)
-    number = {w: n + 1 for n, w in enumerate(sorted(w for w, c in counts.items() if c >= EXPRESSION))}
-    names, size = list(number), len(number) + 1
+    counts = np.zeros(len(vocabulary), np.int64)
+    for t in (*toxic, *ordinary):
+        np.add.at(counts, t, 1)
+    frequent = np.flatnonzero(counts >= EXPRESSION)
+    number = np.zeros(len(vocabulary), np.int64)
+    number[frequent] = np.arange(1, len(frequent) + 1)
+    names, size = [vocabulary[i] for i in frequent.tolist()], len(frequent) + 1
     each = []
     for texts in (toxic, ordinary):
-        seen = [np.empty((0, 2), np.int64)]
-        for text in texts:
-            n = np.fromiter((number.get(w, 0) for w in text), np.int64, len(text))
-            around = np.fromiter(map(hash, ("", *text[:-2])), np.int64, max(len(text) - 1, 0))
-            seen.append(np.stack((n[:-1] * size + n[1:], around), axis=1))
-        # One of equal pairs with equal words before them: what copies of a text repeat is no usage.
-        codes = np.concatenate(seen)
-        order = np.lexsort(codes.T)
-        codes = codes[order]
-        each.append(codes[np.append(True, (codes[1:] != codes[:-1]).any(axis=1)), 0] if len(codes) else codes[:, 0])
+        codes, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for t in texts:
+            pair = number[t[:-1]] * size + number[t[1:]]
+            around = np.concatenate((np.full(min(len(pair), 1), len(vocabulary)), t[:-2]))
+            mixed = pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + around.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            one = np.unique(mixed ^ (mixed >> np.uint64(29)), return_index=True)
+            codes.append(pair[one[1]])
+            keys.append(one[0])
+        each.append(np.concatenate(codes)[np.unique(np.concatenate(keys), return_index=True)[1]])
     pairs, inverse = np.unique(np.concatenate(each), return_inverse=True)
     own = [np.bincount(inverse[: len(each[0])], minlength=len(pairs)), np.bincount(inverse[len(each[0]) :], minlength=len(pairs))]
     before, word = pairs // size, pairs % size
@@ -223,14 +248,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Models on all texts; threshold and slope by models that didn't see the text (FOLDS folds)."""
-    same: dict[str, str] = {}
-    words = [[same.setdefault(w, w) for w in words_in(t)] for t in texts]
+    number: dict[str, int] = {}
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in words_in(t)), np.int32) for t in texts]
+    vocabulary = list(number)
+    del number
     y = np.array(labels, np.float64)
 
     def learned(rows: list[int]) -> tuple[Ratio, dict]:
-        toxic, ordinary = ([words[i] for i in rows if y[i] == label] for label in (1, 0))
-        counts = [Counter(w for t in part for w in t) or Counter({"\x04": 1}) for part in (toxic, ordinary)]
-        return fit_ratio(*counts), fit_expressions(toxic, ordinary)
+        toxic, ordinary = ([ids[i] for i in rows if y[i] == label] for label in (1, 0))
+        weights = [np.bincount(np.concatenate([np.empty(0, np.int32), *part]), minlength=len(vocabulary)).astype(np.float32) for part in (ordinary, toxic)]
+        own = np.flatnonzero(weights[0] + weights[1])
+        words = [vocabulary[i] for i in own.tolist()] or ["\x04"]
+        ratio = _fit_words(words, [w[own] if len(own) else np.ones(1, np.float32) for w in weights])
+        return ratio, _fit_pairs(vocabulary, toxic, ordinary)
 
     threshold, slope = (0.0, 1.0) if not len(y) else (-3.0, 1.0) if y.all() else (3.0, 1.0)
     if 0 < y.sum() < len(y) and len(y) >= 2 * FOLDS:
@@ -240,7 +270,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             own = list(range(fold, len(y), FOLDS))
             for at in range(0, len(own), 256):
                 part = own[at : at + 256]
-                x[part] = [evidence(r) for r in other.of([words[i] for i in part])]
+                x[part] = [evidence(r) for r in other.of([[vocabulary[w] for w in ids[i].tolist()] for i in part])]
+            del other
         threshold, slope = _logistic(x, y)
     return Model(*learned(list(range(len(y)))), threshold, slope)
 
@@ -267,10 +298,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
 def _shared(docs: DataFrame, model: Model):
     """The model as a broadcast of plain values, of a size that the fitting sample bounds, and how a task takes it."""
     r = model.ratio
-    held = docs.sparkSession.sparkContext.broadcast((r.grams, r.values, r.contexts, r.defaults, model.expressions, model.threshold, model.slope))
+    held = docs.sparkSession.sparkContext.broadcast((r.alphabet, r.grams, r.values, r.contexts, r.defaults, model.expressions, model.threshold, model.slope))
 
     def taken() -> tuple[Model, Ratios]:
-        own = Model(Ratio(*held.value[:4]), *held.value[4:])
+        own = Model(Ratio(*held.value[:5]), *held.value[5:])
         return own, Ratios(own.ratio, own.expressions)
 
     return taken
