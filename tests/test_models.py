@@ -6,8 +6,8 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidefold.operators import decisions, epochs, folds, periods, process, running, snapshots
 from tidefold.sources import sinks
-from tidefold.operators import decisions, epochs, folds, periods, process, snapshots
 
 from .conftest import rows
 
@@ -31,6 +31,19 @@ def test_periods_golden(spark):
     assert {p: [r.item for r in carried if r.period == p] for p in (1, 3)} == {1: list("abcdef"), 3: list("abcdefgh")}
 
 
+def test_ordinals(spark):
+    """A key with most of the rows, a null key and single rows are numbered in order."""
+    rng = random.Random(7)
+    data = [("hot", n, n % 3) for n in range(3000)] + [(None, n, 0) for n in range(40)] + [(f"k{n}", n, 1) for n in range(60)]
+    rng.shuffle(data)
+    want, seen = [], {}
+    for k, n, x in sorted(data, key=lambda r: (str(r[0]), r[2], r[1])):
+        want.append((k, n, x, seen.setdefault(k, 0)))
+        seen[k] += 1
+    got = running.ordinals(spark.createDataFrame(data, "k string, n int, x int").repartition(5), ["k"], ["x", "n"], "at")
+    assert rows(got, "k", "n", "x", "at") == sorted(want, key=str)
+
+
 def test_placed_in_order(spark):
     """One long list and many short ones, each row placed by what came before it of its key alone."""
     rng = random.Random(5)

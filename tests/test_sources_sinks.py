@@ -26,6 +26,14 @@ def test_dump(spark, tmp_path):
     path = str(tmp_path / "dump")
     assert [r.idx for r in log.read_dump(spark, path, truncate=5).orderBy("line").collect()] == [0, 1, 2, 3]
     assert [r.line for r in log.read_dump(spark, path, skip=3, truncate=5).orderBy("line").collect()] == [4, 5]
+    (tmp_path / "long").write_text("".join(json.dumps({"stream": f"A-{n}", "idx": n, "event_type": "X"}) + "\n" for n in range(3000)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        got = log.read_dump(spark, str(tmp_path / "long")).select("line", "idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert sorted(tuple(r) for r in got) == [(n + 1, n) for n in range(3000)]  # one file, many splits
     with pytest.raises(Exception, match="line 6"):
         log.read_dump(spark, path).collect()
     assert log.read_dump(spark, path, strict=False).where("bad is not null").select("line").collect()[0][0] == 6

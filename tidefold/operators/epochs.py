@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decisions import first_of
-from .running import placed_in_order
+from .running import ordinals, placed_in_order
 
 
 def soft_epochs(batches: DataFrame, cap: int, active: DataFrame | None = None) -> DataFrame:
@@ -78,13 +78,13 @@ def ingest_in_order(held: DataFrame, requests: DataFrame, cap: int) -> DataFrame
 
 def strict_epochs(items: DataFrame, key: str, order: list[str], cap: int, active: DataFrame | None = None) -> DataFrame:
     """Items with epoch and offset: epochs are filled to the cap exactly, in order (D8). ``active``: key, epoch, fill."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    numbered = ordinals(items, [key], order, "_n")
     if active is not None:
-        items = items.join(active.select(key, F.col("epoch").alias("_e"), F.col("fill").alias("_f")), key, "left")
+        numbered = numbered.join(active.select(key, F.col("epoch").alias("_e"), F.col("fill").alias("_f")), key, "left")
     else:
-        items = items.withColumns({"_e": F.lit(0), "_f": F.lit(0)})
-    place = n + F.coalesce("_f", F.lit(0))
-    return items.withColumn("_p", place).withColumns({"epoch": (F.coalesce("_e", F.lit(0)) + F.floor(F.col("_p") / cap)).cast("int"), "offset": F.pmod("_p", F.lit(cap)).cast("int")}).drop("_e", "_f", "_p")
+        numbered = numbered.withColumns({"_e": F.lit(0), "_f": F.lit(0)})
+    place = F.col("_n") + F.coalesce("_f", F.lit(0))
+    return numbered.withColumns({"epoch": (F.coalesce("_e", F.lit(0)) + F.floor(place / cap)).cast("int"), "offset": F.pmod(place, F.lit(cap)).cast("int")}).drop("_e", "_f", "_n")
 
 
 def look_back(held: DataFrame, requests: DataFrame, key: str, item: str, epochs_back: int, order: list[str], dedup_within_batch: bool = True) -> DataFrame:

@@ -1,13 +1,37 @@
-"""Running sums that start anew, for which there is no window: rows stream past a small state."""
+"""Places of rows within their key, also of keys that hold a large share of all rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import work_path
+
+
+def ordinals(rows: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """The rows with ``out``, their number within their key from 0 on, without bringing a key to one task.
+
+    Rows are dealt by ranges of key and order, and written with the number of their slice, so that it is the
+    same wherever it is read. They are numbered within key and slice, and what a key has in earlier slices, a
+    number for each, is added. A null key is a key.
+    """
+    spark, path = rows.sparkSession, work_path(rows.sparkSession, "slices")
+    sliced = rows.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
+    sliced.write.parquet(path)
+    sliced = spark.read.schema(sliced.schema).parquet(path)
+    own = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)) - 1
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sliced.groupBy(*keys, "_slice").count().withColumn("_before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    before = counts.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("_slice").alias("_of"), "_before")
+    same = F.col("_slice") == F.col("_of")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    numbered = sliced.withColumn("_own", own).join(before, same)
+    return numbered.select(*rows.columns, (F.col("_own") + F.col("_before")).cast("long").alias(out))
+
 
 def placed_in_order(rows: DataFrame, key: str, order: str, size: str, start: str | None, place: Callable[[int, int, int], tuple[int, int, int]], out: str) -> DataFrame:
     """The rows with ``out``, the place that each one gets after those before it of the same key.

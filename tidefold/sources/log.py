@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.streams import parse_stream
+from ..operators.running import ordinals
 from ..schema import EVENT_LOG, SPAN
 
 
@@ -58,10 +59,13 @@ def read_dump(spark: SparkSession, path: str, skip: int = 0, truncate: int | Non
     The dump is cut at line ``truncate`` first, then ``skip`` lines are left out; lines that begin with
     ``#`` are comments. A line that isn't an event document fails with its number; with
     ``strict=False`` such lines come out with a null stream and their text in ``bad``.
-    Lines are numbered by file position, so a dump is read with one task for each file.
+    Lines are numbered by split of a file and by what its earlier splits hold, so a large file is read by many tasks.
     """
     lines = spark.read.text(path).withColumns({"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "seq": F.monotonically_increasing_id()})
-    numbered = lines.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("block", "seq")))
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("seq"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lines.groupBy("file", "block").count().select("file", "block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    numbered = lines.withColumn("own", own).join(before, ["file", "block"]).withColumn("line", F.col("own") + F.col("before")).drop("own", "before")
     if truncate is not None:
         numbered = numbered.where(F.col("line") <= truncate)
     numbered = numbered.where((F.col("line") > skip) & ~F.col("value").rlike(r"^\s*#"))
@@ -90,7 +94,7 @@ def explode_envelope(messages: DataFrame, value: str = "value") -> DataFrame:
 
 def sequence_messages(messages: DataFrame, key: str = "key", *order: str) -> DataFrame:
     """Give messages without versions an index within their key, from 0, in partition and offset order."""
-    return messages.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy(*(order or ("partition", "offset")))).cast("long") - 1)
+    return ordinals(messages, [key], list(order or ("partition", "offset")), "idx")
 
 
 def crawl_to_events(crawl: DataFrame, category: str = "Ticket") -> DataFrame:
