@@ -138,6 +138,11 @@ def test_warc(spark):
     assert sorted(ends, key=str) == sorted(((i, len((h or "").encode()), sha(h), "revisit" if i in refers else "response", refers.get(i)) for i, _, h in pages), key=str)
     body = b"".join(r.payload for r in chunks.where("record_id = '5'").orderBy("chunk_no").collect())
     assert body == big.encode()
+    endless = new_path(spark, "warc-test")
+    body = "HTTP/1.1 200 OK\r\n" + "x: y\r\n" * 400_000
+    spark.createDataFrame([(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Type: application/http\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n",)], "value string").write.option("lineSep", "\r\n").text(endless)
+    with pytest.raises(Exception, match="no end of the HTTP header"):
+        warc.read(spark, endless).count()
     empty = new_path(spark, "warc-test")
     warc.write(df.limit(0), empty)
     assert warc.read(spark, empty).count() == 0

@@ -91,7 +91,7 @@ def render(role: str, text: str) -> tuple[str, tuple[int, int]]:
 
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """A formatted segment per turn; a conversation is its segments in order of turn, role and text.
+    """A formatted segment per turn; a conversation is its segments in order of turn, role and formatted text.
 
     body_start and body_end are the body's code-point span in the segment, loss tells whether it is
     trained on. Defined results: a null text or role is empty; a null turn comes first; turns with

@@ -3,8 +3,9 @@
 Writing: a payload over ``chunk`` bytes becomes WARC segments (a response and its continuations), one
 row and at most ``chunk`` payload bytes each, so no row of the writer holds a whole large record.
 Reading: a streaming parser goes through each file line by line and yields (record_id, chunk_no) rows
-of at most ``chunk`` bytes, with the SHA-1 of the payload up to and with each chunk; it never holds
-more of a record than one chunk.
+of at most ``chunk`` bytes, with the SHA-1 of the payload up to and with each chunk. Of a record it holds
+one chunk and one line at a time; Spark's line reader gives lines whole, so a foreign record without line
+feeds is as large as its segment. This writer's segments are never larger than ``chunk`` and a header.
 
 Files are plain WARC/1.1, compressed by file; a compressed file is one task's work and holds whole
 records only, and Spark writes and reads it through its own file systems.
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
+#: An HTTP header longer than this is an error, so that a payload without a header isn't gathered.
+HEAD_BYTES = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROWS = "record_id string, chunk_no int, record_type string, uri string, refers_to string, declared_digest string, n_bytes long, bytes_so_far long, digest_so_far string, last boolean, payload binary"
 
@@ -140,6 +143,8 @@ class _Records:
             self.http_head += data
             cut = self.http_head.find(b"\r\n\r\n")
             if cut < 0:
+                if len(self.http_head) > HEAD_BYTES:
+                    raise ValueError(f"record {self.record}: no end of the HTTP header within {HEAD_BYTES} bytes")
                 return
             data, self.http_head, self.http = self.http_head[cut + 4 :], self.http_head[:cut], False
         while data:
