@@ -101,7 +101,9 @@ def decode(df: DataFrame, schemas: dict[str, str], data: str = "data") -> DataFr
 def decode_strict(df: DataFrame, schemas: dict[str, str], data: str = "data") -> tuple[DataFrame, DataFrame]:
     """(decoded rows, rejected rows with a reason): unknown types and bodies that don't parse are rejects."""
     known = F.coalesce(F.col("event_type").isin(*schemas), F.lit(False))
-    parsed = df.withColumns({t: F.when(F.col("event_type") == t, F.from_json(data, s)) for t, s in schemas.items()})
+    # A body that isn't JSON would come out as a struct of nulls.
+    json = F.try_parse_json(data).isNotNull()
+    parsed = df.withColumns({t: F.when((F.col("event_type") == t) & json, F.from_json(data, s)) for t, s in schemas.items()})
     read = F.lit(False)
     for t in schemas:
         read = read | F.col(t).isNotNull()

@@ -334,6 +334,12 @@ def snapshot_read(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("stream").agg((F.coalesce(F.max("seed"), F.lit(0)) + F.coalesce(F.sum("amount"), F.lit(0))).cast("decimal(28,2)").alias("balance"))
 
 
+@query(f"WITH {EV} SELECT stream, max(idx) + 1 AS version, max(ts) AS last_ts FROM ev GROUP BY 1")
+def snapshot_free_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event is folded, snapshots or not."""
+    return snapshots.read_all(ev(spark, sf), lambda df: df.groupBy("stream").agg((F.max("idx") + 1).alias("version"), F.max("ts").alias("last_ts")))
+
+
 @query(f"WITH {EV} SELECT stream, CAST(max(idx) AS BIGINT) AS idx, arg_max(event_type, idx) AS event_type FROM ev GROUP BY 1")
 def latest_event(spark: SparkSession, sf: str) -> DataFrame:
     """N4."""

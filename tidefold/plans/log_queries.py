@@ -68,10 +68,12 @@ def decode_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", F.coalesce("click.k", "view.k").alias("k"))
 
 
-@query("SELECT event_id, 'event ' || event_id || ' has the unknown type ' || event_type AS reason FROM events WHERE event_type NOT IN ('click', 'view')")
+@query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN concat('event ', event_id, ' has a body that isn''t a ', event_type) ELSE concat('event ', event_id, ' has the unknown type ', event_type) END AS reason
+FROM events WHERE event_type NOT IN ('click', 'view') OR event_id % 7 = 0""")
 def decode_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of types that no contract knows."""
-    rows = table(spark, sf, "events").withColumn("idx", F.col("event_id"))
+    """Rows of types that no contract knows, and of bodies that don't parse: every seventh lost its end here."""
+    torn = F.when(F.col("event_id") % 7 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    rows = table(spark, sf, "events").withColumns({"idx": F.col("event_id"), "props": torn})
     return filters.decode_strict(rows, {"click": "k long", "view": "k long"}, "props")[1].select("event_id", "reason")
 
 

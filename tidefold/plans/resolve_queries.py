@@ -370,6 +370,19 @@ def finalize_shipments(spark: SparkSession, sf: str) -> DataFrame:
     return process.finalize_requests(*_requests(spark, sf), ["tx"])[1]
 
 
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS tx, l_partkey AS shipment FROM lineitem), f0 AS (SELECT shipment, min(tx) AS first FROM a GROUP BY 1),
+h AS (SELECT shipment, CASE p_size % 10 WHEN 0 THEN CAST(-1 AS BIGINT) WHEN 1 THEN first WHEN 2 THEN first END AS reservation, CASE p_size % 10 WHEN 1 THEN 'held' END AS association FROM f0 JOIN part ON p_partkey = shipment),
+w AS (SELECT shipment, min(tx) AS f FROM a JOIN h USING (shipment) WHERE reservation IS NULL GROUP BY 1), g AS (SELECT a.tx, a.shipment, association, coalesce(reservation = a.tx, f = a.tx, false) AS reserved FROM a LEFT JOIN h USING (shipment) LEFT JOIN w USING (shipment)),
+t AS (SELECT tx, bool_and(reserved) AS success FROM g GROUP BY 1) SELECT g.tx, g.shipment, reserved, reserved AND NOT success AND association IS NULL AS revoked, reserved AND success AND association IS NULL AS assigned FROM g JOIN t USING (tx)""")
+def finalize_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """Transactions that go on: some shipments are reserved by them already, of which some are assigned and stay so."""
+    requests, _ = _requests(spark, sf)
+    first = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("shipment")).agg(F.min("l_orderkey").alias("first"))
+    tenth = F.col("p_size") % 10
+    held = first.join(table(spark, sf, "part"), F.col("p_partkey") == F.col("shipment")).select("shipment", F.when(tenth == 0, F.lit(-1).cast("long")).when(tenth <= 2, F.col("first")).alias("reservation"), F.when(tenth == 1, "held").alias("association"))
+    return process.finalize_requests(requests, held, ["tx"])[1]
+
+
 WATCHED = f"{EV}, wd AS (SELECT stream, arg_min(ts, idx) AS started, bool_or(event_type = 'purchase' AND k % 40 = 0) AS completed FROM ev GROUP BY 1), st AS (SELECT *, CASE WHEN completed THEN 'Complete' WHEN started < TIMESTAMP '2024-01-01 06:00:00' - INTERVAL 10 SECOND THEN 'Stuck' ELSE 'Active' END AS status FROM wd)"
 
 
