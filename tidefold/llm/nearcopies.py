@@ -18,12 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, root, shuffle_parts
+from .common import checkpointed, components, root, shuffle_parts, written
 from .simhash import anchors, majority, shingle_hashes
 
 WIDTH = 5
 BANDS, ROWS = 40, 6
 BLOCK = 512
+BROADCAST_ROWS = 1_000_000
 _RNG = np.random.default_rng(42)
 _MULTIPLIERS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _RNG.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,8 +70,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingle set in place of the text; rows of one text come together."""
+    last, held = None, b""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], names=["sig", "set"])
+        sets = []
+        for sig, text in zip(batch.column(4).to_pylist(), batch.column(5), strict=True):
+            if sig != last:
+                last, held = sig, shingles(text.as_py()).tobytes()
+            sets.append(held)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], names=["bucket", "bi", "bj", "b", "sig", "set"])
 
 
 def cell_links(ids: list[int], blocks: list[int], sets: list[np.ndarray], within: bool) -> list[tuple[int, int]]:
@@ -121,6 +129,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found()
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Rows of two or three numbers that were written: broadcast where they are few, else joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, key, component_id): the smallest id that links of similarity 0.8 and more reach; key stands for id and text.
 
@@ -129,18 +142,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    signed = checkpointed(rows.mapInArrow(_signatures, "id long, key long, sig long, buckets array<long>"))
+    signed = written(rows.mapInArrow(_signatures, "id long, key long, sig long, buckets array<long>"), "near-signatures")
     classes = signed.groupBy("sig").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.first("buckets").alias("buckets")).where("rep is not null")
-    members = checkpointed(classes.select("sig", "key", F.explode("buckets").alias("bucket")))
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("who")).where("n > 1")
-    buckets = buckets.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("cuts"))
-    met = checkpointed(members.join(buckets, "bucket").select("bucket", "sig", "key", "cuts"))
-    wanted = met.select("key", "sig").distinct().withColumnRenamed("key", "_key")
-    texts = rows.select("key", "text").join(wanted, F.col("key") == F.col("_key")).select("sig", "text").dropDuplicates(["sig"])
-    sets = texts.mapInArrow(_sets, "sig long, set binary")
+    classes = written(classes.drop("rep"), "near-classes")
+    members = classes.select("sig", F.explode("buckets").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sig")).alias("who")).where("n > 1")
+    shared = shared.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("cuts"))
+    met = written(members.join(_small(written(shared, "near-buckets")), "bucket").select("bucket", "sig", "cuts"), "near-members")
+    wanted = classes.select("sig", F.col("key").alias("_key")).join(met.select("sig").distinct(), "sig", "left_semi")
+    texts = rows.select("key", "text").join(_small(written(wanted, "near-texts")), F.col("key") == F.col("_key")).select("sig", "text").dropDuplicates(["sig"])
     b, j = F.col("b"), F.col("j")
     cells = met.select("bucket", "sig", "cuts", F.pmod(F.xxhash64("sig", F.lit(7)), "cuts").cast("int").alias("b")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    cells = cells.select("bucket", F.least(b, j).alias("bi"), F.greatest(b, j).alias("bj"), "b", "sig").join(sets, "sig").select("bucket", "bi", "bj", "b", "sig", "set")
+    cells = cells.select("bucket", F.least(b, j).alias("bi"), F.greatest(b, j).alias("bj"), "b", "sig").join(texts.hint("merge"), "sig").select("bucket", "bi", "bj", "b", "sig", "text")
+    cells = cells.mapInArrow(_sets, "bucket long, bi int, bj int, b int, sig long, set binary")
     parts = max(shuffle_parts(spark), spark.sparkContext.defaultParallelism)
     links = cells.repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj").mapInArrow(_compare, "a long, b long")
     found = checkpointed(components(links)).withColumnRenamed("id", "sig")
