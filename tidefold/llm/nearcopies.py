@@ -73,12 +73,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle set in place of the text; rows of one text come together."""
     last, held = None, b""
     for batch in batches:
-        sets = []
-        for sig, text in zip(batch.column(4).to_pylist(), batch.column(5), strict=True):
-            if sig != last:
-                last, held = sig, shingles(text.as_py()).tobytes()
-            sets.append(held)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], names=["bucket", "bi", "bj", "b", "sig", "set"])
+        for at in range(0, batch.num_rows, 256):  # sets are larger than texts: small batches
+            part, sets = batch.slice(at, 256), []
+            for sig, text in zip(part.column(4).to_pylist(), part.column(5), strict=True):
+                if sig != last:
+                    last, held = sig, shingles(text.as_py()).tobytes()
+                sets.append(held)
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.binary())], names=["bucket", "bi", "bj", "b", "sig", "set"])
 
 
 def cell_links(ids: list[int], blocks: list[int], sets: list[np.ndarray], within: bool) -> list[tuple[int, int]]:
