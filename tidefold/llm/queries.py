@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hmm, lattice, lines, packing, secrets, simhash, toxicity, warc
+from . import chat, decontam, hmm, lattice, lines, packing, secrets, simhash, toxicity, trie, warc
 from .common import new_path, written
 
 
@@ -92,6 +92,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.shared_openings(trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
     "op2_warc": op2_warc,
@@ -103,8 +107,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_hmm": op9_hmm,
     "op10_secrets": op10_secrets,
+    "op11_trie": op11_trie,
 }
 
+def crc32_sql(x: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an expression as text of ASCII characters."""
+    step = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(crc, b), range(8)), lambda v, k: {step})"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda crc, b: {byte}))"
+
+
 #: Where SQL can express an operator. Fingerprints, learned models and packing plans it can't; tests compare them with plain versions.
 ORACLES: dict[str, str] = {
     "op2_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), d AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, sha1(t) AS h FROM p),
@@ -128,4 +140,14 @@ m AS (SELECT doc_id, no, kind, least, unnest(CASE no WHEN 0 THEN regexp_extract_
 e AS (SELECT *, CAST(sum(length(s)) OVER (PARTITION BY doc_id, no ORDER BY i) AS BIGINT) AS fin FROM m), k AS (SELECT *, fin - length(w) AS start FROM e WHERE length(g) >= least),
 a AS (SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex, string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, no) AS spans FROM k GROUP BY 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)""",
+    "op11_trie": rf"""WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, {crc32_sql('c')} % 4 AS h FROM (SELECT DISTINCT c FROM o)),
+b AS (SELECT k.c, i, r, t FROM k JOIN o ON o.c = k.c - k.c % 20 AND i < h UNION ALL SELECT k.c, i, r, t FROM k JOIN o ON o.c = k.c AND i >= h),
+l AS (SELECT c, list(sha256(length(r) || ':' || r || t) ORDER BY i) AS p, list(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) ORDER BY i) AS w FROM b GROUP BY c),
+a AS (SELECT c, coalesce(p, []) AS p, coalesce(w, []) AS w FROM k LEFT JOIN l USING (c)), e AS (SELECT *, unnest(range(len(p) + 1)) AS d FROM a),
+m AS (SELECT c, d, p[1:d] AS node, CASE WHEN d > 0 THEN list_slice(p, 1, d - 1) END AS up, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS w, len(p) = d AS fin FROM e),
+n AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w, any_value(up) AS up, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (fin), '')) AS ends_sha256 FROM m GROUP BY node, d),
+h AS (SELECT up AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up), f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN h USING (node)),
+s AS (SELECT m.node, count(*) FILTER (f.n_children = 0) AS n_leaves, CAST(sum((f.n_convs - 1) * f.w) AS BIGINT) AS saved_tokens FROM f JOIN m ON m.c = f.conv_id AND m.d <= f.d GROUP BY m.node)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256 FROM f JOIN s USING (node) LEFT JOIN f u ON u.node = f.up""",
 }
