@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hmm, lattice, lines, packing, secrets, simhash, toxicity, trie, warc
+from . import chat, decontam, hmm, lattice, lines, packing, periodic, secrets, simhash, toxicity, trie, warc
 from .common import new_path, written
 
 
@@ -96,6 +96,15 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.shared_openings(trie.numbered(table(spark, sf_dir, "conversations"))))
 
 
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periodic.find_runs(table(spark, sf_dir, "documents").select("doc_id", periodic.with_repeats(F.col("text"), h).alias("text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.select("id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), (-longest["less"]).alias("length"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select(F.col("id").alias("doc_id"), "n_runs", "r.start", "length", "r.period", F.floor(1000 * F.col("length") / F.col("r.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
     "op2_warc": op2_warc,
@@ -108,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hmm": op9_hmm,
     "op10_secrets": op10_secrets,
     "op11_trie": op11_trie,
+    "op12_periodic": op12_periodic,
 }
 
 def crc32_sql(x: str) -> str:
@@ -150,4 +160,15 @@ n AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
 h AS (SELECT up AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up), f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN h USING (node)),
 s AS (SELECT m.node, count(*) FILTER (f.n_children = 0) AS n_leaves, CAST(sum((f.n_convs - 1) * f.w) AS BIGINT) AS saved_tokens FROM f JOIN m ON m.c = f.conv_id AND m.d <= f.d GROUP BY m.node)
 SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256 FROM f JOIN s USING (node) LEFT JOIN f u ON u.node = f.up""",
+    "op12_periodic": rf"""WITH o AS (SELECT doc_id, {crc32_sql('doc_id')} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT *, h // 10 AS g, len(w) AS n FROM o), a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM g), p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CAST(1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END AS BIGINT)]) ELSE w END AS w FROM p),
+t AS (SELECT doc_id, n, unnest(w) AS w, unnest(range(n)) AS i FROM d), b AS (SELECT doc_id, n, w, list(i ORDER BY i) AS ps FROM t GROUP BY ALL HAVING len(ps) > 3),
+c AS (SELECT doc_id, n, unnest(ps) AS i, ps FROM b), e AS (SELECT doc_id, i, unnest(list_filter(ps, lambda j: j > i AND j - i <= n // 4)) - i AS q FROM c),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e),
+m AS (SELECT doc_id, q, min(i) AS a, count(*) + q AS l FROM s GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM m WHERE NOT EXISTS (FROM m AS x WHERE x.doc_id = m.doc_id AND x.q < m.q AND x.a <= m.a AND x.a + x.l >= m.a + m.l)),
+z AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(a, l, q), struct_pack(x := -l, a, q)) AS b, string_agg(a || ',' || l || ',' || q || chr(10), '' ORDER BY a, q) AS runs FROM r GROUP BY doc_id),
+f AS (SELECT t.doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM t WHERE NOT EXISTS (FROM r WHERE r.doc_id = t.doc_id AND t.i >= r.a + r.q AND t.i < r.a + r.l) GROUP BY t.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.a AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN z USING (doc_id) LEFT JOIN f USING (doc_id)""",
 }
