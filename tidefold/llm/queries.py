@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hmm, lattice, lines, packing, periodic, secrets, simhash, toxicity, trie, warc
+from . import chat, decontam, hmm, lattice, licenses, lines, packing, periodic, secrets, simhash, toxicity, trie, warc
 from .common import new_path, written
 
 
@@ -105,6 +105,10 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_runs", "r.start", "length", "r.period", F.floor(1000 * F.col("length") / F.col("r.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
     "op2_warc": op2_warc,
@@ -118,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
     "op11_trie": op11_trie,
     "op12_periodic": op12_periodic,
+    "op13_licenses": op13_licenses,
 }
 
 def crc32_sql(x: str) -> str:
@@ -127,6 +132,12 @@ def crc32_sql(x: str) -> str:
     return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda crc, b: {byte}))"
 
 
+def templates_sql() -> str:
+    """Rows (t, label, phrase, need, words, tokens) of the license templates for DuckDB."""
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    return ", ".join(f"({n}, '{t.label}', {t.phrase}, {t.need}, {listed(t.words)}, {listed(t.tokens)})" for n, t in enumerate((*licenses.PHRASES, *licenses.TEMPLATES)))
+
+
 #: Where SQL can express an operator. Fingerprints, learned models and packing plans it can't; tests compare them with plain versions.
 ORACLES: dict[str, str] = {
     "op2_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), d AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, sha1(t) AS h FROM p),
@@ -171,4 +182,13 @@ r AS (SELECT * FROM m WHERE NOT EXISTS (FROM m AS x WHERE x.doc_id = m.doc_id AN
 z AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(a, l, q), struct_pack(x := -l, a, q)) AS b, string_agg(a || ',' || l || ',' || q || chr(10), '' ORDER BY a, q) AS runs FROM r GROUP BY doc_id),
 f AS (SELECT t.doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM t WHERE NOT EXISTS (FROM r WHERE r.doc_id = t.doc_id AND t.i >= r.a + r.q AND t.i < r.a + r.l) GROUP BY t.doc_id)
 SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.a AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN z USING (doc_id) LEFT JOIN f USING (doc_id)""",
+    "op13_licenses": rf"""WITH r AS (FROM (VALUES {templates_sql()}) AS x(t, label, phrase, need, words, tokens)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(len(w))) AS i, len(w) AS n FROM d), p AS (SELECT doc_id, i, w[i + 1] AS word FROM i), v AS (SELECT t, need, label, phrase, len(tokens) AS n, unnest(tokens) AS word FROM r),
+h AS (SELECT doc_id, i // 32 AS b, p.word, t, need, label, n FROM p JOIN v USING (word) WHERE NOT phrase UNION ALL SELECT doc_id, i // 32 - 1, p.word, t, need, label, n FROM p JOIN v USING (word) WHERE NOT phrase AND i >= 32),
+m AS (SELECT doc_id, label, count(DISTINCT word) / n AS share FROM h GROUP BY doc_id, b, t, need, label, n HAVING count(DISTINCT word) >= need),
+s AS (SELECT doc_id, i, label FROM i JOIN r ON phrase AND w[i + 1] = words[1] AND list_slice(w, i + 1, i + len(words)) = words),
+c AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM s GROUP BY 1),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM (SELECT doc_id, label, share FROM m UNION ALL SELECT doc_id, label, 1.0 FROM s) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN c USING (doc_id) LEFT JOIN a USING (doc_id)""",
 }
