@@ -8,8 +8,10 @@ among the pieces of their length.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import new_path
 
 PIECES = "doc_id long, start long, length int, ids binary, ids_crc32 long, doc_tokens long"
+#: Characters of white space in a row from which a text is left to ``tokenizers``.
+LONG_SPACE = 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -29,37 +33,49 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(0x100 + n): b for n, b in enumerate(hidden)}
 
 
-def load_encoder(path: str):
+def load_encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> ids of a byte-level BPE file of ``tokenizers``, as its encode(text, add_special_tokens=False) gives them.
 
     The ids of the file are its merge ranks, so tiktoken can take them, which needs a third of the time. The file's
-    added tokens, where a text spells them out, are found before anything else, as ``tokenizers`` does.
+    added tokens, where a text spells them out, are found before anything else, as ``tokenizers`` does. tiktoken's
+    pattern can't go back over very long white space; texts that hold LONG_SPACE of it go to ``tokenizers`` itself.
     """
     import json
 
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         stored = json.load(f)
     added = {t["content"]: t["id"] for t in stored["added_tokens"]}
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in token): n for token, n in stored["model"]["vocab"].items() if token not in added}
-    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    fast = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    plain = cache(lambda: Tokenizer.from_file(path))
+    # Tried where white space begins only, so that the search takes no more than the text's length.
+    long_space = re.compile(rf"(?:\A|(?<=\S))\s{{{LONG_SPACE}}}")
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= LONG_SPACE and long_space.search(text):
+            return np.array(plain().encode(text, add_special_tokens=False).ids, np.uint32)
+        return fast.encode_to_numpy(text, allowed_special="all")
+
+    return encode
 
 
 def cut(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, size: int) -> DataFrame:
     """Token pieces of all documents, ids as little-endian unsigned 32-bit numbers; written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load_encoder(vocabulary)
+        encode = load_encoder(vocabulary)
         names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                ids = encoder.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
+                ids = encode(text) if text else np.zeros(0, np.uint32)
                 data, n = ids.astype("<u4").tobytes() + int(end_id).to_bytes(4, "little"), len(ids) + 1
                 for at in range(0, n, size):
                     part = data[4 * at : 4 * (at + size)]
