@@ -33,8 +33,9 @@ RULES: tuple[Rule, ...] = (
     Rule("hex", "1", r"[0-9a-f]+", 0, 24),
 )
 
+LEDGER = "blob binary, kind string, rule_version string, spans array<struct<start:int,end:int>>"
+#: ``kind_no`` is the place of the kind in the rules of the run that asks, and never stored.
 SPANS = "array<struct<start:int,kind_no:int,end:int>>"
-LEDGER = f"blob binary, kind string, rule_version string, spans {SPANS}"
 
 
 def _search(rule: Rule) -> str:
@@ -68,7 +69,7 @@ def _spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         body = F.when(F.col("kind_no") == n, F.regexp_extract("segment", _search(r), r.body)).otherwise(body)
     least = F.get(F.array(*[F.lit(r.least) for r in rules]), F.col("kind_no"))
     placed = rows.select("blob", "kind_no", at.cast("int").alias("end"), F.length(match).alias("n"), (F.length(body) >= least).alias("good"))
-    span = F.when(F.col("good"), F.struct((F.col("end") - F.col("n")).alias("start"), "kind_no", "end"))
+    span = F.when(F.col("good"), F.struct((F.col("end") - F.col("n")).alias("start"), "end"))
     return placed.groupBy("blob", "kind_no").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
@@ -101,10 +102,14 @@ def additions(versions: DataFrame, path_col: str, text_col: str, ledger: DataFra
 
 
 def findings(versions: DataFrame, path_col: str, text_col: str, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(path, blob, spans): per version the spans that the ledger holds of its blob, ordered by start, then kind."""
-    versions_now = F.array(*[F.concat_ws(":", F.lit(r.kind), F.lit(r.version)) for r in rules])
-    current = ledger.where(F.array_contains(versions_now, F.concat_ws(":", "kind", "rule_version")) & (F.size("spans") > 0))
-    known = current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    """(path, blob, spans): per version the spans that the ledger holds of its blob under the given rules, ordered by start, then kind."""
+    versions_now = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version")) for r in rules])
+    current = ledger.where(F.array_contains(versions_now, F.struct("kind", "rule_version")) & (F.size("spans") > 0))
+    # A writer that was lost and came again may have added a row twice: it counts once.
+    current = current.groupBy("blob", "kind", "rule_version").agg(F.first("spans").alias("spans"))
+    number = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind")).cast("int") - 1
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), number.alias("kind_no"), s["end"].alias("end")))
+    known = current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("spans"))
     paths = _addressed(versions, path_col, text_col).select("path", "blob")
     return paths.join(known, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
@@ -114,7 +119,8 @@ def scan(versions: DataFrame, path_col: str, text_col: str, ledger_path: str, ru
 
     Only pairs of a blob and a rule's version that the ledger lacks are scanned, and their rows are
     appended. A run that fails before its append has ended leaves the ledger as it was; a run that is
-    repeated adds nothing. One run at a time may append. Defined results: a null text counts as empty; rows
+    repeated adds nothing. Two runs at a time may both scan what neither has found in the ledger; their rows count once.
+    Rules may be added, re-ordered and given new versions from run to run. Defined results: a null text counts as empty; rows
     that repeat a path come out as often as they go in; a null path is kept; an empty table gives an empty
     result; other columns are ignored.
     """
