@@ -9,7 +9,7 @@ from ..operators import filters, folds
 from ..schema import EVENT_LOG
 from ..sources import log, sinks
 from ..sources.work import work_path
-from ..streaming import stateful, tables
+from ..streaming import metrics, stateful, tables
 from .base import EV, ev, query, table
 
 
@@ -131,3 +131,66 @@ def stream_parsed(spark: SparkSession, sf: str) -> DataFrame:
     parser = lambda df: filters.strip_bodies(df).withColumn("event_type", F.when(F.col("event_type") == "click", "Clicked").otherwise(F.col("event_type")))
     tables.append_job(log.tail_log(spark, _written(spark, sf, "idx < 25", "idx >= 25")), copy, work_path(spark, "append-state"), parser).awaitTermination()
     return log.read_log(spark, copy).groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.count("data").alias("bodies"), F.max("event_type").alias("last_type"))
+
+
+@query(f"WITH {EV} SELECT stream, event_type AS item, count(*) AS n, sum(k)::BIGINT AS total, max(idx) AS last_idx FROM ev WHERE event_type <> 'view' GROUP BY 1, 2")
+def stream_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """M1, M2: a state with an entry for each type of a stream's events, some delivered twice; views remove theirs."""
+    tail = log.tail_log(spark, _written(spark, sf, "idx < 20", "idx >= 10"), categories=["User"], max_files=4)
+    body = tail.withColumn("k", F.get_json_object("data", "$.k").cast("long")).withColumn("item", F.col("event_type"))
+
+    def evolve(value: dict | None, e: dict) -> dict | None:
+        if e["event_type"] == "view":
+            return None
+        held = value or {"n": 0, "total": 0, "last": -1}
+        return {"n": held["n"] + 1, "total": held["total"] + int(e["k"]), "last": e["idx"]}
+
+    out = _drained(stateful.fold_entries(body, "item", evolve, ["k"]))
+    newest = out.groupBy("stream", "item").agg(F.max_by("value", "version").alias("value")).where("value is not null")
+    value = F.from_json("value", "n long, total long, last long")
+    return newest.select("stream", "item", value["n"].alias("n"), value["total"].alias("total"), value["last"].alias("last_idx"))
+
+
+@query(f"WITH {EV} SELECT stream, CASE WHEN bool_or(event_type = 'purchase') THEN 'Complete' ELSE 'Stuck' END AS status, CAST(0 AS BIGINT) AS kept FROM ev GROUP BY 1")
+def stream_watch(spark: SparkSession, sf: str) -> DataFrame:
+    """M5, M8: users without a purchase get stuck when their time is up; no state is kept when it has served."""
+    out, state = work_path(spark, "watched"), work_path(spark, "watch-state")
+    watched = stateful.watch(log.tail_log(spark, _written(spark, sf, "true")), 1000, terminal="purchase", keep_ms=500)
+    kept = stateful.run_until_drained(watched.writeStream.format("parquet").option("path", out).option("checkpointLocation", state))
+    ends = spark.read.schema(watched.schema).parquet(out).groupBy("stream").agg(F.max(F.col("status") == "Complete").alias("done"))
+    return ends.select("stream", F.when(F.col("done"), "Complete").otherwise("Stuck").alias("status"), F.lit(kept).cast("long").alias("kept"))
+
+
+@query(f"WITH {EV} SELECT stream, least(count(*), 20) AS version, sum(k) FILTER (idx < 20)::BIGINT AS state, count(*) > 20 AS to_refold FROM ev GROUP BY 1")
+def stream_idle(spark: SparkSession, sf: str) -> DataFrame:
+    """M8: states that get nothing for a while are let go; streams that go on later are named, to be folded from their log."""
+    source, out, state = work_path(spark, "log"), work_path(spark, "idle"), work_path(spark, "idle-state")
+    rows = as_log(spark, sf)
+    for part in ("idx < 20", "idx >= 20"):
+        rows.where(part).write.mode("append").parquet(source)
+        body = log.tail_log(spark, source).withColumn("k", F.get_json_object("data", "$.k").cast("long"))
+        states = stateful.fold_stream(body, 0, lambda s, e: s + int(e["k"]), ["k"], idle_ms=300)
+        stateful.run_until_drained(states.writeStream.format("parquet").option("path", out).option("checkpointLocation", state))
+    got = spark.read.schema(states.schema).parquet(out)
+    return got.groupBy("stream").agg(F.max("version").alias("version"), F.max_by("state", "version").cast("long").alias("state"), F.max(F.col("version").isNull()).alias("to_refold"))
+
+
+@query(f"""WITH {EV}, p AS (SELECT *, CASE WHEN idx < 10 THEN 0 WHEN idx < 20 THEN 1 ELSE 2 END AS batch, CAST(user_id % 8 AS VARCHAR) AS tranche FROM ev),
+b AS (SELECT unnest(range(3)) AS batch), t AS (SELECT tranche, max(position) AS head FROM p GROUP BY 1),
+s AS (SELECT batch, count(*) AS spans, max(n) AS largest FROM (SELECT batch, stream, count(*) AS n FROM p GROUP BY 1, 2) GROUP BY 1)
+SELECT b.batch, t.tranche, count(p.position) FILTER (p.batch = b.batch) AS events, coalesce(max(p.position), -1) AS committed, t.head, t.head - coalesce(max(p.position), -1) AS lag, any_value(s.spans) AS spans, any_value(s.largest) AS largest
+FROM b CROSS JOIN t JOIN s ON s.batch = b.batch LEFT JOIN p ON p.tranche = t.tranche AND p.batch <= b.batch GROUP BY b.batch, t.tranche, t.head""")
+def stream_lag(spark: SparkSession, sf: str) -> DataFrame:
+    """Lag of each tranche and sizes of spans after each of three batches, observed while the batches run."""
+    path, spans, sizes, rows = work_path(spark, "log"), work_path(spark, "spans"), work_path(spark, "span-sizes"), as_log(spark, sf)
+    for part in ("idx < 10", "idx >= 10 and idx < 20", "idx >= 20"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+    tranches = [str(n) for n in range(8)]
+    feed = metrics.observed(log.tail_log(spark, path, max_files=1), "feed", tranches)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        metrics.write_spans(batch, number, lambda s: s.write.mode("overwrite").parquet(f"{spans}/batch={number}"), sizes)
+
+    listener = metrics.LagListener("feed", tranches, metrics.heads_of(log.read_log(spark, path)))
+    lag = metrics.with_lag(lambda: tables.run_batches(feed, handle, work_path(spark, "lag-state")), spark, listener)
+    return lag.join(metrics.read_spans(spark, sizes).select("batch", "spans", "largest"), "batch")
