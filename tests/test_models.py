@@ -4,6 +4,7 @@ import random
 from decimal import Decimal
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidefold.operators import decisions, epochs, folds, periods, process, running, snapshots
@@ -44,10 +45,23 @@ def test_ordinals(spark):
     assert rows(got, "k", "n", "x", "at") == sorted(want, key=str)
 
 
-def test_placed_in_order(spark):
-    """One long list and many short ones, each row placed by what came before it of its key alone."""
+def placed_one_by_one(sizes, state, most, closes):
+    """(key, n, page): a state (page, rows, sum) for each key, and ``closes`` says whether the next row begins a page."""
+    want = []
+    for k, n, size in sizes:
+        page, count, held = state.get(k, (0, 0, 0))
+        page, count, held = (page + 1, 0, 0) if closes(count, held, size) else (page, count, held)
+        want.append((k, n, page))
+        state[k] = (page, count + 1, held + size)
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize("block", [16, 1 << 16])
+def test_placed_in_order(spark, monkeypatch, block):
+    """One long list and many short ones, each row placed by what came before it of its key alone; in one block and in many."""
+    monkeypatch.setattr(running, "BLOCK", block)
     rng = random.Random(5)
-    sizes = [("hot", n, rng.randrange(0, 9)) for n in range(20_000)] + [(f"k{n % 50}", n, rng.randrange(0, 9)) for n in range(500)]
+    sizes = [("hot", n, rng.randrange(0, 9)) for n in range(1500)] + [(f"k{n % 50}", n, rng.randrange(0, 9)) for n in range(500)] + [(None, n, 2) for n in range(90)]
     want, state = [], {"k7": (3, 4)}
     for k, n, size in sizes:
         epoch, fill = state.get(k, (0, 0))
@@ -57,13 +71,21 @@ def test_placed_in_order(spark):
     active = spark.createDataFrame([("k7", 3, 4), ("none", 1, 1)], "series string, epoch int, fill int")
     assert rows(epochs.soft_epochs(batches, 5, active), "series", "req_seq", "epoch") == sorted(want, key=str)
     events = batches.select(F.col("series").alias("stream"), F.col("req_seq").cast("long").alias("idx"), F.col("n").cast("long").alias("size"))
-    want, state = [], {}
-    for k, n, size in sizes:
-        page, count, held = state.get(k, (0, 0, 0))
-        page, count, held = (page, count, held) if not count or (count < 3 and held + size <= 12) else (page + 1, 0, 0)
-        want.append((k, n, page))
-        state[k] = (page, count + 1, held + size)
-    assert rows(sinks.pages(events, 3, 12), "stream", "idx", "page") == sorted(want, key=str)
+    want = placed_one_by_one(sizes, {}, 3, lambda count, held, size: count and (count >= 3 or held + size > 12))
+    assert rows(sinks.pages(events, 3, 12), "stream", "idx", "page") == want
+    assert epochs.soft_epochs(batches.limit(0), 5).count() == sinks.pages(events.limit(0), 3, 12).count() == 0
+
+
+def test_null_and_large_keys_stay_apart(spark):
+    keys = (None, 2**53, 2**53 + 1)
+    df = spark.createDataFrame([(k, n, 1) for k in keys for n in range(4)], "series long, req_seq int, n int")
+    want = sorted(((k, n, n // 2) for k in keys for n in range(4)), key=str)
+    assert rows(epochs.soft_epochs(df, 2), "series", "req_seq", "epoch") == want
+    events = df.select(F.col("series").alias("stream"), F.col("req_seq").cast("long").alias("idx"), F.lit(5).alias("size"))
+    assert rows(sinks.pages(events, 2, 100), "stream", "idx", "page") == want
+    money = df.select(F.col("series").alias("k"), F.col("req_seq").alias("p"), F.lit(Decimal("1.00")).alias("amount"))
+    got = periods.roll_forward(money, "k", "p", "amount", periods.Rules())
+    assert rows(got, "k", "p", "opening", "closing") == sorted(((k, n, Decimal(n), Decimal(n + 1)) for k in keys for n in range(4)), key=lambda r: str((r[0], r[1], Decimal(r[2]).quantize(Decimal("0.01")), r[3])))
 
 
 def test_spill_over_model(spark):
@@ -202,3 +224,44 @@ def test_newest_location_wins(spark):
     batch = spark.createDataFrame([(1, 1, 6), (1, 1, 7), (2, 1, 1), (2, 1, 1)], "sku int, location int, message_index int")
     assert rows(decisions.ingest_sku(held, batch), "sku", "used") == [(1, False), (1, False), (2, True), (2, True)]
     assert rows(decisions.ingest_sku(held, batch, "newest"), "sku", "message_index", "used") == [(1, 6, False), (1, 7, True), (2, 1, True), (2, 1, True)]
+
+
+def test_transactions_by_composed_functions(spark):
+    """Events of random streams, put together in blocks of three, against one at a time; one stream has a third of all rows."""
+    rng = random.Random(8)
+    kinds = ["FinalizationRequested", "ReservationCompleted", "RevertCommenced", "AssignmentCompleted", "Completed", "Snapshotted"]
+    lengths = {"hot": 400, **{f"t{n}": rng.randrange(1, 14) for n in range(100)}}
+    events, want = [], []
+    for stream, length in lengths.items():
+        state = ("Initial", None, None, None)
+        for idx in range(length):
+            kind, container, shipments = rng.choices(kinds, [2, 4, 1, 4, 3, 1])[0], f"c{idx}", [f"s{idx}"]
+            snapshot = rng.choice([("Assigning", "kept", ["k"], None), ("Reverting", None, ["k"], None), ("Completed", None, None, True), ("Completed", None, None, False)]) if kind == "Snapshotted" else None
+            events.append((stream, idx, kind, container if kind == "FinalizationRequested" else None, shipments if kind in ("FinalizationRequested", "RevertCommenced") else None, snapshot))
+            status, c, s, _ = state
+            if kind == "FinalizationRequested":
+                state = ("Reserving", container, shipments, None)
+            elif kind == "RevertCommenced":
+                state = ("Reverting", None, shipments, None)
+            elif kind == "Snapshotted":
+                state = snapshot
+            elif (kind, status) == ("ReservationCompleted", "Reserving"):
+                state = ("Assigning", c, s, None)
+            elif (kind, status) == ("AssignmentCompleted", "Assigning"):
+                state = ("Assigned", c, s, None)
+            elif kind == "Completed" and status in ("Reverting", "Assigned"):
+                state = ("Completed", None, None, status == "Assigned")
+        want.append((stream, length, state))
+    df = spark.createDataFrame(events, "stream string, idx long, event_type string, container string, shipments array<string>, state struct<status:string,container:string,shipments:array<string>,success:boolean>").repartition(4)
+    for block in (3, 1024):
+        got = folds.fold_transactions(df, block).select("stream", "version", "state").collect()
+        assert sorted((r.stream, r.version, tuple(r.state)) for r in got) == sorted(want, key=lambda r: r[0])
+
+
+def test_combined_fold_keeps_the_order(spark):
+    df = spark.range(3000).select(F.concat(F.lit("s"), F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 40)).alias("stream"), F.when(F.col("id") < 1000, F.col("id")).otherwise(2000 + F.floor(F.col("id") / 40)).alias("idx"))
+    got = folds.fold_combined(df, F.array(F.col("idx")), lambda a, b: F.concat(a, b), block=7).collect()
+    want = {}
+    for r in df.orderBy("idx").collect():
+        want.setdefault(r.stream, []).append(r.idx)
+    assert {r.stream: (r.version, r.state) for r in got} == {k: (v[-1] + 1, v) for k, v in want.items()}

@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decisions import first_of
-from .running import ordinals, placed_in_order
+from .running import in_pages, ordinals, written
 
 
 def soft_epochs(batches: DataFrame, cap: int, active: DataFrame | None = None) -> DataFrame:
     """(series, req_seq, n, epoch): each batch goes whole into the open epoch, which closes at ``cap`` items.
 
-    A running sum over the sizes of batches (never over items), that starts anew when an epoch closes.
-    ``active`` (series, epoch, fill) says where a series stands.
+    An epoch ends with the first batch after whose items it holds ``cap`` or more, so its end is found by running
+    sums, and a series of any length is placed in blocks (``in_pages``). Empty batches go to the epoch that is open.
+    ``active`` (series, epoch, fill) says where a series stands. A null series is a series.
     """
-    rows = batches.select("series", "req_seq", F.col("n").cast("int").alias("n"))
+    rows = batches.select("series", "req_seq", F.col("n").cast("long").alias("n"))
     if active is not None:
-        rows = rows.join(active.select("series", F.struct(F.col("epoch").alias("place"), "fill").alias("_start")), "series", "left")
-
-    def place(epoch: int, fill: int, n: int) -> tuple[int, int, int]:
-        return (epoch, epoch + 1, 0) if n > 0 and fill + n >= cap else (epoch, epoch, fill + n)
-
-    return placed_in_order(rows, "series", "req_seq", "n", "_start" if active is not None else None, place, "epoch")
+        held = active.select(F.col("series").alias("_s"), F.col("epoch").alias("_epoch"), F.col("fill").cast("long").alias("_fill"))
+        rows = rows.join(held, F.col("series").eqNullSafe(F.col("_s")), "left").drop("_s")
+    else:
+        rows = rows.withColumns({"_epoch": F.lit(0), "_fill": F.lit(0).cast("long")})
+    full = F.col("n") > 0
+    rows = written(ordinals(rows, ["series"], ["req_seq"], "_all", {"_at": full.cast("int"), "_before": F.col("n")}).drop("_all"), "batches")
+    start = F.when(F.col("_at") == 0, F.coalesce("_fill", F.lit(0))).otherwise(F.lit(0))
+
+    def ends(sums: np.ndarray, held: np.ndarray) -> np.ndarray:
+        return np.maximum(np.searchsorted(sums, sums[:-1] - held + cap), np.arange(1, len(sums)))
+
+    placed = in_pages(rows.where(full).withColumn("_held", start), ["series"], "_at", "_before", "n", cap, ends, "_held")
+    epoch = F.coalesce("_epoch", F.lit(0)) + F.col("page")
+    columns = ["series", "req_seq", F.col("n").cast("int").alias("n")]
+    # An empty batch comes after the batch of the number before its own.
+    last = placed.select(F.col("series").alias("_s"), (F.col("_at") + 1).alias("_next"), (F.col("page") + F.col("closes").cast("int")).alias("_page"))
+    empty = rows.where(~full).join(last, F.col("series").eqNullSafe(F.col("_s")) & (F.col("_at") == F.col("_next")), "left").withColumn("page", F.coalesce("_page", F.lit(0)))
+    return placed.select(*columns, epoch.cast("int").alias("epoch")).union(empty.select(*columns, epoch.cast("int").alias("epoch")))
 
 
 def exactly_once(held: DataFrame, requests: DataFrame) -> DataFrame:

@@ -2,16 +2,19 @@
 
 Folds take decoded rows: stream, idx, event_type and the typed columns that they name. A fold starts
 at the last origin event (``prune_to_origin``). Forms that only aggregate keep no stream in one place;
-the few state machines that need events one after another run over streams of a handful of events.
+state machines are associative too: an event is a function on their states, and functions of neighbours are one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Indexes of a stream whose events are combined in one row.
+BLOCK = 1024
+
 
 def is_(*types: str) -> Column:
     return F.col("event_type").isin(*types)
@@ -38,6 +41,49 @@ def fold_streams(df: DataFrame, initial: Column, evolve: Callable[[Column, Colum
     return spans.select("stream", "version", F.aggregate("_e", initial, evolve).alias("state"))
 
 
+def fold_combined(df: DataFrame, lift: Column, combine: Callable[[Column, Column], Column], block: int = BLOCK) -> DataFrame:
+    """(stream, version, state) by an associative fold: ``lift`` makes a state of an event, ``combine`` one of two neighbours.
+
+    Events are combined within blocks of ``block`` indexes, blocks within blocks of blocks, and those within a
+    stream: a row holds ``block`` states at most at the first two levels, and a stream's index by the square of ``block``
+    at the last. So a stream is never in one place, however much of the log it holds. Indexes are those of a log, from
+    0 on without repeats.
+    """
+    state = df.select(lift.alias("s")).schema["s"].dataType.simpleString()
+
+    def level(rows: DataFrame, keys: list[Column | str]) -> DataFrame:
+        grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_s"))).alias("_x"), F.max("version").alias("version"))
+        rest = F.slice("_x", 2, F.size("_x"))
+        folded = F.aggregate(rest, F.get("_x", F.lit(0))["_s"].cast(state), lambda a, e: combine(a, e["_s"]).cast(state))
+        return grouped.withColumn("_s", folded).drop("_x")
+
+    rows = df.select("stream", F.floor(F.col("idx") / block).alias("_block"), F.col("idx").alias("_at"), lift.alias("_s"), (F.col("idx") + 1).alias("version"))
+    rows = level(rows, ["stream", "_block"]).select("stream", F.floor(F.col("_block") / block).alias("_far"), F.col("_block").alias("_at"), "_s", "version")
+    rows = level(rows, ["stream", "_far"]).withColumnRenamed("_far", "_at")
+    return level(rows, ["stream"]).select("stream", "version", F.col("_s").alias("state"))
+
+
+def fold_machine(df: DataFrame, states: Sequence[str], steps: Mapping[str, Mapping[str, str]], reset: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """(stream, version, status) of a state machine that starts in the first of ``states``.
+
+    ``steps`` says for each event type which states it changes, and to what; other events change nothing. ``reset``
+    gives the state to which an event goes from any other, or null. An event is a function on the states,
+    written as the list of what it makes of each; two neighbours are one such function, so events can be put together
+    in any grouping (``fold_combined``).
+    """
+    number = {s: n for n, s in enumerate(states)}
+    kind = "array<int>"
+    same = F.array(*[F.lit(n) for n in range(len(states))]).cast(kind)
+    moves = same
+    for name, step in steps.items():
+        moves = F.when(F.col("event_type") == name, F.array(*[F.lit(number[step.get(s, s)]) for s in states]).cast(kind)).otherwise(moves)
+    if reset is not None:
+        to = F.array_position(F.array(*map(F.lit, states)), reset).cast("int") - 1
+        moves = F.when(reset.isNotNull(), F.array_repeat(to, len(states))).otherwise(moves)
+    folded = fold_combined(df, moves, lambda a, b: F.transform(a, lambda x: F.get(b, x)), block)
+    return folded.select("stream", "version", F.get(F.array(*map(F.lit, states)), F.get("state", F.lit(0))).alias("status"))
+
+
 def fold_streams_pandas(df: DataFrame, fold: Callable, schema: str) -> DataFrame:
     """A left fold by a pandas function over a stream's ordered events, where columns can't express it (F1)."""
     return df.groupBy("stream").applyInPandas(lambda pdf: fold(pdf.sort_values("idx")), schema)
@@ -168,34 +214,30 @@ def fold_latest(df: DataFrame, value: str, *types: str) -> DataFrame:
     return rows.groupBy("stream").agg((F.max("idx") + 1).alias("version"), F.max_by(value, "idx").alias("value"))
 
 
-def fold_transactions(df: DataFrame) -> DataFrame:
+def fold_transactions(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """(stream, version, state<status, container, shipments, success>, phase).
 
     Rows: FinalizationRequested(container, shipments), ReservationCompleted, RevertCommenced(shipments),
-    AssignmentCompleted, Completed, Snapshotted(state). Events that don't fit the state are ignored.
+    AssignmentCompleted, Completed, Snapshotted(state). Events that don't fit the state are ignored. The status is
+    a state machine's; container and shipments are those of the last event that sets them, and null at the end.
     """
     kind = "struct<status:string,container:string,shipments:array<string>,success:boolean>"
-    no_text, no_list, no_flag = F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(None).cast("boolean")
-    make = lambda status, container=no_text, shipments=no_list, success=no_flag: F.struct(F.lit(status).alias("status"), container.alias("container"), shipments.alias("shipments"), success.alias("success"))
-    initial = make("Initial")
-
-    def evolve(s: Column, e: Column) -> Column:
-        t, at = e["event_type"], s["status"]
-        out = (
-            F.when(t == "FinalizationRequested", make("Reserving", e["container"], e["shipments"]))
-            .when((t == "ReservationCompleted") & (at == "Reserving"), make("Assigning", s["container"], s["shipments"]))
-            .when(t == "RevertCommenced", make("Reverting", no_text, e["shipments"]))
-            .when((t == "AssignmentCompleted") & (at == "Assigning"), make("Assigned", s["container"], s["shipments"]))
-            .when((t == "Completed") & (at == "Reverting"), make("Completed", success=F.lit(False)))
-            .when((t == "Completed") & (at == "Assigned"), make("Completed", success=F.lit(True)))
-        )
-        if "state" in df.columns:
-            out = out.when(t == "Snapshotted", e["state"].cast(kind))
-        return out.otherwise(s)
-
-    columns = ["container", "shipments", *(["state"] if "state" in df.columns else [])]
-    folded = fold_streams(prune_to_origin(df, is_("Snapshotted")), initial, evolve, *columns)
-    return folded.withColumn("phase", phase(F.col("state")))
+    snapshot = F.col("state").cast(kind) if "state" in df.columns else F.lit(None).cast(kind)
+    ends = {True: "Succeeded", False: "Failed"}
+    # A completed transaction is in one of two states, so that the status alone tells how it ended.
+    held = F.when(snapshot["status"] == "Completed", F.when(snapshot["success"], ends[True]).otherwise(ends[False])).otherwise(snapshot["status"])
+    reset = F.when(is_("FinalizationRequested"), F.lit("Reserving")).when(is_("RevertCommenced"), F.lit("Reverting")).when(is_("Snapshotted"), held)
+    steps = {"ReservationCompleted": {"Reserving": "Assigning"}, "AssignmentCompleted": {"Assigning": "Assigned"}, "Completed": {"Reverting": ends[False], "Assigned": ends[True]}}
+    machine = fold_machine(df, ["Initial", "Reserving", "Assigning", "Assigned", "Reverting", *ends.values()], steps, reset, block)
+    own = F.struct(F.when(is_("FinalizationRequested"), F.col("container")).when(is_("Snapshotted"), snapshot["container"]).alias("container"), F.when(is_("Snapshotted"), snapshot["shipments"]).otherwise(F.col("shipments")).alias("shipments"))
+    sets = df.where(is_("FinalizationRequested", "RevertCommenced", "Snapshotted")).groupBy("stream").agg(F.max_by(own, "idx").alias("_set"))
+    status, ended = F.col("status"), F.col("status").isin(*ends.values())
+    joined = machine.join(sets, "stream", "left")
+    state = F.struct(
+        F.when(ended, "Completed").otherwise(status).alias("status"), F.when(~ended, F.col("_set.container")).alias("container"),
+        F.when(~ended, F.col("_set.shipments")).alias("shipments"), F.when(ended, status == ends[True]).alias("success"),
+    )
+    return joined.select("stream", "version", state.alias("state")).withColumn("phase", phase(F.col("state")))
 
 
 def phase(state: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,26 +34,29 @@ class Rules:
 def roll_forward(activity: DataFrame, key: str, period: str, amount: str, rules: Rules) -> DataFrame:
     """(key, period, opening, added, closing, carried) under any rules.
 
-    Sums of each period are dealt by key and stream past one balance at a time.
+    Sums of each period are dealt by key and stream past one balance at a time: rules of the caller's own have no
+    partial form, and a key has no more rows than periods. A null key is a key.
     """
-    money = "decimal(28,2)"
+    money, kind = "decimal(28,2)", pa.decimal128(28, 2)
     added = activity.groupBy(key, period).agg(F.sum(amount).cast(money).alias("added"))
     kinds = {f.name: f.dataType.simpleString() for f in added.schema}
+    names = ("opening", "closing", "carried")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, carried = object(), None
-        for frame in frames:
-            rows = []
-            for k, plus in zip(frame[key], frame["added"], strict=True):
+        for batch in batches:
+            columns: tuple[list, ...] = ([], [], [])
+            for k, plus in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 current, carried = k, carried if k == current else None
                 opening = rules.opening(carried)
                 closing = rules.take(opening, plus)
                 carried = rules.carry(closing)
-                rows.append([Decimal(x) for x in (opening, closing, carried)])
-            yield frame.assign(**{c: [r[n] for r in rows] for n, c in enumerate(("opening", "closing", "carried"))})
+                for c, x in zip(columns, (opening, closing, carried), strict=True):
+                    c.append(Decimal(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, kind) for c in columns)], names=[*batch.schema.names, *names])
 
-    schema = f"{key} {kinds[key]}, {period} {kinds[period]}, added {money}, opening {money}, closing {money}, carried {money}"
-    return added.repartition(F.col(key)).sortWithinPartitions(key, period).mapInPandas(run, schema)
+    schema = f"`{key}` {kinds[key]}, `{period}` {kinds[period]}, added {money}, opening {money}, closing {money}, carried {money}"
+    return added.repartition(F.col(key)).sortWithinPartitions(key, period).mapInArrow(run, schema)
 
 
 def carry_items(activity: DataFrame, key: str, period: str, item: str, order: list[str]) -> DataFrame:

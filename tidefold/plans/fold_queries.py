@@ -119,6 +119,19 @@ def fold_generic(spark: SparkSession, sf: str) -> DataFrame:
     return folds.fold_streams(ev(spark, sf), start, evolve, "amount").select("stream", "version", "state.balance", "state.steps")
 
 
+@query(f"""WITH {EV} SELECT stream, max(idx) + 1 AS version, CAST(coalesce(sum(amount) FILTER (event_type = 'purchase'), 0) - coalesce(sum(amount) FILTER (event_type = 'click'), 0) AS DECIMAL(28,2)) AS balance,
+arg_max(event_type, idx) FILTER (event_type <> 'view') AS last_type, count(*) AS steps FROM ev GROUP BY 1""")
+def fold_associative(spark: SparkSession, sf: str) -> DataFrame:
+    """A fold whose states are combined in any grouping: sums, a count, and the last type but views."""
+    delta = F.when(F.col("event_type") == "purchase", F.col("amount")).when(F.col("event_type") == "click", -F.col("amount")).otherwise(0)
+    lift = F.struct(delta.cast("decimal(28,2)").alias("balance"), F.lit(1).cast("long").alias("steps"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("last_type"))
+
+    def combine(a, b):
+        return F.struct((a["balance"] + b["balance"]).alias("balance"), (a["steps"] + b["steps"]).alias("steps"), F.coalesce(b["last_type"], a["last_type"]).alias("last_type"))
+
+    return folds.fold_combined(ev(spark, sf), lift, combine, block=8).select("stream", "version", "state.balance", "state.last_type", "state.steps")
+
+
 GROUP = """rows AS (SELECT o_custkey, o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS idx FROM orders)"""
 
 

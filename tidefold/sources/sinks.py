@@ -11,17 +11,16 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.decisions import version_gate
-from ..operators.running import placed_in_order
+from ..operators.running import in_pages, ordinals, written
 
 BUCKETS = 64
 POINTERS = "bucket int, generation string, serial int"
-#: A page's fill is one number: its bytes, and in the low 24 bits its events.
-COUNT = (1 << 24) - 1
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -153,14 +152,14 @@ def bounded_prefix(df: DataFrame, max_events: int, max_bytes: int, size: str = "
 def pages(df: DataFrame, max_events: int, max_bytes: int, size: str = "size") -> DataFrame:
     """Number all writes of each stream under the same bounds, as ``page``.
 
-    A page takes what fits after the one before it: a running sum over the sizes of a stream that starts anew.
+    A page takes what fits after the one before it, and at least one event. Its end is found by running sums of
+    sizes, so a stream of any length is placed in blocks (``in_pages``). A null stream is a stream, a null size 0.
     """
+    sizes = df.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
+    numbered = written(ordinals(sizes, ["stream"], ["idx"], "_at", {"_before": F.col("_size")}), "sizes")
 
-    def place(page: int, fill: int, n: int) -> tuple[int, int, int]:
-        events, held = fill & COUNT, fill >> 24
-        if events and (events >= max_events or held + n > max_bytes):
-            page, events, held = page + 1, 0, 0
-        return page, page, (held + n) << 24 | min(events + 1, COUNT)
+    def ends(sums: np.ndarray, _: np.ndarray) -> np.ndarray:
+        at = np.arange(len(sums) - 1)
+        return np.clip(np.searchsorted(sums, sums[:-1] + max_bytes, "right") - 1, at + 1, at + max_events)
 
-    sizes = df.select("stream", "idx", F.col(size).cast("long").alias("_size"))
-    return df.join(placed_in_order(sizes, "stream", "idx", "_size", None, place, "page").drop("_size"), ["stream", "idx"])
+    return in_pages(numbered, ["stream"], "_at", "_before", "_size", max_events, ends).select(*df.columns, F.col("page").cast("int").alias("page"))
