@@ -2,7 +2,10 @@
 
 import glob
 import json
+import re
+import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,23 +71,64 @@ def test_view_keeps_the_highest_version(spark, tmp_path):
     assert rows(sinks.read_view(spark, path, first.schema)) == [("a", 2, "z"), ("b", 6, "new"), ("c", 0, "c")]
 
 
-def test_view_conflict_and_compaction(spark, tmp_path, monkeypatch):
-    """Of two writers that take one serial, the second fails and changes nothing; a compacted view has the same rows and one generation."""
-    path, to = str(tmp_path / "view"), str(tmp_path / "compact")
-    view = lambda *r: spark.createDataFrame(r, "stream string, version long")
-    sinks.upsert_view(view(("a", 1), ("b", 1)), path, ["stream"])
-    sinks.upsert_view(view(("a", 2), ("c", 1)), path, ["stream"])
-    with monkeypatch.context() as m:
-        m.setattr(sinks, "_serial", lambda *_: 0)  # what the slower writer saw
-        with pytest.raises(Exception, match="(?i)exists"):
-            sinks.upsert_view(view(("b", 9)), path, ["stream"])
-    want = [("a", 2), ("b", 1), ("c", 1)]
-    assert rows(sinks.read_view(spark, path, view(("a", 1)).schema)) == want
-    sinks.compact(spark, path, to, view(("a", 1)).schema, ["stream"])
-    assert rows(sinks.read_view(spark, to, view(("a", 1)).schema)) == want
-    assert spark.read.parquet(f"{to}/rows").select("generation").distinct().count() == 1
-    sinks.upsert_view(view(("d", 1)), to, ["stream"])
-    assert sinks.read_view(spark, to, view(("a", 1)).schema).count() == 4
+def test_view_reads_and_writes_touched_buckets(spark, tmp_path):
+    """Only the files of buckets to which something is accepted change; a view can be written anew with more buckets."""
+    path, kind = str(tmp_path / "view"), "stream string, version long"
+    view = lambda *r: spark.createDataFrame(r, kind)
+    sinks.upsert_view(view(*[(f"s{n}", 1) for n in range(40)]), path, ["stream"], buckets=8)
+    files = lambda: set(glob.glob(f"{path}/bucket=*/part-*"))
+    before = files()
+    sinks.upsert_view(view(("s1", 2), ("s2", 1)), path, ["stream"], buckets=8)
+    changed = {f.split("/")[-2] for f in before ^ files()}
+    assert len(changed) == 1
+    sinks.upsert_view(view(("s1", 1)), path, ["stream"], buckets=8)
+    want = sorted([(f"s{n}", 2 if n == 1 else 1) for n in range(40)])
+    schema = view(("a", 1)).schema
+    assert rows(sinks.read_view(spark, path, schema)) == want
+    one = sinks.held_rows(view(("s1", 0), ("none", 0)), path, schema, ["stream"], 8)
+    assert rows(one) == [("s1", 2)] and re.search(r"PartitionFilters: \[[^\]]*bucket", one._jdf.queryExecution().toString())
+    sinks.write_view(sinks.read_view(spark, path, schema), str(tmp_path / "wider"), ["stream"], 16)
+    assert rows(sinks.read_view(spark, str(tmp_path / "wider"), schema)) == want
+
+
+def test_writers_of_different_buckets_overlap(spark, tmp_path):
+    """Two writers at the same time, each over its own buckets: nothing of either is lost, round after round."""
+    path, buckets = str(tmp_path / "view"), 8
+    keys = spark.range(400).select(F.col("id").cast("string").alias("stream"))
+    of = {r.stream: r.b for r in keys.select("stream", sinks._bucket(["stream"], buckets).alias("b")).collect()}
+    own = [[k for k, b in of.items() if b % 2 == half] for half in (0, 1)]
+    sinks.upsert_view(keys.withColumn("version", F.lit(0).cast("long")), path, ["stream"], buckets=buckets)
+    for n in range(1, 4):
+        start = threading.Barrier(2)
+
+        def write(half, n=n, start=start):
+            start.wait()
+            sinks.upsert_view(spark.createDataFrame([(k, n) for k in own[half]], "stream string, version long"), path, ["stream"], buckets=buckets)
+
+        with ThreadPoolExecutor(2) as pool:
+            list(pool.map(write, (0, 1)))
+        assert rows(sinks.read_view(spark, path, spark.createDataFrame([], "stream string, version long").schema)) == sorted((k, n) for k in of)
+
+
+def test_seeded_index(spark, tmp_path):
+    """States are combined with new events only, without any log; what is missing is an error then, or read from the log."""
+    e = events(spark, 60, 3).withColumn("category", F.lit("User"))
+    lift, combine = F.array(F.col("idx")), lambda a, b: F.concat(a, b)
+    want = lambda n: rows(e.where(f"idx < {n}").groupBy("stream").agg((F.max("idx") + 1).alias("version"), F.array_sort(F.collect_list("idx")).alias("state")))
+    kind = spark.createDataFrame([], "stream string, version long, state array<long>").schema
+    src, view = str(tmp_path / "src"), str(tmp_path / "view")
+    job = lambda log_path=None: tables.seeded_index_job(log.tail_log(spark, src, max_files=1), view, lift, combine, str(tmp_path / "c"), log_path, 4).awaitTermination()
+    _parts(e, src, ["idx < 5", "idx >= 3 and idx < 9", "idx < 2", "idx >= 9 and idx < 12"])
+    job()
+    assert rows(sinks.read_view(spark, view, kind)) == want(12)
+    full = str(tmp_path / "log")
+    e.write.partitionBy("category").parquet(full)
+    _parts(e, src, ["idx >= 15 and idx < 18"])
+    with pytest.raises(Exception, match="missing"):
+        job()
+    job(full)
+    got = {r.stream: r for r in sinks.read_view(spark, view, kind).collect()}
+    assert all(r.version == len(r.state) and r.state == list(range(r.version)) for r in got.values()) and max(r.version for r in got.values()) >= 18
 
 
 def test_filters(spark):

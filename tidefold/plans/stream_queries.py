@@ -194,3 +194,16 @@ def stream_lag(spark: SparkSession, sf: str) -> DataFrame:
     listener = metrics.LagListener("feed", tranches, metrics.heads_of(log.read_log(spark, path)))
     lag = metrics.with_lag(lambda: tables.run_batches(feed, handle, work_path(spark, "lag-state")), spark, listener)
     return lag.join(metrics.read_spans(spark, sizes).select("batch", "spans", "largest"), "batch")
+
+
+@query(f"WITH {EV} SELECT stream, max(idx) + 1 AS version, count(*) AS n, sum(k)::BIGINT AS total, arg_max(event_type, idx) AS last_type FROM ev GROUP BY 1")
+def stream_seeded_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Views over many small batches, some delivered twice, that never read the log: states are combined with the batch's own."""
+    source = _written(spark, sf, *[f"idx >= {a} and idx < {b}" for a, b in ((0, 8), (4, 16), (16, 24), (20, 40))], "idx >= 40")
+    tail = log.tail_log(spark, source, categories=["User"], max_files=8).withColumn("k", F.get_json_object("data", "$.k").cast("long"))
+    lift = F.struct(F.lit(1).cast("long").alias("n"), F.col("k").alias("total"), F.col("event_type").alias("last_type"))
+    combine = lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["total"] + b["total"]).alias("total"), b["last_type"].alias("last_type"))
+    view = work_path(spark, "view")
+    tables.seeded_index_job(tail, view, lift, combine, work_path(spark, "index-state"), source, buckets=8).awaitTermination()
+    rows = sinks.read_view(spark, view, spark.createDataFrame([], "stream string, version long, state struct<n:long,total:long,last_type:string>").schema)
+    return rows.select("stream", "version", "state.*")

@@ -1,15 +1,12 @@
 """Sinks: idempotent appends, version-gated views, envelopes, deletions, bounded writes.
 
-Plain Parquet has no transactions. Appends add files and are idempotent by key; views rewrite only the
-buckets that a batch touches, into a new generation beside the old one, and then add a pointer under the
-next serial number. So a writer that is lost midway leaves the generation in use as it was, and of two
-writers at a time one fails, as its serial is taken; its batch comes again. ``compact`` writes a view's
-rows in use as a view of their own.
+Plain Parquet has no transactions. Appends add files and are idempotent by key; views are partitioned by
+buckets of their keys, and a batch overwrites those that it touches. One query writes a view at a time.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,7 +17,6 @@ from ..operators.decisions import version_gate
 from ..operators.running import in_pages, ordinals, written
 
 BUCKETS = 64
-POINTERS = "bucket int, generation string, serial int"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -64,57 +60,54 @@ def append_events(df: DataFrame, path: str, contiguous: bool = True) -> int:
     return n
 
 
-def _bucket(keys: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def _serial(spark: SparkSession, path: str) -> int:
-    """Number of the newest generation; -1 where there is none."""
-    try:
-        last = spark.read.schema(POINTERS).parquet(f"{path}/pointers").agg(F.max("serial")).first()[0]
-    except AnalysisException:
-        return -1
-    return -1 if last is None else last
-
+def read_view(spark: SparkSession, path: str, schema, buckets: Iterable[int] | None = None) -> DataFrame:
+    """The rows of a view (N3), or those of some of its buckets, of which alone the files are read.
 
-def read_view(spark: SparkSession, path: str, schema, serial: int | None = None) -> DataFrame:
-    """The rows of a view as of a generation, by default the newest: of each bucket its newest one up to it.
-
-    The generation is pinned when this is called, so that later writes don't change what is read.
+    Read it anew after each write: a write replaces the files of the buckets that it touches.
     """
-    serial = _serial(spark, path) if serial is None else serial
-    if serial < 0:
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    newest = spark.read.schema(POINTERS).parquet(f"{path}/pointers").where(F.col("serial") <= serial).groupBy("bucket").agg(F.max_by("generation", "serial").alias("generation"))
-    rows = spark.read.parquet(f"{path}/rows")
-    return rows.join(F.broadcast(newest), ["bucket", "generation"], "left_semi").select(*[f.name for f in schema])  # at most BUCKETS rows
-
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    rows = spark.read.schema(f"{kinds}, bucket int").parquet(path)
+    return (rows if buckets is None else rows.where(F.col("bucket").isin(list(buckets)))).select(*[f.name for f in schema])
 
-def _replace(rows: DataFrame, path: str, buckets: DataFrame) -> None:
-    generation, serial = uuid.uuid4().hex, _serial(rows.sparkSession, path) + 1
-    rows.withColumn("generation", F.lit(generation)).write.mode("append").partitionBy("bucket", "generation").parquet(f"{path}/rows")
-    buckets.select("bucket", F.lit(generation).alias("generation")).coalesce(1).write.mode("errorifexists").parquet(f"{path}/pointers/serial={serial}")
 
+def held_rows(keyed: DataFrame, path: str, schema, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The rows of a view that have the given keys, each once; only their buckets are read."""
+    touched = [r[0] for r in keyed.select(_bucket(keys, buckets)).distinct().collect()]  # as many as there are buckets, at most
+    schema = keyed.sparkSession.createDataFrame([], schema).schema
+    return read_view(keyed.sparkSession, path, schema, touched).join(keyed.select(*keys), keys, "left_semi")
 
-def compact(spark: SparkSession, path: str, to: str, schema, keys: list[str]) -> None:
-    """Write the rows of a view that are in use to a new view, without its old generations and pointers."""
-    if exists(spark, f"{to}/pointers/serial=0"):
-        raise ValueError(f"there is a view at {to}")
-    rows = read_view(spark, path, schema).withColumn("bucket", _bucket(keys))
-    _replace(rows, to, rows.select("bucket").distinct())
 
+def upsert_view(incoming: DataFrame, path: str, keys: list[str], version: str = "version", buckets: int = BUCKETS) -> DataFrame:
+    """Keep the highest version of each key; returns the incoming rows with ``accepted``.
 
-def upsert_view(incoming: DataFrame, path: str, keys: list[str], version: str = "version") -> DataFrame:
-    """Keep the highest version of each key; returns the incoming rows with ``accepted``."""
+    A view is a Parquet table partitioned by a hash of its keys. Only the buckets to which accepted rows go are
+    read and written, by dynamic partition overwrite; what a batch costs follows its buckets, so take as many as
+    keep one of them small, and the same number for a view's life. A batch that comes again changes nothing. Writers
+    of different buckets don't disturb each other; those of one bucket must be one query, as the last one's
+    files stay. A view is derived: one that a lost driver left half replaced is written anew from its log.
+    """
     spark = incoming.sparkSession
-    held = read_view(spark, path, incoming.schema)
-    decided = version_gate(held, incoming, keys, version)
-    accepted = decided.where("accepted").select(*incoming.columns).dropDuplicates(keys).withColumn("bucket", _bucket(keys))
-    buckets = accepted.select("bucket").distinct()
-    if buckets.count():
-        kept = held.withColumn("bucket", _bucket(keys)).join(F.broadcast(buckets), "bucket", "left_semi").join(accepted.select(*keys), keys, "left_anti")
-        _replace(kept.unionByName(accepted), path, buckets)
-    return decided
+    rows = written(incoming.withColumn("bucket", _bucket(keys, buckets)), "incoming")
+    touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # as many as there are buckets, at most
+    decided = written(version_gate(read_view(spark, path, incoming.schema, touched), rows, keys, version), "decided")
+    accepted = decided.where("accepted").select(*rows.columns).dropDuplicates(keys)
+    changed = [r[0] for r in accepted.select("bucket").distinct().collect()]
+    if changed:
+        kept = read_view(spark, path, incoming.schema, changed).join(accepted.select(*keys), keys, "left_anti").withColumn("bucket", _bucket(keys, buckets))
+        merged = kept.unionByName(accepted).repartition(len(changed), "bucket")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return decided.drop("bucket")
+
+
+def write_view(rows: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """Write a view anew, whole: where it is rebuilt, or gets another number of buckets."""
+    rows.withColumn("bucket", _bucket(keys, buckets)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
 
 
 def to_span_envelopes(df: DataFrame) -> DataFrame:

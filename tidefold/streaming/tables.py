@@ -9,11 +9,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import decisions, filters
+from ..operators import decisions, filters, folds
+from ..operators.running import written
 from ..sources import sinks
 
 
@@ -33,7 +34,11 @@ def append_job(stream: DataFrame, path: str, checkpoint: str, transform: Callabl
 
 
 def index_job(stream: DataFrame, log_path: str, view_path: str, fold: Callable[[DataFrame], DataFrame], checkpoint: str, known: Sequence[str] | None = None) -> StreamingQuery:
-    """Views kept up to date (L6): streams that a batch changes are folded over their log and version-gated into the view."""
+    """Views kept up to date (L6): streams that a batch changes are folded over their log and version-gated into the view.
+
+    For folds of any kind, at the cost of the changed streams' categories; where states can be combined, take
+    ``seeded_index_job``.
+    """
 
     def handle(batch: DataFrame, _: int) -> None:
         changed = filters.implies_state_change(batch, keys=("stream", "category"), known=known).where("change")
@@ -42,6 +47,39 @@ def index_job(stream: DataFrame, log_path: str, view_path: str, fold: Callable[[
     return run_batches(stream, handle, checkpoint)
 
 
+def seeded_index_job(stream: DataFrame, view_path: str, lift: Column, combine: Callable[[Column, Column], Column], checkpoint: str, log_path: str | None = None, buckets: int = sinks.BUCKETS) -> StreamingQuery:
+    """Views whose states are combined with those of new events only.
+
+    Of each batch, the events from a stream's version on are folded by themselves (``folds.fold_combined``), and
+    their state is combined with the held one. So a batch reads itself and the buckets of the view that it
+    touches, whatever the log holds. Only where events are missing between a stream's version and the batch
+    are those of that stream read from ``log_path``; without one, they are an error.
+    """
+
+    def handle(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        lifted = batch.select("stream", "category", "idx", lift.alias("_lifted")).where(F.col("stream").isNotNull()).dropDuplicates(["stream", "idx"])
+        kind = lifted.schema["_lifted"].dataType.simpleString()
+        lifted = written(lifted, "batch")
+        held = sinks.held_rows(lifted.select("stream").distinct(), view_path, f"stream string, version long, state {kind}", ["stream"], buckets)
+        held = held.select("stream", F.col("version").alias("_from"), F.col("state").alias("_held"))
+        at = F.coalesce("_from", F.lit(0))
+        fresh = lifted.join(held.select("stream", "_from"), "stream", "left").where(F.col("idx") >= at)
+        # All that a stream lacks has come if there are as many events as places from its version to the last.
+        behind = fresh.groupBy("stream").agg(F.first("category").alias("category"), F.first(at).alias("_at"), (F.max("idx") + 1 - F.first(at)).alias("_wanted"), F.count(F.lit(1)).alias("_n")).where("_wanted <> _n")
+        behind = written(behind, "behind")
+        if behind.count():
+            if log_path is None:
+                raise ValueError("events are missing before those of the batch, and no log is given")
+            known = sinks.touched(spark.read.parquet(log_path), behind).select("stream", "idx", lift.alias("_lifted")).join(behind.select("stream", "_at"), "stream").where("idx >= _at").dropDuplicates(["stream", "idx"])
+            fresh = fresh.join(behind.select("stream"), "stream", "left_anti").select("stream", "idx", "_lifted").union(known.select("stream", "idx", "_lifted"))
+        delta = folds.fold_combined(fresh, F.col("_lifted"), combine).join(held, "stream", "left")
+        both = F.when(F.col("_from").isNull(), F.col("state")).otherwise(combine(F.col("_held"), F.col("state")).cast(kind))
+        sinks.upsert_view(delta.select("stream", "version", both.alias("state")), view_path, ["stream"], buckets=buckets)
+
+    return run_batches(stream, handle, checkpoint)
+
+
 def handler_job(stream: DataFrame, handler: Callable[[DataFrame], DataFrame], positions_path: str, out_path: str, checkpoint: str) -> StreamingQuery:
     """Spans to a handler that gives (stream, outcome, next_idx); events before a stream's position are left out.
 
@@ -53,7 +91,7 @@ def handler_job(stream: DataFrame, handler: Callable[[DataFrame], DataFrame], po
     def handle(batch: DataFrame, number: int) -> None:
         spark, out = batch.sparkSession, f"{out_path}/job={job}/batch={number}"
         if not sinks.exists(spark, out):
-            held = sinks.read_view(spark, positions_path, batch.select("stream", F.lit(0).cast("long").alias("version")).schema)
+            held = sinks.held_rows(batch.select("stream").distinct(), positions_path, "stream string, version long", ["stream"])
             fresh = batch.join(held, "stream", "left").where(F.col("idx") >= F.coalesce("version", F.lit(0))).drop("version")
             handler(fresh).write.mode("overwrite").parquet(out)
         done = spark.read.parquet(out)
