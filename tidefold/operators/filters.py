@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.streams import is_index_stream
 
@@ -89,21 +90,30 @@ def guard_payload(df: DataFrame, limit: int = 1_000_000, data: str = "data") ->
     return df.where(~is_index_stream(F.col("stream")) & json).withColumns({"oversize": large, data: F.when(large, F.lit("")).otherwise(F.col(data))})
 
 
+def typed_body(body: Column, schema: str) -> Column:
+    """A struct of a contract's fields, each taken from a parsed body (VARIANT); what isn't there or of another type is null."""
+    fields = T.StructType.fromDDL(schema).fields
+    path = lambda name: f'$["{name}"]' if "'" in name else f"$['{name}']"
+    return F.struct(*[F.try_variant_get(body, path(f.name), f.dataType.simpleString()).alias(f.name) for f in fields])
+
+
 def decode(df: DataFrame, schemas: dict[str, str], data: str = "data") -> DataFrame:
     """Add a struct column for each known event type, named after it; rows of other types are left out.
 
-    idx and all other columns stay, so the result also serves where the index is needed beside the body.
+    Each body is parsed once, whatever the number of types, and its fields are read by the contract of its type. A
+    body that isn't JSON gives a struct of nulls, a null one a null. idx and all other columns stay, so the
+    result also serves where the index is needed beside the body.
     """
-    known = df.where(F.col("event_type").isin(*schemas))
-    return known.withColumns({t: F.when(F.col("event_type") == t, F.from_json(data, s)) for t, s in schemas.items()})
+    known = df.where(F.col("event_type").isin(*schemas)).withColumn("_body", F.try_parse_json(data))
+    return known.withColumns({t: F.when((F.col("event_type") == t) & F.col(data).isNotNull(), typed_body(F.col("_body"), s)) for t, s in schemas.items()}).drop("_body")
 
 
 def decode_strict(df: DataFrame, schemas: dict[str, str], data: str = "data") -> tuple[DataFrame, DataFrame]:
     """(decoded rows, rejected rows with a reason): unknown types and bodies that don't parse are rejects."""
     known = F.coalesce(F.col("event_type").isin(*schemas), F.lit(False))
+    parsed = df.withColumn("_body", F.try_parse_json(data))
     # A body that isn't JSON would come out as a struct of nulls.
-    json = F.try_parse_json(data).isNotNull()
-    parsed = df.withColumns({t: F.when((F.col("event_type") == t) & json, F.from_json(data, s)) for t, s in schemas.items()})
+    parsed = parsed.withColumns({t: F.when((F.col("event_type") == t) & F.col("_body").isNotNull(), typed_body(F.col("_body"), s)) for t, s in schemas.items()}).drop("_body")
     read = F.lit(False)
     for t in schemas:
         read = read | F.col(t).isNotNull()
@@ -111,8 +121,14 @@ def decode_strict(df: DataFrame, schemas: dict[str, str], data: str = "data") ->
     return parsed.where(known & read), parsed.where(~(known & read)).select(*df.columns, reason.alias("reason"))
 
 
-def decode_newest(df: DataFrame, decodable: Column) -> DataFrame:
-    """Of each stream the newest event that decodes (P10)."""
+def decode_newest(df: DataFrame, decodable: Column | dict[str, str], data: str = "data") -> DataFrame:
+    """Of each stream the newest event that decodes (P10).
+
+    ``decodable`` is a condition, or the contracts by type: then an event decodes if its type is known and its body
+    parses, and the result has the typed bodies.
+    """
+    if isinstance(decodable, dict):
+        df, decodable = decode_strict(df, decodable, data)[0], F.lit(True)
     rest = [c for c in df.columns if c != "stream"]
     return df.where(decodable).groupBy("stream").agg(F.max_by(F.struct(*rest), "idx").alias("e")).select("stream", "e.*")
 
@@ -159,8 +175,10 @@ def prunable(df: DataFrame, as_of: Column, ages: dict[str, int] | int = 30) -> D
 
 
 def rewrite_bodies(df: DataFrame, schema: str, rewrite, data: str = "data") -> DataFrame:
-    """Decode bodies with one contract and encode them with another; all other columns stay."""
-    return df.withColumn("_body", F.from_json(data, schema)).withColumn(data, F.to_json(rewrite(F.col("_body")))).drop("_body")
+    """Decode bodies with one contract and encode them with another; all other columns stay (P18). A null body stays null."""
+    parsed = df.withColumn("_parsed", F.try_parse_json(data))
+    body = parsed.withColumn("_body", F.when(F.col(data).isNotNull(), typed_body(F.col("_parsed"), schema)))
+    return body.withColumn(data, F.when(F.col(data).isNotNull(), F.to_json(rewrite(F.col("_body"))))).drop("_body", "_parsed")
 
 
 def span_chunk(df: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame]:

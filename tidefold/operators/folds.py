@@ -8,6 +8,7 @@ state machines are associative too: an event is a function on their states, and
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -294,15 +295,30 @@ def fold_periods(df: DataFrame, items: str = "items") -> tuple[DataFrame, DataFr
     return placed, state
 
 
-def fold_by_category(df: DataFrame, folds: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+@dataclass(frozen=True)
+class Entries:
+    """A fold whose view has an entry for each ``key`` of a stream's events: there while ``keep`` holds for its last event.
+
+    ``among`` tells the events that take part.
+    """
+
+    key: Column
+    keep: Column
+    among: Column
+
+
+def fold_by_category(df: DataFrame, folds: Mapping[str, Entries]) -> DataFrame:
     """(category, streams, entries) of views of several categories, other events counted as one row each.
 
-    ``folds`` gives for each category a function from its rows to one row per entry with ``stream``.
+    One pass over the log: each event goes to the fold of its category, and one aggregation has the state of
+    all, an entry of a stream under its key.
     """
-    out = None
+    key, keep, among = F.lit(None).cast("string"), F.lit(True), F.lit(True)
     for category, fold in folds.items():
-        rows = fold(df.where(F.col("category") == category))
-        one = rows.agg(F.countDistinct("stream").alias("streams"), F.count(F.lit(1)).alias("entries")).select(F.lit(category).alias("category"), "streams", "entries")
-        out = one if out is None else out.unionByName(one)
-    rest = df.where(~F.col("category").isin(*folds)).groupBy("category").agg(F.countDistinct("stream").alias("streams"), F.count(F.lit(1)).alias("entries"))
-    return out.unionByName(rest)
+        own = F.col("category") == category
+        key, keep, among = F.when(own, fold.key.cast("string")).otherwise(key), F.when(own, fold.keep).otherwise(keep), F.when(own, fold.among).otherwise(among)
+    rows = df.where(among).select("category", "stream", "idx", key.alias("_key"), keep.alias("_keep"))
+    state = rows.groupBy("category", "stream", "_key").agg(F.max_by("_keep", "idx").alias("_keep"), F.count(F.lit(1)).alias("_n"))
+    known = F.coalesce(F.col("category").isin(*folds), F.lit(False))
+    entries = state.where(F.col("_keep")).groupBy("category", "stream").agg(F.sum(F.when(known, 1).otherwise(F.col("_n"))).alias("_n"))
+    return entries.groupBy("category").agg(F.count("stream").alias("streams"), F.sum("_n").alias("entries"))

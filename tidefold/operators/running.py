@@ -43,9 +43,9 @@ def ordinals(rows: DataFrame, keys: list[str], order: list[str], out: str, sums:
     own = {f"_own{n}": F.coalesce(F.sum(x).over(ahead), F.lit(0)) for n, x in enumerate(sums.values())}
     own["_own"] = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)) - 1
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"), *[F.sum(x).alias(f"_c{n}") for n, x in enumerate(sums.values())])
+    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("__c"), *[F.sum(x).alias(f"__c{n}") for n, x in enumerate(sums.values())])
     names = ["", *map(str, range(len(sums)))]
-    before = counts.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("_slice").alias("_of"), *[F.coalesce(F.sum(f"_c{n}").over(earlier), F.lit(0)).alias(f"_before{n}") for n in names])
+    before = counts.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("_slice").alias("_of"), *[F.coalesce(F.sum(f"__c{n}").over(earlier), F.lit(0)).alias(f"_before{n}") for n in names])
     place = {k: n for n, k in enumerate(keys)}
     numbered = sliced.withColumns(own).join(before, same(keys, lambda k: F.col(f"_k{place[k]}")) & (F.col("_slice") == F.col("_of")))
     each = [(F.col(f"_own{n}") + F.col(f"_before{n}")).cast("long").alias(c) for n, c in zip(names, [out, *sums], strict=True)]
@@ -99,7 +99,7 @@ def in_pages(rows: DataFrame, keys: list[str], n: str, before: str, size: str, m
     own = F.struct(F.floor(F.col(n) / block).alias("_block"), F.lit(True).alias("_own"))
     ahead = F.struct((own["_block"] - 1).alias("_block"), F.lit(False).alias("_own"))
     copies = F.when((F.col(n) >= block) & (F.col(n) % block < most), F.array(own, ahead)).otherwise(F.array(own))
-    dealt = rows.withColumn("_c", F.explode(copies)).select(*rows.columns, "_c.*")
+    dealt = rows.withColumn("__c", F.explode(copies)).select(*rows.columns, "__c.*")
     in_order = [*keys, "_block"]
     deal = lambda df: df.repartition(*in_order).sortWithinPartitions(*in_order, n)
 

@@ -16,11 +16,13 @@ def read_all(df: DataFrame, fold: Callable[[DataFrame], DataFrame]) -> DataFrame
 def since_snapshot(df: DataFrame, snapshots: DataFrame, snapshot_type: str | None = None) -> DataFrame:
     """Events from each stream's snapshot version on, the seed state beside them in ``seed``.
 
-    Only snapshots of the given tag count: a new tag makes older ones invalid. Streams with a snapshot and
-    no later event come out as one row with a null idx.
+    Only snapshots of the given tag count: a new tag makes older ones invalid. Without a tag all count. Of several
+    snapshots of a stream that with the highest version is read, of equal versions that with the last tag. Streams
+    with a snapshot and no later event come out as one row with a null idx.
     """
     s = snapshots if snapshot_type is None else snapshots.where(F.col("snapshot_type") == snapshot_type)
-    s = s.select("stream", F.col("version").alias("_v"), F.col("state").alias("seed"))
+    newest = F.max_by(F.struct(F.col("version").alias("_v"), F.col("state").alias("seed")), F.struct("version", "snapshot_type"))
+    s = s.groupBy("stream").agg(newest.alias("_s")).select("stream", "_s.*")
     later = df.join(s, "stream", "left").where(F.col("_v").isNull() | (F.col("idx") >= F.col("_v")))
     bare = s.join(later.select("stream").distinct(), "stream", "left_anti")
     return later.drop("_v").unionByName(bare.drop("_v"), allowMissingColumns=True)

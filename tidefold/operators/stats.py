@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import ordinals
+
 
 def event_counts(df: DataFrame, handled: Column) -> DataFrame:
     """(category, event_type, handled, n) with subtotals (T1, T2); null keys stand for all."""
@@ -33,14 +35,40 @@ def by_outcome(df: DataFrame, outcome: str = "outcome") -> DataFrame:
     return df.groupBy(outcome).agg(F.count(F.lit(1)).alias("n"))
 
 
-def latency(df: DataFrame, duration: str, category: str = "category", percentiles: tuple[int, ...] = (50, 95, 99), accuracy: int = 10_000_000) -> DataFrame:
-    """(category, n, total, longest, mean, p50, p95, p99) with a row for all.
+def latency(df: DataFrame, duration: str, category: str = "category", percentiles: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """(category, n, total, longest, mean, p50, p95, p99) with a row for all, whose category is null.
 
-    Percentiles are exact to the rank up to ``accuracy`` values a category, and within 1 / accuracy of it beyond.
+    Percentiles are exact: values are numbered in order within their category and among all (``ordinals``), each over
+    many tasks, and those at the wanted ranks are taken. Where a rank error of a part of a percent will do, merge
+    ``sketches`` instead.
+    """
+    ways = F.array(F.struct(F.col(category).alias("_c"), F.lit(False).alias("_all")), F.struct(F.lit(None).cast(df.schema[category].dataType).alias("_c"), F.lit(True).alias("_all")))
+    rows = df.select(F.explode(ways).alias("_w"), F.col(duration).alias("_d")).select("_w.*", "_d")
+    keys = ["_c", "_all"]
+    totals = rows.groupBy(*keys).agg(F.count("_d").alias("n"), F.sum("_d").alias("total"), F.max("_d").alias("longest"), F.avg("_d").alias("mean"))
+    placed = ordinals(rows.where("_d is not null"), keys, ["_d"], "_at")
+    sizes = totals.select(F.col("_c").alias("_c2"), F.col("_all").alias("_all2"), "n")
+    placed = placed.join(sizes, F.col("_c").eqNullSafe(F.col("_c2")) & (F.col("_all") == F.col("_all2")))
+    rank = lambda p: F.greatest(F.floor((F.col("n") * p + 99) / 100) - 1, F.lit(0))
+    values = placed.groupBy("_c2", "_all2").agg(*[F.max(F.when(F.col("_at") == rank(p), F.col("_d"))).alias(f"p{p}") for p in percentiles])
+    joined = totals.join(values, F.col("_c").eqNullSafe(F.col("_c2")) & (F.col("_all") == F.col("_all2")), "left")
+    return joined.select(F.col("_c").alias(category), "n", "total", "longest", "mean", *[f"p{p}" for p in percentiles])
+
+
+def sketches(df: DataFrame, duration: str, key: str, *by: str, k: int = 1000) -> DataFrame:
+    """(by, n, total, longest, durations, keys): counts and mergeable sketches of durations (KLL) and keys (HLL).
+
+    The two sketches take some 30 kilobytes at most, whatever they have seen. Keep them by day and category, and merge what is asked for.
     """
     d = F.col(duration)
-    ranks = [F.percentile_approx(d, F.lit(p / 100), F.lit(accuracy)).alias(f"p{p}") for p in percentiles]
-    return df.rollup(category).agg(F.count(d).alias("n"), F.sum(d).alias("total"), F.max(d).alias("longest"), F.avg(d).alias("mean"), *ranks)
+    return df.groupBy(*by).agg(F.count(d).alias("n"), F.sum(d).alias("total"), F.max(d).alias("longest"), F.kll_sketch_agg_double(d.cast("double"), k).alias("durations"), F.hll_sketch_agg(F.col(key), 14).alias("keys"))
+
+
+def merged_sketches(parts: DataFrame, *by: str, percentiles: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """(by, n, total, longest, p50, p95, p99, distinct_keys) of sketches put together; without ``by``, of all."""
+    whole = parts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("longest").alias("longest"), F.kll_merge_agg_double("durations").alias("_d"), F.hll_union_agg("keys").alias("_k"))
+    ranks = [F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("_d", F.lit(p / 100))).alias(f"p{p}") for p in percentiles]
+    return whole.select(*by, "n", "total", "longest", *ranks, F.hll_sketch_estimate("_k").alias("distinct_keys"))
 
 
 def view_sizes(entries: DataFrame) -> DataFrame:

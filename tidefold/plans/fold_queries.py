@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import folds, snapshots, stats
+from ..operators.running import written
 from .base import EV, ev, query, table, typed
 
 
@@ -260,8 +261,9 @@ UNION ALL SELECT 'rest', count(DISTINCT stream), count(*) FROM ev WHERE user_id
 def fold_by_category(spark: SparkSession, sf: str) -> DataFrame:
     """Several categories in one pass, other events counted."""
     rows = ev(spark, sf).withColumn("category", F.element_at(F.array(F.lit("even"), F.lit("odd"), F.lit("rest")), (F.col("user_id") % 3 + 1).cast("int")))
-    favorites = lambda df: folds.fold_favorites(typed(df, {"click": "Favorited", "error": "Unfavorited"}), "k", "ts")
-    return folds.fold_by_category(rows, {"even": favorites, "odd": folds.versions})
+    kind = F.col("event_type")
+    favorites = folds.Entries(F.col("k"), kind == "click", kind.isin("click", "error"))
+    return folds.fold_by_category(rows, {"even": favorites, "odd": folds.Entries(F.lit("version"), F.lit(True), F.lit(True))})
 
 
 # Folds that begin at what a snapshot holds
@@ -347,6 +349,15 @@ def snapshot_read(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("stream").agg((F.coalesce(F.max("seed"), F.lit(0)) + F.coalesce(F.sum("amount"), F.lit(0))).cast("decimal(28,2)").alias("balance"))
 
 
+@query(f"WITH {EV} SELECT stream, CAST(sum(amount) AS DECIMAL(28,2)) AS balance, count(*) FILTER (idx >= 20) AS later FROM ev GROUP BY 1")
+def snapshot_read_any_tag(spark: SparkSession, sf: str) -> DataFrame:
+    """Of two snapshots of a stream under different tags the newer one is read, and each later event once."""
+    e = ev(spark, sf)
+    old = lambda n: e.where(F.col("idx") < n).groupBy("stream").agg((F.max("idx") + 1).alias("version"), F.sum("amount").alias("state")).withColumn("snapshot_type", F.lit(f"Sum{n}"))
+    rows = snapshots.since_snapshot(e, old(10).unionByName(old(20)))
+    return rows.groupBy("stream").agg((F.coalesce(F.max("seed"), F.lit(0)) + F.coalesce(F.sum("amount"), F.lit(0))).cast("decimal(28,2)").alias("balance"), F.count("idx").alias("later"))
+
+
 @query(f"WITH {EV} SELECT stream, max(idx) + 1 AS version, max(ts) AS last_ts FROM ev GROUP BY 1")
 def snapshot_free_read(spark: SparkSession, sf: str) -> DataFrame:
     """Every event is folded, snapshots or not."""
@@ -427,6 +438,20 @@ def latency_by_category(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("event_type").alias("category"), "n", F.col("total").cast("decimal(28,2)").alias("total"), "longest", F.round("mean", 4).cast("decimal(18,4)").alias("mean"), "p50", "p95", "p99")
 
 
+@query(f"""WITH {EV} SELECT event_type AS category, count(*) AS n, max(amount) AS longest, true AS p50_within, true AS p95_within, true AS p99_within, true AS users_within FROM ev GROUP BY 1""")
+def latency_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches by day and type, merged over days; percentiles within 1 % of the rank, distinct users within 5 %."""
+    e = ev(spark, sf).withColumn("day", F.to_date("ts"))
+    kept = written(stats.sketches(e, "amount", "stream", "day", "event_type"), "sketches")
+    merged = stats.merged_sketches(kept, "event_type")
+    rows = e.select("event_type", "stream", F.col("amount").cast("double").alias("x")).join(F.broadcast(merged.drop("n", "total", "longest")), "event_type")  # a row for each type
+    below = lambda p: F.count_if(F.col("x") < F.col(f"p{p}")) <= (p + 1) / 100 * F.count(F.lit(1))
+    up_to = lambda p: F.count_if(F.col("x") <= F.col(f"p{p}")) >= (p - 1) / 100 * F.count(F.lit(1))
+    users = F.abs(F.first("distinct_keys") - F.countDistinct("stream")) <= 0.05 * F.countDistinct("stream")
+    checked = rows.groupBy("event_type").agg(*[(below(p) & up_to(p)).alias(f"p{p}_within") for p in (50, 95, 99)], users.alias("users_within"))
+    return checked.join(merged.select("event_type", "n", "longest"), "event_type").withColumnRenamed("event_type", "category")
+
+
 @query(f"{TODO_LISTS} SELECT count(DISTINCT stream) AS streams, count(*) AS entries FROM items")
 def view_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Of the to-do lists."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,6 +161,15 @@ def start_position(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
 
 
+@query("SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-10') AS from_time, count(*) FILTER (ts >= TIMESTAMP '2024-01-20' - INTERVAL 36 HOUR) AS from_interval FROM events")
+def start_time(spark: SparkSession, sf: str) -> DataFrame:
+    """From a time on, and from an interval before another on."""
+    e, count = table(spark, sf, "events"), F.count(F.lit(1))
+    at = log.from_position(e, datetime(2024, 1, 10, tzinfo=timezone.utc)).agg(count.alias("from_time"))
+    back = log.from_position(e, timedelta(hours=36), as_of=datetime(2024, 1, 20, tzinfo=timezone.utc)).agg(count.alias("from_interval"))
+    return at.join(back, F.lit(True))  # a row each
+
+
 @query("SELECT concat('User-', user_id) AS stream, 'User' AS category, CAST(user_id AS VARCHAR) AS stream_id, event_id AS idx, event_type, props AS data, ts FROM events")
 def legacy_documents(spark: SparkSession, sf: str) -> DataFrame:
     """S6."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,12 +38,17 @@ def run_until_caught_up(query) -> None:
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def from_position(df: DataFrame, start: int | str | float, position: str = "position") -> DataFrame:
+def from_position(df: DataFrame, start: int | str | float | datetime | timedelta, position: str = "position", ts: str = "ts", as_of: datetime | None = None) -> DataFrame:
     """Rows from a start position.
 
     ``"start"``: all; ``"tail"``: none of those that are there now; an integer: that position and later;
-    a float from 0 to 1: that share of the head's position and later.
+    a float from 0 to 1: that share of the head's position and later; a time: events of it and later; an interval:
+    those of so long before ``as_of`` (now, if not given) and later. Times are filters that reach the scan.
     """
+    if isinstance(start, timedelta):
+        start = (as_of or datetime.now(timezone.utc)) - start
+    if isinstance(start, datetime):
+        return df.where(F.col(ts) >= F.lit(start))
     if start == "start":
         return df
     if isinstance(start, int):
