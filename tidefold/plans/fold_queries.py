@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import folds, snapshots, stats
 from ..operators.running import written
 from .base import EV, ev, query, table, typed
@@ -133,6 +134,21 @@ def fold_associative(spark: SparkSession, sf: str) -> DataFrame:
     return folds.fold_combined(ev(spark, sf), lift, combine, block=8).select("stream", "version", "state.balance", "state.last_type", "state.steps")
 
 
+@query(f"""WITH {EV}, g AS (SELECT stream, event_type, idx - row_number() OVER (PARTITION BY stream, event_type ORDER BY idx) AS k FROM ev), c AS (SELECT stream, count(*) AS n FROM g GROUP BY stream, event_type, k)
+SELECT stream, max(idx) + 1 AS version, (SELECT max(n) FROM c WHERE c.stream = ev.stream) AS longest FROM ev GROUP BY stream""")
+def fold_function(spark: SparkSession, sf: str) -> DataFrame:
+    """A fold of any kind as a table function in SQL: the longest row of events of one type."""
+
+    def evolve(state: tuple, e) -> tuple:
+        last, now, longest = state
+        now = now + 1 if e.event_type == last else 1
+        return e.event_type, now, max(longest, now)
+
+    tables.register_fold(spark, "longest_streak", (None, 0, 0), evolve, "long", result=lambda s: s[2])
+    events = ev(spark, sf).select("stream", "idx", "event_type")
+    return spark.sql("SELECT stream, version, state AS longest FROM longest_streak(TABLE({events}))", events=events)
+
+
 GROUP = """rows AS (SELECT o_custkey, o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS idx FROM orders)"""
 
 

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import streams
+from ..functions import streams, tables
 from ..operators import filters, lifecycle
 from ..sources import log, sinks
 from .base import EV, ev, query, table, typed
@@ -151,6 +151,21 @@ def span_chunk(spark: SparkSession, sf: str) -> DataFrame:
     return taken.groupBy("stream").agg(F.count(F.lit(1)).alias("n")).join(after, "stream")
 
 
+@query(f"""WITH {EV}, d AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'dump' ELSE 'change feed' END AS form, position % 7 = 0 AS torn FROM ev)
+SELECT form, CASE WHEN NOT torn THEN stream END AS stream, count(*) FILTER (NOT torn) AS n, sum(idx) FILTER (NOT torn)::BIGINT AS sum_idx, count(*) FILTER (torn) AS rejects FROM d GROUP BY ALL""")
+def feed_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of two forms through one table function in SQL; every seventh has lost its end and is a reject."""
+    e = ev(spark, sf)
+    whole = F.when(F.col("user_id") % 2 == 0, F.to_json(F.struct("stream", "idx", "event_type", "data"))).otherwise(F.to_json(F.struct(F.col("stream").alias("s"), F.col("idx").alias("i"), F.col("event_type").alias("t"), F.col("data").alias("d"))))
+    docs = e.select("user_id", F.when(F.col("position") % 7 == 0, F.left(whole, F.length(whole) - 1)).otherwise(whole).alias("value"))
+    tables.register_parser(spark)
+    parsed = spark.sql(
+        "SELECT 'dump' AS form, * FROM parse_feed(TABLE({dump}), 'dump') UNION ALL SELECT 'change feed', * FROM parse_feed(TABLE({feed}), 'change feed')",
+        dump=docs.where("user_id % 2 = 0").select("value"), feed=docs.where("user_id % 2 = 1").select("value"),
+    )
+    return parsed.groupBy("form", "stream").agg(F.count("idx").alias("n"), F.sum("idx").alias("sum_idx"), F.count("reason").alias("rejects"))
+
+
 # Sources and sinks
 
 
