@@ -132,6 +132,23 @@ def test_exactly_once_model(spark):
             assert rows(epochs.ingest_exactly_once(none, df, 5), "epoch", "req_seq", "item_id") == want
 
 
+def test_exactly_once_of_many_series(spark):
+    """Held items, origins anywhere, repeats within and between requests; one series has most requests, one is null."""
+    rng = random.Random(12)
+    series = {"hot": 150, None: 20, **{f"s{n}": rng.randrange(1, 12) for n in range(6)}}
+    held, asked, want = [], [], []
+    for s, n in series.items():
+        have = [(e, f"i{i}") for e in range(3) for i in rng.sample(range(60), rng.choice([0, 2, 5]))]
+        requests = [(q, rng.randrange(4), [f"i{rng.randrange(400 if s == 'hot' else 60)}" for _ in range(rng.randrange(1, 6))]) for q in range(n)]
+        held += [(s, e, i) for e, i in have]
+        asked += [(s, q, o, k, i) for q, o, x in requests for k, i in enumerate(x)]
+        want += [(s, *r) for r in one_at_a_time(have, requests, 5)]
+    held_df = spark.createDataFrame(held, "series string, epoch int, item_id string")
+    df = spark.createDataFrame(rng.sample(asked, len(asked)), "series string, req_seq int, origin_epoch int, pos int, item_id string").repartition(3)
+    assert rows(epochs.ingest_in_order(held_df, df, 5), "series", "epoch", "req_seq", "item_id") == sorted(want, key=str)
+    assert epochs.ingest_in_order(held_df, df.limit(0), 5).count() == 0
+
+
 def test_retry_inserts_nothing(spark):
     df = spark.createDataFrame([("s", 0, 0, n, f"i{n}") for n in range(12)], "series string, req_seq int, origin_epoch int, pos int, item_id string")
     none = spark.createDataFrame([], "series string, epoch int, item_id string")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decisions import first_of
-from .running import in_pages, ordinals, written
+from .running import in_pages, ordinals, same, written
 
 
 def soft_epochs(batches: DataFrame, cap: int, active: DataFrame | None = None) -> DataFrame:
@@ -59,35 +60,51 @@ def ingest_exactly_once(held: DataFrame, requests: DataFrame, cap: int, active:
     return fresh.join(soft_epochs(sizes, cap, active).select("series", "req_seq", "epoch"), ["series", "req_seq"]).select("series", "epoch", "req_seq", "pos", "item_id")
 
 
+def _without(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of which ``other`` has none with the same keys; null keys are equal."""
+    other = other.select(*[F.col(k).alias(f"_x_{k}") for k in keys]).distinct()
+    return rows.join(other, same(keys, lambda k: F.col(f"_x_{k}")), "left_anti")
+
+
 def ingest_in_order(held: DataFrame, requests: DataFrame, cap: int) -> DataFrame:
-    """The same, a request at a time within each series, for origins that run ahead of the open epoch.
+    """The same, as if a request at a time came to each series, for origins that run ahead of the open epoch.
 
-    A task holds the requests of a series and what the series' epochs from their lowest origin on hold.
+    An epoch can be settled for all requests at once when the one before it is: it takes the new items of those that
+    come to it, in order, each item once, until it has ``cap`` or more; what comes later passes on, without what it
+    holds. So the epochs from a series' lowest origin to its highest origin or held epoch take a round of
+    joins each, for all series together, and what is left then goes to new epochs by ``soft_epochs``. Nothing
+    of a series is brought to one task. A null series is a series, a null item an item.
     """
-    low = requests.groupBy("series").agg(F.min("origin_epoch").alias("_low"))
-    held = held.join(low, "series").where(F.col("epoch") >= F.col("_low")).select(F.col("series").alias("_series"), F.col("epoch").alias("_epoch"), F.col("item_id").alias("_item"))
-
-    def run(key: tuple, have: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        epochs: dict[int, set] = {}
-        for e, i in zip(have.get("_epoch", ()), have.get("_item", ()), strict=True):
-            epochs.setdefault(int(e), set()).add(i)
-        out = []
-        for (seq, origin), rows in asked.sort_values(["req_seq", "pos"]).groupby(["req_seq", "origin_epoch"], sort=True):
-            left, at = dict(zip(rows.item_id[::-1], rows.pos[::-1], strict=True)), int(origin)
-            left = {i: left[i] for i in dict.fromkeys(rows.item_id)}
-            while left:
-                content = epochs.setdefault(at, set())
-                left = {i: p for i, p in left.items() if i not in content}
-                if len(content) < cap:
-                    out += [(key[0], at, seq, p, i) for i, p in left.items()]
-                    content.update(left)
-                    break
-                at += 1
-        return pd.DataFrame(out, columns=["series", "epoch", "req_seq", "pos", "item_id"])
-
-    item = requests.schema["item_id"].dataType.simpleString()
-    series = requests.schema["series"].dataType.simpleString()
-    return held.groupBy("_series").cogroup(requests.groupBy("series")).applyInPandas(run, f"series {series}, epoch int, req_seq int, pos int, item_id {item}")
+    key, order = ["series", "item_id"], ["req_seq", "origin_epoch", "pos"]
+    spans = requests.groupBy("series").agg(F.min("origin_epoch").alias("_low"), F.max("origin_epoch").alias("_high"))
+    known = held.select(F.col("series").alias("_series"), F.col("epoch").alias("_epoch"), F.col("item_id").alias("_item")).distinct()
+    tops = known.groupBy("_series").agg(F.max("_epoch").alias("_top"))
+    spans = spans.join(tops, F.col("series").eqNullSafe(F.col("_series")), "left")
+    spans = written(spans.select(F.col("series").alias("_of"), "_low", F.greatest("_high", "_top").alias("_high")), "epoch-spans")
+    of = F.col("series").eqNullSafe(F.col("_of"))
+    known = written(known.join(spans, F.col("_series").eqNullSafe(F.col("_of"))).where(F.col("_epoch") >= F.col("_low")).select(F.col("_series").alias("series"), F.col("_item").alias("item_id"), (F.col("_epoch") - F.col("_low")).alias("_round")), "held-items")
+    asked = written(requests.select("series", *order, "item_id").join(spans, of).withColumn("_round", F.col("origin_epoch") - F.col("_low")).drop("_of", "_low", "_high"), "requests")
+    rounds = spans.agg(F.max(F.col("_high") - F.col("_low"))).first()[0]
+    columns = ["series", "epoch", "req_seq", "pos", "item_id"]
+    placed, left = [], asked.limit(0).drop("_round")
+    for n in range(-1 if rounds is None else rounds + 1):
+        have = known.where(F.col("_round") == n)
+        new = _without(asked.where(F.col("_round") == n).drop("_round").union(left), have, key)
+        first = written(first_of(new, key, order), "first-items")
+        sizes = first.groupBy("series", "req_seq", "origin_epoch").agg(F.count(F.lit(1)).alias("_n"))
+        full = have.groupBy(F.col("series").alias("_of")).agg(F.count(F.lit(1)).alias("_full"))
+        sizes = ordinals(sizes, ["series"], ["req_seq", "origin_epoch"], "_at", {"_before": F.col("_n")}).join(full, of, "left")
+        late = sizes.where(F.col("_before") + F.coalesce("_full", F.lit(0)) >= cap)
+        taken = written(_without(first, late, ["series", "req_seq", "origin_epoch"]), "taken-items")
+        placed.append(taken.join(spans, of).withColumn("epoch", (F.col("_low") + n).cast("int")).select(*columns))
+        left = written(_without(new, taken, key), "left-items")
+    first = written(first_of(left, key, order), "first-items")
+    request = F.struct("req_seq", "origin_epoch")
+    batches = first.groupBy("series", request.alias("req_seq")).agg(F.count(F.lit(1)).alias("n"))
+    active = spans.select(F.col("_of").alias("series"), (F.lit(rounds or 0) + F.col("_low") + 1).alias("epoch"), F.lit(0).alias("fill"))
+    epoch = soft_epochs(batches, cap, active).select(F.col("series").alias("_of"), F.col("req_seq").alias("_req"), "epoch")
+    rest = first.join(epoch, of & (request == F.col("_req"))).select(*columns)
+    return reduce(DataFrame.union, placed, rest)
 
 
 def strict_epochs(items: DataFrame, key: str, order: list[str], cap: int, active: DataFrame | None = None) -> DataFrame:
