@@ -3,9 +3,11 @@
 import glob
 import json
 import re
+import shutil
 import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +112,43 @@ def test_writers_of_different_buckets_overlap(spark, tmp_path):
         assert rows(sinks.read_view(spark, path, spark.createDataFrame([], "stream string, version long").schema)) == sorted((k, n) for k in of)
 
 
+def test_append_by_heads(spark, tmp_path):
+    """A batch that comes again adds nothing, before and after the heads have moved; gaps wait; other jobs' files stay."""
+    path, heads = str(tmp_path / "log"), str(tmp_path / "heads")
+    e = events(spark, 60, 3)
+    held = lambda: rows(log.read_log(spark, path), "stream", "idx")
+    want = lambda cond: rows(e.where(cond), "stream", "idx")
+    assert sinks.append_batch(e.where("idx < 5"), path, heads, "a-0", 4) == 15
+    assert sinks.append_batch(e.where("idx < 5"), path, heads, "a-0", 4) == 0  # all of it again
+    assert sinks.append_batch(e.where("idx >= 3 and idx < 8 or idx = 11"), path, heads, "a-1", 4) == 9
+    assert held() == want("idx < 8")
+    before = {f: Path(f).read_bytes() for f in glob.glob(f"{heads}/**/part-*", recursive=True)}
+    assert sinks.append_batch(e.where("idx >= 8 and idx < 12"), path, heads, "b-0", 4) == 12
+    for f in glob.glob(f"{heads}/**/*", recursive=True):  # the driver was lost before the heads moved
+        if Path(f).is_file() and f not in before:
+            Path(f).unlink()
+    for f, data in before.items():
+        Path(f).write_bytes(data)
+    spark.catalog.clearCache()
+    assert sinks.append_batch(e.where("idx >= 8 and idx < 12"), path, heads, "b-0", 4) == 12
+    assert held() == want("idx < 12")
+
+
+def test_ingest_again(spark, tmp_path):
+    src, held = str(tmp_path / "src"), str(tmp_path / "held")
+    items = spark.createDataFrame([(n % 7, n) for n in range(30)], "item long, n long")
+    for a, b in ((0, 10), (5, 20), (18, 30)):
+        items.where(f"n >= {a} and n < {b}").coalesce(1).write.mode("append").parquet(src)
+    feed = lambda: spark.readStream.schema("item long, n long").option("maxFilesPerTrigger", 1).parquet(src)
+    for c in ("c1", "c2"):
+        tables.ingest_job(feed(), held, str(tmp_path / c), ["item"], ["n"], 4).awaitTermination()
+    first = rows(spark.read.parquet(held), "item", "n")
+    assert first == [(n, n) for n in range(7)]
+    shutil.rmtree(f"{tmp_path}/c1/commits")  # all batches of a job come again
+    tables.ingest_job(feed(), held, str(tmp_path / "c1"), ["item"], ["n"], 4).awaitTermination()
+    assert rows(spark.read.parquet(held), "item", "n") == first
+
+
 def test_seeded_index(spark, tmp_path):
     """States are combined with new events only, without any log; what is missing is an error then, or read from the log."""
     e = events(spark, 60, 3).withColumn("category", F.lit("User"))

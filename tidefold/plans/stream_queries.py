@@ -207,3 +207,22 @@ def stream_seeded_index(spark: SparkSession, sf: str) -> DataFrame:
     tables.seeded_index_job(tail, view, lift, combine, work_path(spark, "index-state"), source, buckets=8).awaitTermination()
     rows = sinks.read_view(spark, view, spark.createDataFrame([], "stream string, version long, state struct<n:long,total:long,last_type:string>").schema)
     return rows.select("stream", "version", "state.*")
+
+
+@query(f"WITH {EV} SELECT stream, count(*) AS n, max(idx) AS last_idx, count(DISTINCT idx) AS distinct_idx FROM ev GROUP BY 1")
+def stream_append(spark: SparkSession, sf: str) -> DataFrame:
+    """K1, L1, M7: a log archived in batches of which some overlap, by heads of its streams; twice, by two jobs."""
+    source, copy, heads = _written(spark, sf, "idx < 15", "idx >= 10 and idx < 25", "idx >= 20"), work_path(spark, "copy"), work_path(spark, "heads")
+    for _ in range(2):
+        tables.append_job(log.tail_log(spark, source, max_files=8), copy, work_path(spark, "append-state"), heads=heads, buckets=8).awaitTermination()
+    return log.read_log(spark, copy).groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("last_idx"), F.countDistinct("idx").alias("distinct_idx"))
+
+
+@query("SELECT user_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events GROUP BY ALL")
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of a feed, each held once, whatever batch brings it again; twice, by two jobs."""
+    source, held = _written(spark, sf, "idx < 20", "idx >= 15"), work_path(spark, "held")
+    for _ in range(2):
+        items = log.tail_log(spark, source, max_files=8).select(F.col("stream_id").cast("long").alias("user_id"), F.get_json_object("data", "$.k").cast("int").alias("k"), "position")
+        tables.ingest_job(items, held, work_path(spark, "ingest-state"), ["user_id", "k"], ["position"], buckets=8).awaitTermination()
+    return spark.read.parquet(held).select("user_id", "k")

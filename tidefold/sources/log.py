@@ -7,6 +7,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.streams import parse_stream
 from ..operators.running import ordinals
@@ -22,7 +23,8 @@ def _wanted(df: DataFrame, categories: Iterable[str] | None, streams: Iterable[s
 
 def read_log(spark: SparkSession, path: str, categories: Iterable[str] | None = None, streams: Iterable[str] | None = None, tranches: Iterable[str] | None = None) -> DataFrame:
     """Events of the given categories, streams and tranches; on logs partitioned by category only their files are read."""
-    return _wanted(spark.read.schema(EVENT_LOG).parquet(path), categories, streams, tranches)
+    rows = spark.read.schema(EVENT_LOG).parquet(path)
+    return _wanted(rows.select(*[f.name for f in T.StructType.fromDDL(EVENT_LOG)]), categories, streams, tranches)
 
 
 def tail_log(spark: SparkSession, path: str, categories: Iterable[str] | None = None, tranches: Iterable[str] | None = None, max_files: int | None = None, fmt: str = "parquet", schema: str = EVENT_LOG, **options: str) -> DataFrame:

@@ -38,21 +38,18 @@ def append_events(df: DataFrame, path: str, contiguous: bool = True) -> int:
     """Append the events whose (stream, idx) the log lacks; returns how many (K1).
 
     With ``contiguous``, events that would leave a gap after a stream's last index are not appended;
-    they can come again once what precedes them is there.
+    they can come again once what precedes them is there. Reads the keys of the categories that it touches; for
+    many small batches take ``append_batch``.
     """
-    spark = df.sparkSession
     fresh = df.dropDuplicates(["stream", "idx"])
-    if exists(spark, path):
-        held = touched(spark.read.parquet(path), fresh).select("stream", "idx")
+    if exists(df.sparkSession, path):
+        held = touched(df.sparkSession.read.parquet(path), fresh).select("stream", "idx")
         fresh = fresh.join(held, ["stream", "idx"], "left_anti")
         heads = held.groupBy("stream").agg((F.max("idx") + 1).alias("_next"))
         fresh = fresh.join(heads, "stream", "left").withColumn("_next", F.coalesce("_next", F.lit(0)))
     else:
         fresh = fresh.withColumn("_next", F.lit(0))
-    if contiguous:
-        place = F.row_number().over(Window.partitionBy("stream").orderBy("idx")) - 1
-        fresh = fresh.withColumn("_place", place).where(F.col("idx") == F.col("_next") + F.col("_place")).drop("_place")
-    fresh = fresh.drop("_next").persist()
+    fresh = (_without_gaps(fresh) if contiguous else fresh).drop("_next").persist()
     n = fresh.count()
     if n:
         fresh.write.mode("append").partitionBy("category").parquet(path)
@@ -60,6 +57,32 @@ def append_events(df: DataFrame, path: str, contiguous: bool = True) -> int:
     return n
 
 
+def _without_gaps(fresh: DataFrame) -> DataFrame:
+    """Events that follow each other from their stream's ``_next`` on."""
+    place = F.row_number().over(Window.partitionBy("stream").orderBy("idx")) - 1
+    return fresh.withColumn("_place", place).where(F.col("idx") == F.col("_next") + F.col("_place")).drop("_place")
+
+
+def append_batch(df: DataFrame, path: str, heads: str, batch: str, buckets: int = BUCKETS) -> int:
+    """Append what the log lacks of a numbered batch, by the next index of each stream, kept as a view at ``heads`` (K1, M7).
+
+    Reads the heads of the batch's streams and nothing of the log. The rows are files of the batch's own, so a
+    batch that comes again after they were written, whether or not the heads have moved, changes nothing. Events
+    that would leave a gap are left out, and can come again later. Returns how many the batch added.
+    """
+    spark = df.sparkSession
+    kind = spark.createDataFrame([], "stream string, version long").schema
+    fresh = df.dropDuplicates(["stream", "idx"])
+    known = held_rows(fresh.select("stream").distinct(), heads, kind, ["stream"], buckets).select("stream", F.col("version").alias("_next"))
+    fresh = fresh.join(known, "stream", "left").withColumn("_next", F.coalesce("_next", F.lit(0))).where(F.col("idx") >= F.col("_next"))
+    rows = written(_without_gaps(fresh).drop("_next"), "batch")
+    n = rows.count()
+    if n:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("category", "batch").parquet(path)
+        upsert_view(rows.groupBy("stream").agg((F.max("idx") + 1).alias("version")), heads, ["stream"], buckets=buckets)
+    return n
+
+
 def _bucket(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 

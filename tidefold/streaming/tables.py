@@ -24,11 +24,24 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def append_job(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Archive or sync as a stream: appends by key and index (L1, L3, K1, M7)."""
+def _job(checkpoint: str, number: int) -> str:
+    """The name of a query's batch, the same whenever it comes again."""
+    return f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}-{number}"
 
-    def handle(batch: DataFrame, _: int) -> None:
-        sinks.append_events(transform(batch) if transform else batch, path)
+
+def append_job(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, heads: str | None = None, buckets: int = sinks.BUCKETS) -> StreamingQuery:
+    """Archive or sync as a stream: appends by key and index (L1, L3, K1, M7).
+
+    With ``heads``, a view of the next index of each stream, a batch reads that of its own streams and nothing of the
+    log that it adds to.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        rows = transform(batch) if transform else batch
+        if heads is None:
+            sinks.append_events(rows, path)
+        else:
+            sinks.append_batch(rows, path, heads, _job(checkpoint, number), buckets)
 
     return run_batches(stream, handle, checkpoint)
 
@@ -86,10 +99,9 @@ def handler_job(stream: DataFrame, handler: Callable[[DataFrame], DataFrame], po
     A batch's outcomes are written under the job's and the batch's number before positions move. A batch
     that comes again after they were written isn't handled again: positions move on from what is there.
     """
-    job = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark, out = batch.sparkSession, f"{out_path}/job={job}/batch={number}"
+        spark, out = batch.sparkSession, f"{out_path}/batch={_job(checkpoint, number)}"
         if not sinks.exists(spark, out):
             held = sinks.held_rows(batch.select("stream").distinct(), positions_path, "stream string, version long", ["stream"])
             fresh = batch.join(held, "stream", "left").where(F.col("idx") >= F.coalesce("version", F.lit(0))).drop("version")
@@ -100,12 +112,21 @@ def handler_job(stream: DataFrame, handler: Callable[[DataFrame], DataFrame], po
     return run_batches(stream, handle, checkpoint)
 
 
-def ingest_job(stream: DataFrame, held_path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """Items that aren't held yet are appended, each once, however often a batch comes."""
+def ingest_job(stream: DataFrame, held_path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = sinks.BUCKETS) -> StreamingQuery:
+    """Items that aren't held yet are appended, each once, however often a batch comes.
 
-    def handle(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        held = spark.read.parquet(held_path).select(*keys) if sinks.exists(spark, held_path) else spark.createDataFrame([], batch.select(*keys).schema)
-        decisions.append_new(held, batch, keys, order).write.mode("append").parquet(held_path)
+    What is held is partitioned by buckets of its keys, and a batch reads those of its items. Its own are
+    files under the batch's name: when it comes again, they don't count as held and are written again.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        name = _job(checkpoint, number)
+        rows = written(batch.withColumn("bucket", sinks._bucket(keys, buckets)), "batch")
+        held = rows.limit(0).select(*keys)
+        if sinks.exists(rows.sparkSession, held_path):
+            some = [r[0] for r in rows.select("bucket").distinct().collect()]  # as many as there are buckets, at most
+            held = rows.sparkSession.read.parquet(held_path).where(F.col("bucket").isin(some) & (F.col("batch") != name)).select(*keys)
+        new = decisions.append_new(held, rows, keys, order).withColumn("batch", F.lit(name))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(held_path)
 
     return run_batches(stream, handle, checkpoint)
