@@ -1,5 +1,8 @@
 """Whole results on planted cases: what lies near the limits of a rule is found too."""
 
+import itertools
+import math
+
 import numpy as np
 
 import corpus_pipeline
@@ -110,3 +113,35 @@ def test_all_diagonals(spark, monkeypatch):
     frames = (spark.createDataFrame([(k, " ".join(map(str, v))) for k, v in x.items()], f"{name} long, text string") for x, name in ((docs, "doc_id"), (items, "item_id")))
     got = {(r.id, n) for r in decontam.report(*frames).collect() for n in r.item_ids}
     assert len(want) > 200 and got == want
+
+
+def test_masks_miss_nothing():
+    """Every choice of substituted words that the rule lets pass, and every stretch that it accepts, has a window that a mask fits."""
+
+    def fits(masks, agreeing):
+        return any(all(at + k in agreeing for k in mask) for mask in masks for at in agreeing)
+
+    light, others = decontam.MASKS[:1], decontam.MASKS[1:]
+    for n in range(decontam.SHORTEST, 18):
+        masks = light if n < decontam.LONG else others
+        gone = n - max(decontam.LEAST, math.ceil(decontam.SHARE * n - 1e-9))
+        assert all(fits(masks, set(range(n)) - set(x)) for x in itertools.combinations(range(n), gone))
+    # Up to 29 words, by bits: a window fits if no place that its mask looks at is among the substituted ones.
+    for n in range(18, 24):
+        gone = n - max(decontam.LEAST, math.ceil(decontam.SHARE * n - 1e-9))
+        sets = np.fromiter((sum(1 << i for i in x) for x in itertools.combinations(range(n), gone)), np.int64)
+        for mask in others:
+            for at in range(n - mask[-1]):
+                sets = sets[sets & sum(1 << (at + k) for k in mask) != 0]
+        assert not len(sets)
+
+    def stretches(so_far, score, place):
+        if len(so_far) == decontam.STRETCH:
+            yield set(so_far)
+            return
+        yield from stretches([*so_far, place], score + 1, place + 1)
+        if score > 2:
+            yield from stretches(so_far, score - 2, place + 1)
+
+    assert all(fits(masks, x) for x in stretches([0], 1, 1) for masks in (light, others))
+    assert all(mask[-1] >= len(mask) for mask in decontam.MASKS)
