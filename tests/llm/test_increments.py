@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_edges import docs  # noqa: F401
-from tidefold.llm import licenses, packing, periodic, queries, secrets, trie
+from tidefold.llm import lattice, licenses, packing, periodic, queries, secrets, trie
 from tidefold.llm.common import new_path
 
 PEM = secrets.Rule("pem", "1", r"-----BEGIN[A-Z]+", 0, 14)
@@ -178,3 +178,19 @@ def test_extensions():
         i, j = i[i != j], j[i != j]
         plain = [next((k for k in range(len(s)) if max(a, b) + k >= len(s) or s[a + k] != s[b + k]), 0) for a, b in zip(i, j, strict=True)]
         assert ahead.of(i, j).tolist() == plain
+
+
+@pytest.mark.parametrize(("kind", "labels"), [("double", [1.2, 1.7, 1.2, None]), ("string", ["a", "b", "a", None]), ("boolean", [True, False, True, None]), ("bigint", [2**53, 2**53 + 1, 2**53, None]), ("array<int>", [[1], [2], [1], None])])
+def test_labels_as_they_are(spark, kind, labels):
+    """Labels of any type link equal ones only; null ids and labels link with nothing."""
+    df = spark.createDataFrame([(n, [1.0, 0.0, 0.1], x) for n, x in enumerate(labels)] + [(None, [1.0, 0.0, 0.1], labels[0])], f"vec_id long, embedding array<double>, label {kind}")
+    got = sorted(((r.id, r.n_links, r.component_id, r.kept) for r in lattice.near_duplicates(df).collect()), key=str)
+    assert got == [(0, 1, 0, True), (1, 0, 1, True), (2, 1, 0, False), (3, 0, 3, True), (None, 0, None, True)]
+
+
+def test_a_cell_of_several_kinds():
+    """Payloads of other lengths or levels in one cell are told apart, and none is left out."""
+    head = lambda level: bytes(8 * lattice.HEAD - 8) + level.to_bytes(8, "little")
+    payloads = [head(0) + bytes(16), head(1) + bytes(16), head(0) + bytes(24), head(0) + bytes(16)]
+    got = [(length - 8 * lattice.HEAD, level, places.tolist()) for length, level, places in lattice._alike(payloads)]
+    assert got == [(16, 0, [0, 3]), (16, 1, [1]), (24, 0, [2])]

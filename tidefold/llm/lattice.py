@@ -70,8 +70,8 @@ class Level:
 #: Tables for a recall of 0.9998 and more at cosine 0.93, as measured in 16, 64 and 768 dimensions.
 LEVELS = (Level(100_000, 1, 4, 1.8), Level(10_000_000, 2, 14, 1.8), Level(1 << 62, 3, 28, 2.0))
 PROBES = 8
-#: Long integers before the components of a payload: label, copies, level.
-HEAD = 3
+#: Long integers before the components of a payload: two hashes of the label, copies, level.
+HEAD = 4
 
 
 class Lattice:
@@ -106,27 +106,34 @@ class Lattice:
         return np.stack(own, axis=1), np.stack(probed, axis=1)
 
 
-def _unpack(payloads: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(label, copies, level, unit vectors) of payloads of one length: HEAD long integers, then the components."""
+def _unpack(payloads: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label hashes, copies, unit vectors) of payloads of one length: HEAD long integers, then the components."""
     raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), -1)
     head = np.ascontiguousarray(raw[:, : 8 * HEAD]).view("<i8")
     x = np.ascontiguousarray(raw[:, 8 * HEAD :]).view(kind).astype(np.float64)
     x /= np.abs(x).max(axis=1)[:, None]
-    return head[:, 0].copy(), head[:, 1].copy(), head[:, 2].copy(), x / np.sqrt((x * x).sum(axis=1))[:, None]
+    return head[:, :2].copy(), head[:, 2].copy(), x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _alike(payloads: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(length, level, places) of payloads that can be compared: a cell's number may stand for several kinds."""
+    kinds = [(len(p), p[8 * HEAD - 8 : 8 * HEAD]) for p in payloads]
+    for kind in sorted(set(kinds)):
+        yield kind[0], int.from_bytes(kind[1], "little"), np.array([n for n, k in enumerate(kinds) if k == kind])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.93, levels: tuple[Level, ...] = LEVELS, probes: int = PROBES, seed: int = 11, block: int = 2048) -> DataFrame:
     """(id, n_links, component_id, kept) of each vector.
 
     Equal vectors of a label are one class, compared once; ``levels`` says how fine the cells are for labels
-    of what size. Defined results: vectors that are null, zero, or hold null or non-finite components,
-    and those with a null label, link with nothing; vectors of different lengths don't link; rows that
+    of what size. Labels of any type are compared as they are. Defined results: vectors that are null, zero, or hold
+    null or non-finite components, and those with a null label or id, link with nothing; vectors of different lengths don't link; rows that
     repeat an id and a vector are linked with each other; different vectors under one id count as one
     place in the graph; an empty table gives no rows; other columns are ignored.
     """
     element = vectors.schema[vector_col].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
-    label = F.col(label_col).cast("long") if label_col else F.lit(0).cast("long")
+    label = F.col(label_col) if label_col else F.lit(0).cast("long")
     value = F.col("v")
     good = F.col("label").isNotNull() & value.isNotNull() & F.coalesce(F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(value, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("v")).withColumn("good", good & F.col("id").isNotNull())
@@ -136,14 +143,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             data = [np.asarray(v.values, kind).tobytes() if v.is_valid else None for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["id", "label", "data"])
 
-    packed = rows.where("good").select("id", "label", "v").mapInArrow(pack, "id long, label long, data binary")
+    packed = rows.where("good").select("id", "label", "v").mapInArrow(pack, f"id long, label {rows.schema['label'].dataType.simpleString()}, data binary")
     packed = checkpointed(packed)
     classes = packed.groupBy("label", "data").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sizes = classes.groupBy("label").count()
     level = F.lit(len(levels) - 1)
     for n in reversed(range(len(levels) - 1)):
         level = F.when(F.col("count") <= levels[n].most, n).otherwise(level)
-    packet = checkpointed(classes.join(sizes, "label").select("label", "data", "rep", "copies", level.cast("long").alias("level"), F.xxhash64("label", "data").alias("key")))
+    packet = checkpointed(classes.join(sizes, "label").select(F.xxhash64("label").alias("label"), F.xxhash64(F.lit(1), "label").alias("mark"), "data", "rep", "copies", level.cast("long").alias("level"), F.xxhash64("label", "data").alias("key")))
 
     def lattices() -> Callable[[int, int], Lattice]:
         return cache(lambda dim, n: Lattice(dim, levels[n], probes, seed))
@@ -160,7 +167,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 lattice = lattice_of(size // int(kind[-1]), v)
                 for at in range(0, len(which), 512):
                     some = which[at : at + 512]
-                    _, _, _, unit = _unpack([bytes(8 * HEAD) + data[i] for i in some.tolist()], kind)
+                    _, _, unit = _unpack([bytes(8 * HEAD) + data[i] for i in some.tolist()], kind)
                     own, probed = lattice.cells(unit, label[some])
                     bucket = np.concatenate((own[:, :, None], probed.reshape(len(some), own.shape[1], -1)), axis=2)
                     n = bucket.shape[1] * bucket.shape[2]
@@ -171,7 +178,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # A cell matters if a vector is at home in it and another one comes to it.
     meeting = spots.groupBy("bucket").agg(F.count(F.when(F.col("home"), 1)).alias("n_home"), F.min("id").alias("low"), F.max("id").alias("high")).where("n_home > 0 and low < high")
     head = lambda c: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(F.col(c)), 16, "0"), 15 - 2 * k, 2) for k in range(8)]))
-    payload = packet.select(F.col("rep").alias("id"), "key", F.concat(head("label"), head("copies"), head("level"), "data").alias("data"))
+    payload = packet.select(F.col("rep").alias("id"), "key", F.concat(head("label"), head("mark"), head("copies"), head("level"), "data").alias("data"))
     copies = spots.join(meeting.select("bucket"), "bucket").join(payload, ["id", "key"]).select("bucket", "home", "id", "data")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,45 +194,42 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             edges.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
-        for bucket, ids, left, data in block_groups(batches, "data", lambda c: np.array(c.to_pylist(), object)):
-            length = len(data[0])
-            if any(len(d) != length for d in data):
-                continue  # different labels or lengths under one bucket number
-            lab, mult, of, unit = _unpack(data.tolist(), kind)
-            if (of != of[0]).any():
-                continue  # as above
-            lattice = lattice_of((length - 8 * HEAD) // int(kind[-1]), int(of[0]))
-            li, ri = np.flatnonzero(left), np.flatnonzero(~left)
-            own = probed = None
-            parent: dict[int, int] = {}
-            for at in range(0, len(li), 256):
-                mine = li[at : at + 256]
-                i, j = np.nonzero(unit[mine] @ unit[ri].T >= threshold)
-                x, y = mine[i], ri[j]
-                keep = (ids[x] != ids[y]) & (lab[x] == lab[y])
-                x, y = x[keep], y[keep]
-                if not len(x):
-                    continue
-                if own is None:
-                    own, probed = lattice.cells(unit, lab)
-                for s in range(0, len(x), 20_000):
-                    u, v = x[s : s + 20_000], y[s : s + 20_000]
-                    low, high = np.where(ids[u] < ids[v], u, v), np.where(ids[u] < ids[v], v, u)
-                    # In each table: does the higher one come to the cell of the lower one, and the other way round?
-                    to_low = (own[low] == own[high]) | (own[low][:, :, None] == probed[high]).any(axis=2)
-                    to_high = (own[low] == own[high]) | (own[high][:, :, None] == probed[low]).any(axis=2)
-                    meets = np.stack((to_low, to_high), axis=2).reshape(len(u), -1)
-                    first = meets.argmax(axis=1)
-                    at_low = ids[u] == ids[low]
-                    here = np.where(at_low, own[low, first // 2], own[high, first // 2]) == bucket
-                    counted = here & (at_low == (first % 2 == 0))
-                    for p, q, m, k in zip(ids[u[counted]].tolist(), ids[v[counted]].tolist(), mult[u[counted]].tolist(), mult[v[counted]].tolist(), strict=True):
-                        links[p] = links.get(p, 0) + k
-                        links[q] = links.get(q, 0) + m
-                        rp, rq = root(parent, p), root(parent, q)
-                        if rp != rq:
-                            parent[max(rp, rq)] = min(rp, rq)
-                            edges.add((max(p, q), min(p, q)))
+        for bucket, all_ids, all_left, data in block_groups(batches, "data", lambda c: np.array(c.to_pylist(), object)):
+            for length, level_no, places in _alike(data.tolist()):
+                ids, left = all_ids[places], all_left[places]
+                lab, mult, unit = _unpack(data[places].tolist(), kind)
+                lattice = lattice_of((length - 8 * HEAD) // int(kind[-1]), level_no)
+                li, ri = np.flatnonzero(left), np.flatnonzero(~left)
+                own = probed = None
+                parent: dict[int, int] = {}
+                for at in range(0, len(li), 256):
+                    mine = li[at : at + 256]
+                    i, j = np.nonzero(unit[mine] @ unit[ri].T >= threshold)
+                    x, y = mine[i], ri[j]
+                    keep = (ids[x] != ids[y]) & (lab[x] == lab[y]).all(axis=1)
+                    x, y = x[keep], y[keep]
+                    if not len(x):
+                        continue
+                    if own is None:
+                        own, probed = lattice.cells(unit, lab[:, 0])
+                    for s in range(0, len(x), 20_000):
+                        u, v = x[s : s + 20_000], y[s : s + 20_000]
+                        low, high = np.where(ids[u] < ids[v], u, v), np.where(ids[u] < ids[v], v, u)
+                        # In each table: does the higher one come to the cell of the lower one, and the other way round?
+                        to_low = (own[low] == own[high]) | (own[low][:, :, None] == probed[high]).any(axis=2)
+                        to_high = (own[low] == own[high]) | (own[high][:, :, None] == probed[low]).any(axis=2)
+                        meets = np.stack((to_low, to_high), axis=2).reshape(len(u), -1)
+                        first = meets.argmax(axis=1)
+                        at_low = ids[u] == ids[low]
+                        here = np.where(at_low, own[low, first // 2], own[high, first // 2]) == bucket
+                        counted = here & (at_low == (first % 2 == 0))
+                        for p, q, m, k in zip(ids[u[counted]].tolist(), ids[v[counted]].tolist(), mult[u[counted]].tolist(), mult[v[counted]].tolist(), strict=True):
+                            links[p] = links.get(p, 0) + k
+                            links[q] = links.get(q, 0) + m
+                            rp, rq = root(parent, p), root(parent, q)
+                            if rp != rq:
+                                parent[max(rp, rq)] = min(rp, rq)
+                                edges.add((max(p, q), min(p, q)))
             if len(links) + len(edges) > 20_000:
                 yield out()
         yield out()
