@@ -1,17 +1,19 @@
 """Ledgers over changing rules, tokens of odd texts, tries, runs and licenses against plain versions."""
 
+import gzip
 import hashlib
 import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_edges import docs  # noqa: F401
-from tidefold.llm import lattice, licenses, packing, periodic, queries, secrets, trie
+from tidefold.llm import lattice, licenses, packing, periodic, queries, secrets, trie, warc
 from tidefold.llm.common import new_path
 
 PEM = secrets.Rule("pem", "1", r"-----BEGIN[A-Z]+", 0, 14)
@@ -194,3 +196,23 @@ def test_a_cell_of_several_kinds():
     payloads = [head(0) + bytes(16), head(1) + bytes(16), head(0) + bytes(24), head(0) + bytes(16)]
     got = [(length - 8 * lattice.HEAD, level, places.tolist()) for length, level, places in lattice._alike(payloads)]
     assert got == [(16, 0, [0, 3]), (16, 1, [1]), (24, 0, [2])]
+
+
+def test_plain_archives_over_many_splits(spark, tmp_path):
+    """Uncompressed archives are read whole, however small the session's splits are, and payloads that look like records stay payloads."""
+    pages = [(n, f"u{n}", ("WARC/1.1\r\nWARC-Type: response\r\n\r\n" + f"line {n}\n") * (1 + 40 * (n % 7))) for n in range(60)]
+    path, plain = new_path(spark, "warc-test"), tmp_path / "plain"
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), path, chunk=2000)
+    plain.mkdir()
+    for f in Path(path).glob("part-*"):
+        (plain / f"{f.name.split('.')[0]}.warc").write_bytes(gzip.decompress(f.read_bytes()) if f.suffix == ".gz" else f.read_bytes())
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 3000)
+    try:
+        ends = warc.read(spark, str(plain)).where("last")
+        got = {int(r.record_id): (r.bytes_so_far, r.digest_so_far) for r in ends.collect()}
+        assert ends.join(spark.range(60).selectExpr("cast(id AS string) AS record_id"), "record_id").count() == 60
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got == {int(r.record_id): (r.bytes_so_far, r.digest_so_far) for r in warc.read(spark, path).where("last").collect()}
+    assert {n: b for n, (b, _) in got.items()} == {n: len(h) for n, _, h in pages}

@@ -178,7 +178,11 @@ class _Records:
 
 
 def read(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
-    """The chunk table of all archives under ``path``; digests are checked at each record's end."""
+    """The chunk table of all archives under ``path``, compressed or plain; digests are checked at each record's end.
+
+    A task takes an archive from its start to its end, whatever its size: a record begins where the one before it
+    ends, and a payload may hold what looks like a record. Write archives of a size that one task can take.
+    """
     schema = pa.schema([("record_id", pa.string()), ("chunk_no", pa.int32()), ("record_type", pa.string()), ("uri", pa.string()), ("refers_to", pa.string()), ("declared_digest", pa.string()), ("n_bytes", pa.int64()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()), ("last", pa.bool_()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,5 +205,9 @@ def read(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
         if records.rows:
             yield out()
 
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary"))
+    # A session of its own for the reader: a split as large as any file, and no two files in one.
+    whole = spark.newSession()
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        whole.conf.set(f"spark.sql.files.{name}", 1 << 60)
+    lines = whole.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary"))
     return lines.mapInArrow(run, ROWS)
