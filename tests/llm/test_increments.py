@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_edges import docs  # noqa: F401
-from tidefold.llm import lattice, licenses, packing, periodic, queries, secrets, trie, warc
+from tidefold.llm import lattice, licenses, packing, periodic, queries, secrets, toxicity, trie, warc
 from tidefold.llm.common import new_path
 
 PEM = secrets.Rule("pem", "1", r"-----BEGIN[A-Z]+", 0, 14)
@@ -216,3 +216,19 @@ def test_plain_archives_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
     assert got == {int(r.record_id): (r.bytes_so_far, r.digest_so_far) for r in warc.read(spark, path).where("last").collect()}
     assert {n: b for n, (b, _) in got.items()} == {n: len(h) for n, _, h in pages}
+
+
+def test_rare_characters_are_told_apart():
+    """Words of a script of thousands of characters: a toxic word of rare ones isn't taken for one that was never seen."""
+    rng = random.Random(6)
+    script = [chr(0x4E00 + n) for n in range(3000)]
+    word = lambda: "".join(rng.choice(script) for _ in range(3))
+    toxic, ordinary = [word() for _ in range(300)], [word() for _ in range(2000)]
+    ratio = toxicity.fit_ratio(toxicity.Counter({w: 20 for w in toxic}), toxicity.Counter({w: 20 for w in ordinary}))
+    assert len(ratio.alphabet) == toxicity.DIGITS - 2
+    seen, plain, unknown = (ratio.of(x) for x in (toxic, ordinary, [word() for _ in range(300)]))
+    assert np.median(seen) > 2 and np.mean(seen > 1) > 0.95 and np.mean(plain < 0) > 0.95
+    assert np.mean(np.abs(unknown) < np.median(seen)) > 0.9
+    grams, number = toxicity._grams(["a\u4e00b", "\U0001f642"], toxicity._lookup(np.array([ord("a"), ord("b")])))
+    assert number.tolist() == [0] * 6 + [1] * 4
+    assert (grams & np.uint64(511)).tolist() == [2, 384 + 1, 384 + 28, 384 + 0, 3, 1, 384 + 7, 384 + 108, 384 + 66, 1]

@@ -37,9 +37,11 @@ EXPRESSION, APART = 8, 30.0
 SHARE = 0.02
 FOLDS = 4
 CACHE = 300_000
-#: Bits of a character in a gram, ORDER of which make one number. 0 stands for what is before a word, 1 for its end, the
-#: last code for all characters but the commonest.
+#: Bits of a symbol in a gram, ORDER of which make one number. 0 stands for what is before a word, 1 for its end, the
+#: last 128 for the digits of code points: the commonest characters have symbols of their own, and every other one, known
+#: or not, is spelt by the three digits of its code point.
 BITS = 9
+DIGITS = (1 << BITS) - 128
 _MASKS = [np.uint64((1 << BITS * n) - 1) for n in range(ORDER + 1)]
 
 
@@ -47,12 +49,12 @@ def alphabet_of(words: list[str], counts: np.ndarray) -> np.ndarray:
     """Code points of the commonest characters, as many as there are codes for."""
     chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     seen = np.bincount(chars, np.repeat(counts, np.fromiter(map(len, words), np.int64, len(words))))
-    common = np.argsort(-seen, kind="stable")[: (1 << BITS) - 3]
+    common = np.argsort(-seen, kind="stable")[: DIGITS - 2]
     return common[seen[common] > 0]
 
 
 def _lookup(alphabet: np.ndarray) -> np.ndarray:
-    codes = np.full(0x110000, (1 << BITS) - 1, np.uint16)
+    codes = np.zeros(0x110000, np.uint16)
     codes[alphabet] = np.arange(2, len(alphabet) + 2)
     codes[3] = 1
     return codes
@@ -61,9 +63,20 @@ def _lookup(alphabet: np.ndarray) -> np.ndarray:
 def _grams(words: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(gram, word number) of all characters of words, each with the ORDER - 1 before it; the last character in the lowest bits."""
     text = "".join([w + "\x03" for w in words])
-    chars = codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    chars = codes[points]
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     number = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    spelt = np.flatnonzero(chars == 0)
+    if len(spelt):
+        wide = np.ones(len(chars), np.int64)
+        wide[spelt] = 3
+        first = (np.cumsum(wide) - wide)[spelt]
+        chars, number = np.repeat(chars, wide), np.repeat(number, wide)
+        for k in range(3):
+            chars[first + k] = DIGITS + (points[spelt] >> np.uint32(7 * (2 - k)) & np.uint32(127))
+        lengths = np.bincount(number, minlength=len(words))
+    chars = chars.astype(np.uint64)
     ends = np.cumsum(lengths)
     place = np.arange(len(number), dtype=np.int32)
     place -= np.repeat((ends - lengths).astype(np.int32), lengths)
@@ -212,7 +225,10 @@ class Ratios:
 
 
 def evidence(ratios: np.ndarray) -> float:
-    """Log-likelihood of a toxic document less that of an ordinary one, by the root of the length; 0 for a wordless text."""
+    """Log-likelihood of a toxic document less that of an ordinary one, by the root of the length; 0 for a wordless text.
+
+    A word's ratio counts from -30 to 12: one word of which both models are surer than that decides no more.
+    """
     return float(np.log1p(SHARE * np.expm1(np.clip(ratios, -30, 12))).sum() / np.sqrt(max(len(ratios), 1)))
 
 
