@@ -5,10 +5,10 @@ chosen words. Hashes of all windows of benchmark items and of documents are join
 diagonal (place in the document less place in the item), and the words of both along the diagonal are
 then compared, so that an overlap with substituted words counts and a chance hit does not.
 
-The masks miss nothing that the comparison accepts. For items of 9 to 14 words one mask of three places does, and
-three masks of four places do for items of 15 to 29: a test puts every set of words that may be substituted to them,
-and every stretch. Of a longer item some window of 15 to 29 words has no larger share of its words substituted. No
-mask takes neighbouring words alone.
+The three masks of four places miss nothing that the comparison accepts: for items of 9 to 29 words each set of words
+that may be substituted, and each stretch, leaves a window that one of them fits (a test goes through them). Of a
+longer item some window of 15 to 29 words has no larger share of its words substituted. No mask takes neighbouring
+words alone.
 
 Items of fewer than SHORTEST words have no room for substitutions; they are found whole, word for word, by
 the hash of a window of their own length.
@@ -16,17 +16,14 @@ the hash of a window of their own length.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
 
-#: Places of a window that a mask looks at; the first one serves items of fewer than LONG words, the others all others.
-MASKS = ((0, 2, 3), (0, 1, 3, 4), (0, 1, 5, 7), (0, 1, 2, 4))
-LONG = 15
+#: Places of a window that a mask looks at.
+MASKS = ((0, 1, 2, 4), (0, 2, 3, 5), (0, 1, 5, 7))
 SPAN = 1 + min(m[-1] for m in MASKS)
 #: Words of the shortest item in which words may be substituted; shorter ones are found word for word.
 SHORTEST = 9
@@ -44,8 +41,8 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _windows(rows: DataFrame, *keys: str, masks: Sequence[int]) -> DataFrame:
-    """(keys, mask, place, seed) of rows with a column ``h`` of word hashes, for the masks of those numbers.
+def _windows(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, place, seed) of rows with a column ``h`` of word hashes, for all masks.
 
     Where a mask reaches beyond the end, it looks at the words that are there.
     """
@@ -55,9 +52,8 @@ def _windows(rows: DataFrame, *keys: str, masks: Sequence[int]) -> DataFrame:
     def masked(n: int) -> Column:
         return F.transform(places, lambda i: F.xxhash64(F.lit(n), *[F.get("h", i + k) for k in MASKS[n]]))
 
-    seeds = F.when(last >= 0, F.concat(*map(masked, masks))).otherwise(F.array().cast("array<bigint>"))
-    each = rows.select(*keys, (last + 1).alias("n"), F.posexplode(seeds).alias("i", "seed"))
-    return each.select(*keys, F.get(F.array(*map(F.lit, masks)), F.floor(F.col("i") / F.col("n")).cast("int")).alias("mask"), F.pmod("i", F.col("n")).alias("place"), "seed")
+    seeds = F.when(last >= 0, F.concat(*map(masked, range(len(MASKS))))).otherwise(F.array().cast("array<bigint>"))
+    return rows.select(*keys, (last + 1).alias("n"), F.posexplode(seeds).alias("i", "seed")).select(*keys, F.pmod("i", F.col("n")).alias("place"), "seed")
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -102,14 +98,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """(doc_key, item_id, same): overlaps that were verified, and short items held whole; doc_key stands for id and text."""
     all_items = _items(benchmark, item_col, item_text_col)
     items = all_items.where(F.size("h") >= SHORTEST)
-    windows = _windows(items.withColumn("len", F.size("h")), "item_id", "len", masks=range(len(MASKS)))
-    item_seeds = written(windows.where((F.col("len") < LONG) == (F.col("mask") == 0)).withColumnRenamed("place", "item_place").drop("mask"), "benchmark-seeds")
-    # Documents are read through the masks that some item has.
-    masks = range(0 if item_seeds.where(F.col("len") < LONG).limit(1).count() else 1, len(MASKS))
+    item_seeds = written(_windows(items.withColumn("len", F.size("h")), "item_id", "len").withColumnRenamed("place", "item_place"), "benchmark-seeds")
     rows = docs.where(F.col(text_col).isNotNull()).select(_key(id_col, text_col).alias("doc_key"), word_hashes(F.col(text_col).cast("string")).alias("h"))
     # Only a benchmark of proven size is broadcast; a larger one is joined by shuffle.
     small = item_seeds.count() <= BROADCAST_ROWS
-    hits = _windows(rows, "doc_key", masks=masks).drop("mask").join(F.broadcast(item_seeds) if small else item_seeds, "seed")
+    hits = _windows(rows, "doc_key").join(F.broadcast(item_seeds) if small else item_seeds, "seed")
     diagonals = hits.groupBy("doc_key", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).agg(F.first("len").alias("len"))
     # A document's hits are dealt to as many rows as their number asks for.
     counted = written(diagonals, "seed-hits")
