@@ -44,16 +44,13 @@ def word_hashes(text: Column) -> Column:
 def _windows(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, place, seed) of rows with a column ``h`` of word hashes, for all masks.
 
-    Where a mask reaches beyond the end, it looks at the words that are there.
+    Where a mask reaches beyond the end, it looks at the words that are there. Places become rows first, and seeds are
+    hashed beside them: plain expressions, which are compiled with the join that they feed.
     """
     last = F.size("h") - SPAN
-    places = F.sequence(F.lit(0), last)
-
-    def masked(n: int) -> Column:
-        return F.transform(places, lambda i: F.xxhash64(F.lit(n), *[F.get("h", i + k) for k in MASKS[n]]))
-
-    seeds = F.when(last >= 0, F.concat(*map(masked, range(len(MASKS))))).otherwise(F.array().cast("array<bigint>"))
-    return rows.select(*keys, (last + 1).alias("n"), F.posexplode(seeds).alias("i", "seed")).select(*keys, F.pmod("i", F.col("n")).alias("place"), "seed")
+    places = rows.where(last >= 0).select(*keys, "h", F.explode(F.sequence(F.lit(0), last)).alias("place"))
+    seeds = F.array(*[F.xxhash64(F.lit(n), *[F.get("h", F.col("place") + k) for k in mask]) for n, mask in enumerate(MASKS)])
+    return places.select(*keys, "place", F.explode(seeds).alias("seed"))
 
 
 def _overlap(a: Column, b: Column) -> Column:
