@@ -27,6 +27,11 @@ def _written(spark: SparkSession, sf: str, *parts: str) -> str:
     return path
 
 
+def _tail(spark: SparkSession, path: str, triggers: int, categories: list[str] | None = None) -> DataFrame:
+    """A feed of all that a log holds in so many triggers, whatever its size."""
+    return log.tail_log(spark, path, categories=categories, max_files=log.files_each(spark, path, triggers))
+
+
 def _drained(stream: DataFrame) -> DataFrame:
     out, spark = work_path(stream.sparkSession, "stream-out"), stream.sparkSession
     log.run_until_caught_up(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_path(spark, "stream-state")))
@@ -90,7 +95,7 @@ def stream_in_sequence(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT stream, count(*) AS n, max(idx) AS last_idx, count(DISTINCT idx) AS distinct_idx FROM (SELECT concat('User-', user_id) AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx FROM events) GROUP BY 1")
 def stream_sequence(spark: SparkSession, sf: str) -> DataFrame:
     """Indexes go on across batches."""
-    numbered = _drained(stateful.sequence(log.tail_log(spark, _written(spark, sf, "idx < 20", "idx >= 20"), max_files=1), "stream", ["position"]))
+    numbered = _drained(stateful.sequence(_tail(spark, _written(spark, sf, "idx < 20", "idx >= 20"), 4), "stream", ["position"]))
     return numbered.groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("last_idx"), F.countDistinct("idx").alias("distinct_idx"))
 
 

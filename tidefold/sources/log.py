@@ -35,6 +35,15 @@ def tail_log(spark: SparkSession, path: str, categories: Iterable[str] | None =
     return _wanted(reader.load(path), categories, None, tranches)
 
 
+def files_each(spark: SparkSession, path: str, triggers: int, fmt: str = "parquet", schema: str = EVENT_LOG) -> int:
+    """The ``max_files`` with which what a log holds now is taken in so many triggers at most, however many files it has.
+
+    Each trigger opens the state of all partitions, whatever it brings: with a fixed number of files, the cost of a
+    backlog grows with its files times its state.
+    """
+    return max(1, -(-len(spark.read.format(fmt).schema(schema).load(path).inputFiles()) // triggers))
+
+
 def run_until_caught_up(query) -> None:
     """Start a stream writer, handle all that is there, and stop at the tail (S3)."""
     query.trigger(availableNow=True).start().awaitTermination()
