@@ -34,3 +34,7 @@ def test_files_each(spark, tmp_path):
 
 def test_stream_sequence_triggers(spark, many_files):
     assert 2 <= triggers(spark, "stream_sequence", many_files) <= 4
+
+
+def test_stream_in_sequence_triggers(spark, many_files):
+    assert 2 <= triggers(spark, "stream_in_sequence", many_files) <= 4

@@ -88,7 +88,7 @@ def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {EV} SELECT stream, idx, event_type FROM ev")
 def stream_in_sequence(spark: SparkSession, sf: str) -> DataFrame:
     """M3: odd indexes come first and wait; all come out in sequence."""
-    released = _drained(stateful.in_sequence(log.tail_log(spark, _written(spark, sf, "idx % 2 = 1", "idx % 2 = 0"), max_files=1), ["event_type"]))
+    released = _drained(stateful.in_sequence(_tail(spark, _written(spark, sf, "idx % 2 = 1", "idx % 2 = 0"), 4), ["event_type"]))
     return released.where("idx is not null").select("stream", "idx", "event_type")
 
 
