@@ -38,3 +38,10 @@ def test_stream_sequence_triggers(spark, many_files):
 
 def test_stream_in_sequence_triggers(spark, many_files):
     assert 2 <= triggers(spark, "stream_in_sequence", many_files) <= 4
+
+
+def test_stream_append_triggers(spark, many_files):
+    assert 2 <= triggers(spark, "stream_seeded_index", many_files) <= 5
+    assert 2 <= triggers(spark, "stream_ingest", many_files) <= 4
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    assert 2 <= triggers(spark, "stream_append", many_files) <= 6

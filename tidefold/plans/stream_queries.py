@@ -79,7 +79,7 @@ def message_files(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {EV} SELECT stream, max(idx) + 1 AS version, sum(k)::BIGINT AS state FROM ev GROUP BY 1")
 def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
     """A fold with state over a tailed log, some of which is delivered twice."""
-    tail = log.tail_log(spark, _written(spark, sf, "idx < 20", "idx >= 10"), categories=["User"], max_files=4)
+    tail = _tail(spark, _written(spark, sf, "idx < 20", "idx >= 10"), 4, ["User"])
     body = tail.withColumn("k", F.get_json_object("data", "$.k").cast("long"))
     states = _drained(stateful.fold_stream(body, 0, lambda s, e: s + int(e["k"]), ["k"]))
     return states.groupBy("stream").agg(F.max("version").alias("version"), F.max_by("state", "version").cast("long").alias("state"))
@@ -141,7 +141,7 @@ def stream_parsed(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {EV} SELECT stream, event_type AS item, count(*) AS n, sum(k)::BIGINT AS total, max(idx) AS last_idx FROM ev WHERE event_type <> 'view' GROUP BY 1, 2")
 def stream_entries(spark: SparkSession, sf: str) -> DataFrame:
     """M1, M2: a state with an entry for each type of a stream's events, some delivered twice; views remove theirs."""
-    tail = log.tail_log(spark, _written(spark, sf, "idx < 20", "idx >= 10"), categories=["User"], max_files=4)
+    tail = _tail(spark, _written(spark, sf, "idx < 20", "idx >= 10"), 4, ["User"])
     body = tail.withColumn("k", F.get_json_object("data", "$.k").cast("long")).withColumn("item", F.col("event_type"))
 
     def evolve(value: dict | None, e: dict) -> dict | None:
@@ -205,7 +205,7 @@ def stream_lag(spark: SparkSession, sf: str) -> DataFrame:
 def stream_seeded_index(spark: SparkSession, sf: str) -> DataFrame:
     """Views over many small batches, some delivered twice, that never read the log: states are combined with the batch's own."""
     source = _written(spark, sf, *[f"idx >= {a} and idx < {b}" for a, b in ((0, 8), (4, 16), (16, 24), (20, 40))], "idx >= 40")
-    tail = log.tail_log(spark, source, categories=["User"], max_files=8).withColumn("k", F.get_json_object("data", "$.k").cast("long"))
+    tail = _tail(spark, source, 5, ["User"]).withColumn("k", F.get_json_object("data", "$.k").cast("long"))
     lift = F.struct(F.lit(1).cast("long").alias("n"), F.col("k").alias("total"), F.col("event_type").alias("last_type"))
     combine = lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["total"] + b["total"]).alias("total"), b["last_type"].alias("last_type"))
     view = work_path(spark, "view")
@@ -219,7 +219,7 @@ def stream_append(spark: SparkSession, sf: str) -> DataFrame:
     """K1, L1, M7: a log archived in batches of which some overlap, by heads of its streams; twice, by two jobs."""
     source, copy, heads = _written(spark, sf, "idx < 15", "idx >= 10 and idx < 25", "idx >= 20"), work_path(spark, "copy"), work_path(spark, "heads")
     for _ in range(2):
-        tables.append_job(log.tail_log(spark, source, max_files=8), copy, work_path(spark, "append-state"), heads=heads, buckets=8).awaitTermination()
+        tables.append_job(_tail(spark, source, 3), copy, work_path(spark, "append-state"), heads=heads, buckets=8).awaitTermination()
     return log.read_log(spark, copy).groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("last_idx"), F.countDistinct("idx").alias("distinct_idx"))
 
 
@@ -228,6 +228,6 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Items of a feed, each held once, whatever batch brings it again; twice, by two jobs."""
     source, held = _written(spark, sf, "idx < 20", "idx >= 15"), work_path(spark, "held")
     for _ in range(2):
-        items = log.tail_log(spark, source, max_files=8).select(F.col("stream_id").cast("long").alias("user_id"), F.get_json_object("data", "$.k").cast("int").alias("k"), "position")
+        items = _tail(spark, source, 2).select(F.col("stream_id").cast("long").alias("user_id"), F.get_json_object("data", "$.k").cast("int").alias("k"), "position")
         tables.ingest_job(items, held, work_path(spark, "ingest-state"), ["user_id", "k"], ["position"], buckets=8).awaitTermination()
     return spark.read.parquet(held).select("user_id", "k")
