@@ -45,3 +45,11 @@ def test_stream_append_triggers(spark, many_files):
     assert 2 <= triggers(spark, "stream_ingest", many_files) <= 4
     spark.conf.set("spark.sql.shuffle.partitions", "30")
     assert 2 <= triggers(spark, "stream_append", many_files) <= 6
+
+
+def test_stream_lag_files(spark, many_files):
+    """Each part of the log is written and read by several tasks, and still a batch of its own."""
+    before = many_files("log-*/part-*")
+    got = registry.QUERIES["stream_lag"](spark, SF)
+    assert sorted({r.batch for r in got.collect()}) == [0, 1, 2]
+    assert len(many_files("log-*/part-*") - before) > 6

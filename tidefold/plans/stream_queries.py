@@ -187,17 +187,17 @@ SELECT b.batch, t.tranche, count(p.position) FILTER (p.batch = b.batch) AS event
 FROM b CROSS JOIN t JOIN s ON s.batch = b.batch LEFT JOIN p ON p.tranche = t.tranche AND p.batch <= b.batch GROUP BY b.batch, t.tranche, t.head""")
 def stream_lag(spark: SparkSession, sf: str) -> DataFrame:
     """Lag of each tranche and sizes of spans after each of three batches, observed while the batches run."""
-    path, spans, sizes, rows = work_path(spark, "log"), work_path(spark, "spans"), work_path(spark, "span-sizes"), as_log(spark, sf)
-    for part in ("idx < 10", "idx >= 10 and idx < 20", "idx >= 20"):
-        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+    path, spans, sizes, state, rows = work_path(spark, "log"), work_path(spark, "spans"), work_path(spark, "span-sizes"), work_path(spark, "lag-state"), as_log(spark, sf)
     tranches = [str(n) for n in range(8)]
-    feed = metrics.observed(log.tail_log(spark, path, max_files=1), "feed", tranches)
+    listener = metrics.LagListener("feed", tranches, metrics.heads_of(rows))
 
     def handle(batch: DataFrame, number: int) -> None:
         metrics.write_spans(batch, number, lambda s: s.write.mode("overwrite").parquet(f"{spans}/batch={number}"), sizes)
 
-    listener = metrics.LagListener("feed", tranches, metrics.heads_of(log.read_log(spark, path)))
-    lag = metrics.with_lag(lambda: tables.run_batches(feed, handle, work_path(spark, "lag-state")), spark, listener)
+    for part in ("idx < 10", "idx >= 10 and idx < 20", "idx >= 20"):  # a run of the feed takes what the log has got since the one before it, in as many files as there are
+        rows.where(part).write.mode("append").parquet(path)
+        feed = metrics.observed(log.tail_log(spark, path), "feed", tranches)
+        lag = metrics.with_lag(lambda feed=feed: tables.run_batches(feed, handle, state), spark, listener)
     return lag.join(metrics.read_spans(spark, sizes).select("batch", "spans", "largest"), "batch")
 
 

@@ -55,7 +55,7 @@ class LagListener(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        self.ended.add(str(event.id))
+        self.ended.add(str(event.runId))
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """(batch, tranche, events, committed, head, lag): a row for each batch and tranche so far."""
@@ -63,13 +63,13 @@ class LagListener(StreamingQueryListener):
 
 
 def with_lag(query: Callable[[], StreamingQuery], spark: SparkSession, listener: LagListener, patience: float = 30) -> DataFrame:
-    """Run a query that ends at the tail under a listener; the lag rows of its batches."""
+    """Run a query that ends at the tail under a listener; the lag rows of its batches, and of those of earlier runs that the listener heard of."""
     spark.streams.addListener(listener)
     try:
         running = query()
         running.awaitTermination()
         until = time.monotonic() + patience  # the listener hears of the end after the query has ended
-        while str(running.id) not in listener.ended and time.monotonic() < until:
+        while str(running.runId) not in listener.ended and time.monotonic() < until:
             time.sleep(0.05)
     finally:
         spark.streams.removeListener(listener)
