@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,26 @@ def test_simhash(spark, docs):
     assert sorted(tuple(r) for r in simhash.keep_one(shared).collect()) == [(3, "a b c d e"), (7, "quite other words are in here")]
 
 
+def test_toxicity_fits_in_a_task(spark, monkeypatch):
+    """The driver neither fits the models nor holds the texts: it gets the values of the model that a task fitted."""
+    rows = [(n, f"{'you idiot scum' if n % 2 else 'nice calm day'} number {n}", n % 2) for n in range(40)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(n, y) for n, _, y in rows], "doc_id long, toxic int")
+    fit, driver = toxicity.fit, os.getpid()
+    want = fit([t for _, t, _ in rows], [y for _, _, y in rows])
+
+    def elsewhere(texts, labels):
+        assert os.getpid() != driver
+        return fit(texts, labels)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    got = toxicity.learn(docs, labels, F.lit(True))
+    assert (got.threshold, got.slope, got.expressions) == (want.threshold, want.slope, want.expressions)
+    assert all((getattr(got.ratio, k) == getattr(want.ratio, k)).all() for k in ("alphabet", "grams", "values", "contexts", "defaults"))
+    monkeypatch.undo()
+    none = toxicity.learn(docs, labels.limit(0), F.lit(True))
+    assert none.scores(["", "you idiot"], toxicity.Ratios(none.ratio, none.expressions)).tolist() == [0.5, 0.5]
+
+
 def test_toxicity(spark, docs):
     model = toxicity.fit(["you idiot scum", "nice calm day", "scum of idiot", "a calm nice walk"] * 4, [1, 0, 1, 0] * 4)
     got = toxicity.score(docs, model).collect()

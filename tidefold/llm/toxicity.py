@@ -15,9 +15,10 @@ the threshold and slope that fit the training rows best.
 from __future__ import annotations
 
 import itertools
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -296,7 +297,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     """Fit on a bounded sample of the labelled documents for which ``train`` (of ``_id``) holds.
 
     Of each class, ``most_toxic`` and ``most_ordinary`` documents at most are taken, whole, the first by a
-    hash of the id; only their texts reach the driver. ``docs`` needn't be the table that will be scored.
+    hash of the id. A task fits on their texts, and only the model reaches the driver, in arrays whose size the
+    sample bounds. ``docs`` needn't be the table that will be scored.
     Defined results: labels other than 0 and 1 and null ids are left out; an id labelled both ways counts
     in both classes; rows that repeat an id count once, with the smallest of their texts; null texts are
     left out; without any label of one class all texts score alike but for their own evidence.
@@ -307,17 +309,32 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     by_hash = lambda y, most: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
     chosen = by_hash(1, most_toxic).union(by_hash(0, most_ordinary))
     rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
-    got = sorted((r["_id"], r["_y"], r["_text"]) for r in rows.collect())  # as many rows as the sample may have
-    return fit([t for _, _, t in got], [y for _, y, _ in got])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        parts = [pickle.dumps(x, pickle.HIGHEST_PROTOCOL) for x in _values(fit([t for _, _, t in got], [y for _, y, _ in got]))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts))), pa.array(parts, pa.binary())], names=["part", "value"])
+
+    parts = rows.coalesce(1).mapInArrow(fitted, "part long, value binary").collect()  # a row for each value of the model
+    return _model([pickle.loads(r["value"]) for r in sorted(parts, key=lambda r: r["part"])]) if parts else fit([], [])
+
+
+def _values(model: Model) -> tuple:
+    """The model as plain values."""
+    r = model.ratio
+    return r.alphabet, r.grams, r.values, r.contexts, r.defaults, model.expressions, model.threshold, model.slope
+
+
+def _model(values: Sequence) -> Model:
+    return Model(Ratio(*values[:5]), *values[5:])
 
 
 def _shared(docs: DataFrame, model: Model):
     """The model as a broadcast of plain values, of a size that the fitting sample bounds, and how a task takes it."""
-    r = model.ratio
-    held = docs.sparkSession.sparkContext.broadcast((r.alphabet, r.grams, r.values, r.contexts, r.defaults, model.expressions, model.threshold, model.slope))
+    held = docs.sparkSession.sparkContext.broadcast(_values(model))
 
     def taken() -> tuple[Model, Ratios]:
-        own = Model(Ratio(*held.value[:5]), *held.value[5:])
+        own = _model(held.value)
         return own, Ratios(own.ratio, own.expressions)
 
     return taken
