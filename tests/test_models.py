@@ -282,3 +282,24 @@ def test_combined_fold_keeps_the_order(spark):
     for r in df.orderBy("idx").collect():
         want.setdefault(r.stream, []).append(r.idx)
     assert {r.stream: (r.version, r.state) for r in got} == {k: (v[-1] + 1, v) for k, v in want.items()}
+
+
+def test_tasks_share_of_rows(spark, monkeypatch):
+    """Tasks become more with the rows, not larger; a key that spans slices and empty batches are placed as ever."""
+    monkeypatch.setattr(running, "TASK_ROWS", 100)
+    batches = [("a" if n % 4 else "b", n, n % 3 + 1) for n in range(1000)]
+    df = spark.createDataFrame(batches, "series string, req_seq long, n long")
+    got = epochs.soft_epochs(df, 5)
+    assert got.rdd.getNumPartitions() == 10
+    for more in ([], [("a", 5000, 0), ("b", -1, 0)]):
+        want = []
+        for series in "ab":
+            epoch = fill = 0
+            for s, seq, n in sorted(batches + more):
+                if s == series:
+                    want.append((s, seq, epoch))
+                    fill += n
+                    if fill >= 5:
+                        epoch, fill = epoch + 1, 0
+        rows = spark.createDataFrame(batches + more, "series string, req_seq long, n long")
+        assert sorted(tuple(r) for r in epochs.soft_epochs(rows, 5).select("series", "req_seq", "epoch").collect()) == sorted(want)

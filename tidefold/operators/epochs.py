@@ -35,6 +35,9 @@ def soft_epochs(batches: DataFrame, cap: int, active: DataFrame | None = None) -
     placed = in_pages(rows.where(full).withColumn("_held", start), ["series"], "_at", "_before", "n", cap, ends, "_held")
     epoch = F.coalesce("_epoch", F.lit(0)) + F.col("page")
     columns = ["series", "req_seq", F.col("n").cast("int").alias("n")]
+    if rows.where(~full).isEmpty():
+        return placed.select(*columns, epoch.cast("int").alias("epoch"))
+    placed = written(placed, "placed")
     # An empty batch comes after the batch of the number before its own.
     last = placed.select(F.col("series").alias("_s"), (F.col("_at") + 1).alias("_next"), (F.col("page") + F.col("closes").cast("int")).alias("_page"))
     empty = rows.where(~full).join(last, F.col("series").eqNullSafe(F.col("_s")) & (F.col("_at") == F.col("_next")), "left").withColumn("page", F.coalesce("_page", F.lit(0)))

@@ -8,13 +8,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.work import work_path
 
 #: Rows of a block of a key, at least.
 BLOCK = 1 << 16
+#: Rows that a task sorts, about.
+TASK_ROWS = 1 << 18
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
@@ -29,12 +31,17 @@ def same(keys: list[str], other: Callable[[str], Column]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(other(k)) for k in keys])
 
 
+def task_parts(spark: SparkSession, rows: int) -> int:
+    """Into how many partitions so many rows are dealt that a task's share stays as it is however many there are; Spark merges none of a given number."""
+    return max(min(spark.sparkContext.defaultParallelism, (rows >> 12) + 1), -(-rows // TASK_ROWS))
+
+
 def ordinals(rows: DataFrame, keys: list[str], order: list[str], out: str, sums: Mapping[str, Column] | None = None) -> DataFrame:
     """The rows with ``out``, their number within their key from 0 on, without bringing a key to one task.
 
     Rows are dealt by ranges of key and order, and written with the number of their slice, so that it is the
     same wherever it is read. They are numbered within key and slice, and what a key has in earlier slices, a
-    number for each, is added. ``sums`` names further columns, the sums of what it gives over all rows before. A
+    number for each, is added: of the keys of a slice only the first can have any, so these are few. ``sums`` names further columns, the sums of what it gives over all rows before. A
     null key is a key.
     """
     sums = dict(sums or {})
@@ -45,10 +52,12 @@ def ordinals(rows: DataFrame, keys: list[str], order: list[str], out: str, sums:
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("__c"), *[F.sum(x).alias(f"__c{n}") for n, x in enumerate(sums.values())])
     names = ["", *map(str, range(len(sums)))]
-    before = counts.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("_slice").alias("_of"), *[F.coalesce(F.sum(f"__c{n}").over(earlier), F.lit(0)).alias(f"_before{n}") for n in names])
+    counts = counts.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy("_slice")))
+    before = counts.select("__nth", *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("_slice").alias("_of"), *[F.coalesce(F.sum(f"__c{n}").over(earlier), F.lit(0)).alias(f"_before{n}") for n in names])
     place = {k: n for n, k in enumerate(keys)}
-    numbered = sliced.withColumns(own).join(before, same(keys, lambda k: F.col(f"_k{place[k]}")) & (F.col("_slice") == F.col("_of")))
-    each = [(F.col(f"_own{n}") + F.col(f"_before{n}")).cast("long").alias(c) for n, c in zip(names, [out, *sums], strict=True)]
+    dealt = sliced.repartition(task_parts(rows.sparkSession, sliced.count()), *keys, "_slice")
+    numbered = dealt.withColumns(own).join(F.broadcast(before.where("__nth > 1")), same(keys, lambda k: F.col(f"_k{place[k]}")) & (F.col("_slice") == F.col("_of")), "left")
+    each = [(F.col(f"_own{n}") + F.coalesce(f"_before{n}", F.lit(0))).cast("long").alias(c) for n, c in zip(names, [out, *sums], strict=True)]
     return numbered.select(*rows.columns, *each)
 
 
@@ -101,7 +110,9 @@ def in_pages(rows: DataFrame, keys: list[str], n: str, before: str, size: str, m
     copies = F.when((F.col(n) >= block) & (F.col(n) % block < most), F.array(own, ahead)).otherwise(F.array(own))
     dealt = rows.withColumn("__c", F.explode(copies)).select(*rows.columns, "__c.*")
     in_order = [*keys, "_block"]
-    deal = lambda df: df.repartition(*in_order).sortWithinPartitions(*in_order, n)
+    last, total = rows.agg(F.coalesce(F.max(n), F.lit(0)), F.count(F.lit(1))).first()
+    parts = task_parts(rows.sparkSession, total)
+    deal = lambda df: df.repartition(parts, *in_order).sortWithinPartitions(*in_order, n)
 
     def ends(table: pa.Table) -> tuple[np.ndarray, int, int]:
         """Where a page that begins at each row ends, within the table; its own rows; and the number of its first."""
@@ -111,7 +122,6 @@ def in_pages(rows: DataFrame, keys: list[str], n: str, before: str, size: str, m
         mine = int(np.count_nonzero(table.column("_own").to_numpy(zero_copy_only=False)))
         return np.minimum(to, len(sums) + 1), mine, int(table.column(n)[0].as_py())
 
-    last = rows.agg(F.max(n)).first()[0] or 0
     if last < block:
         dealt = dealt.withColumn("_entry", F.lit(0).cast("long"))
     else:
