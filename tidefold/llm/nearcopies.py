@@ -161,7 +161,8 @@ def _small(rows: DataFrame) -> DataFrame:
 
 def _at_anchors(classes: DataFrame) -> DataFrame:
     """(bucket, sig) of the classes that have another one within THRESHOLD bits at an anchor, or their very fingerprint in common."""
-    fps = classes.select(F.col("fp").alias("id"), "fp").distinct()
+    parts = max(shuffle_parts(classes.sparkSession), classes.sparkSession.sparkContext.defaultParallelism)
+    fps = classes.select(F.col("fp").alias("id"), "fp").distinct().repartition(parts, "id")  # a row makes some 36 copies: few tasks would do for the rows
     near = in_blocks(fps.mapInArrow(_copies, "bucket long, home boolean, id long, fp long").drop("fp"), ANCHOR_BLOCK, _within, "bucket long, fp long").distinct()
     equal = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("fp").alias("bucket"), "fp")
     return written(classes.select("sig", "fp").join(_small(written(near.union(equal), "near-anchors")), "fp").select("bucket", "sig"), "near-at-anchors")
